@@ -75,7 +75,7 @@ def add_ema_adjusted(df: DataFrame, spans: dict[str, int], x: str = "close") ->
     return df.withColumns({n: F.col(f"_n_{n}") / F.col(f"_d_{n}") for n in spans}).drop(*parts)
 
 
-def add_garch(df: DataFrame, r: str = "ret", omega: float = 0.00001, alpha: float = 0.1, beta: float = 0.85,
+def add_garch(df: DataFrame, r: str = "ret", omega: float = 0.0001, alpha: float = 0.05, beta: float = 0.90,
               out: str = "garch_var") -> DataFrame:
     """Variance recursion seeded with the long-run variance."""
     seed = omega / (1 - alpha - beta)

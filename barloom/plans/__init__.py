@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["indicators", "frames", "trades"]
+MODULES = ["indicators", "frames", "trades", "outcomes", "conditions"]
 
 
 def load_catalogue():

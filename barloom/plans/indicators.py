@@ -364,14 +364,13 @@ def _(spark, base):
     return shown(over_chunks(indexed_bars(spark, base), cols, before=128), "autocorr_100", "realized_vol")
 
 
-_G = 0.85
 GARCH_SQL = q.with_stages(RET, ("g", "rt",
-    f"0.00001 + 0.1 * coalesce(ret, 0) * coalesce(ret, 0) + CASE WHEN bar_idx = 0 THEN 0.85 * (0.00001 / (1 - 0.1 - 0.85)) ELSE 0 END AS u")
+    "0.0001 + 0.05 * coalesce(ret, 0) * coalesce(ret, 0) + CASE WHEN bar_idx = 0 THEN 0.9 * (0.0001 / (1 - 0.05 - 0.9)) ELSE 0 END AS u")
 ) + f""",
 blk AS (SELECT *, bar_idx // 1000 AS b, bar_idx % 1000 AS j FROM g),
-z AS (SELECT *, pow(0.85, j) * sum(u * pow(0.85, -j)) OVER (PARTITION BY symbol, tf, b ORDER BY bar_idx) AS z FROM blk),
+z AS (SELECT *, pow(0.9, j) * sum(u * pow(0.9, -j)) OVER (PARTITION BY symbol, tf, b ORDER BY bar_idx) AS z FROM blk),
 e AS (SELECT symbol, tf, b + 1 AS b, z AS ze FROM z WHERE j = 999),
-gv AS (SELECT z.*, z + coalesce(ze, 0) * pow(0.85, j + 1) AS v FROM z LEFT JOIN e USING (symbol, tf, b))"""
+gv AS (SELECT z.*, z + coalesce(ze, 0) * pow(0.9, j + 1) AS v FROM z LEFT JOIN e USING (symbol, tf, b))"""
 
 
 @query("garch_variance", "W30", _sel(GARCH_SQL, {"garch_vol": "sqrt(v)"}, "gv"))
