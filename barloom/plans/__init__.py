@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["indicators", "frames", "trades", "outcomes", "conditions"]
+MODULES = ["indicators", "frames", "trades", "outcomes", "conditions", "scoring"]
 
 
 def load_catalogue():
