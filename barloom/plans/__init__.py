@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["indicators", "frames", "trades", "outcomes", "conditions", "scoring"]
+MODULES = ["indicators", "frames", "trades", "outcomes", "conditions", "scoring", "statistics"]
 
 
 def load_catalogue():
