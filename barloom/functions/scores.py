@@ -148,15 +148,18 @@ def ml_gate(crisis, drawdown, regime) -> Column:
     return ((crisis < 0.7) & (drawdown < 0.20) & F.lower(regime).isin("normal", "bull", "recovery")).cast("int")
 
 
-def adaptive_weights(n, mean_a, sd_a, mean_b, sd_b, gamma=0.10) -> tuple[Column, Column]:
-    """Softmax of two population Sharpe ratios; defaults below five observations."""
+def add_adaptive_weights(df, n, mean_a, sd_a, mean_b, sd_b, gamma=0.10, names=("alpha", "beta")):
+    """Softmax of two population Sharpe ratios; defaults below five observations.
+    Worked out column by column so that no expression is repeated."""
+    free = 1 - gamma
     def e(mean, sd):
         return F.exp(F.when(F.coalesce(sd, F.lit(0.0)) == 0, 0.0).otherwise(ratio(mean, sd)) + 1e-6)
-    free = 1 - gamma
-    a, b = e(mean_a, sd_a), e(mean_b, sd_b)
-    wa, wb = clip(a / (a + b) * free, 0.1, 0.8), clip(b / (a + b) * free, 0.1, 0.8)
-    scale = F.when(wa + wb > free, free / (wa + wb)).otherwise(1.0)
-    return F.when(n < 5, 0.45).otherwise(wa * scale), F.when(n < 5, 0.45).otherwise(wb * scale)
+    df = df.withColumns({"_ea": e(mean_a, sd_a), "_eb": e(mean_b, sd_b)})
+    df = df.withColumn("_share", F.col("_ea") / (F.col("_ea") + F.col("_eb")))
+    df = df.withColumns({"_wa": clip(F.col("_share") * free, 0.1, 0.8), "_wb": clip((1 - F.col("_share")) * free, 0.1, 0.8)})
+    df = df.withColumn("_scale", F.least(F.lit(1.0), free / (F.col("_wa") + F.col("_wb"))))
+    out = {m: F.when(n < 5, 0.45).otherwise(F.col(w) * F.col("_scale")) for m, w in zip(names, ("_wa", "_wb"))}
+    return df.withColumns(out).drop("_ea", "_eb", "_share", "_wa", "_wb", "_scale")
 
 
 def future_value(regime, crisis, gamma=0.95) -> Column:

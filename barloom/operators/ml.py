@@ -11,6 +11,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -98,22 +99,16 @@ def importances(spark, model, names: Sequence[str], k: int) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature").limit(k)
 
 
-def gaussian_fit(df: DataFrame, vector: str, size: int) -> tuple[list[float], list[list[float]]]:
+def gaussian_fit(df: DataFrame, vector: str) -> tuple[list[float], list[list[float]]]:
     """Mean and inverse covariance (ridge 1e-6) of an array column.
 
-    Sums of x and x*x' come from one distributed aggregation; only size x size numbers
-    reach the driver."""
-    v = F.col(vector)
-    pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    summed = df.select(*[v[i].cast("double").alias(f"x{i}") for i in range(size)]).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(size)],
-        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs]).first()
-    n = summed["n"]
-    mean = np.array([summed[f"s{i}"] for i in range(size)]) / n
-    cov = np.zeros((size, size))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = (summed[f"p{i}_{j}"] - n * mean[i] * mean[j]) / (n - 1)
-    inv = np.linalg.inv(cov + 1e-6 * np.eye(size))
+    The moments are tree-aggregated by MLlib; only size x size numbers reach the driver."""
+    rows = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    s = rows.select(Summarizer.metrics("mean", "std").summary(F.col("v")).alias("s")).select("s.*").first()
+    mean, std = s["mean"].toArray(), s["std"].toArray()
+    corr = np.nan_to_num(Correlation.corr(rows, "v").first()[0].toArray())
+    np.fill_diagonal(corr, 1.0)
+    inv = np.linalg.inv(corr * np.outer(std, std) + 1e-6 * np.eye(len(mean)))
     return mean.tolist(), inv.tolist()
 
 

@@ -183,8 +183,7 @@ def hybrid_frame(spark, base):
             v = F.stddev_pop(x).over(past)
             return F.when(v < 1e-12, 0.0).otherwise(v)
         d = d.withColumns({"_n": F.count("p_rb").over(past), "_ma": F.avg("p_rb").over(past), "_sa": sd("p_rb"), "_mb": F.avg("p_ml").over(past), "_sb": sd("p_ml")})
-        a, b = sc.adaptive_weights(c("_n"), c("_ma"), c("_sa"), c("_mb"), c("_sb"))
-        d = d.withColumns({"alpha": a, "beta": b})
+        d = sc.add_adaptive_weights(d, c("_n"), c("_ma"), c("_sa"), c("_mb"), c("_sb"))
         return d.withColumn("p_hyb", c("alpha") * c("p_rb") + c("beta") * c("p_ml") + sc.future_value(F.lit("normal"), c("crisis")))
     return over_chunks(indexed_bars(spark, base), cols)
 
