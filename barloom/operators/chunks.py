@@ -49,7 +49,11 @@ def with_halo(df: DataFrame, before: int, after: int = 0, rows: int = ROWS_PER_C
         targets.append(F.when(place >= rows - before, home + 1))
     if after:
         targets.append(F.when((place < after) & (home > 0), home - 1))
-    return df.withColumn("chunk", F.explode(F.array_compact(F.array(*targets))))
+    placed = df.withColumn("chunk", F.explode(F.array_compact(F.array(*targets))))
+    # windows cost far more than their bytes suggest, so the partition count is
+    # taken from the session instead of being coalesced by size
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(n, *SERIES, "chunk")
 
 
 def drop_halo(df: DataFrame, rows: int = ROWS_PER_CHUNK) -> DataFrame:

@@ -8,6 +8,7 @@ from barloom.functions.columns import pct_change, ratio, rolling_std, sma
 from barloom.operators import indicators as ind
 from barloom.operators.asof import asof_join
 from barloom.operators.bars import coarser
+from barloom.operators.lineage import cut
 from barloom.operators.chunks import over_chunks, running_bars, with_bar_index
 from barloom.operators.quality import require_columns
 from barloom.schema import SERIES
@@ -45,11 +46,14 @@ def features_31(base_bars: DataFrame, label_time: bool = False) -> DataFrame:
     A higher bar is visible from its close on, not from its label time, which
     would show a bar its own future; ``label_time=True`` gives the other reading."""
     at = F.col("ts_s") if label_time else F.col("ts_s") + F.col("step_s")
-    base = timeframe_features(with_bar_index(base_bars)).withColumn("at_s", at)
-    rights = {}
+    # all timeframes are one long frame, so indicators run once over all of them
+    base_bars = cut(base_bars)
+    every = base_bars
     for tf in HIGHER:
-        high = timeframe_features(with_bar_index(coarser(base_bars, tf))).withColumn("at_s", at)
-        rights[f"h{tf}"] = high.select("symbol", "at_s", *HIGHER_FEATURES)
+        every = every.unionByName(coarser(base_bars, tf))
+    every = cut(timeframe_features(with_bar_index(every)).withColumn("at_s", at))
+    base = every.where(F.col("tf") == "15m")
+    rights = {f"h{tf}": every.where(F.col("tf") == tf).select("symbol", "at_s", *HIGHER_FEATURES) for tf in HIGHER}
     own = base.select("symbol", "at_s", "tf", "ts_s", "bar_idx", *[F.col(f).alias(f"15m_{f}") for f in BASE_FEATURES])
     wide = asof_join(own, rights, ["symbol"], "at_s", 900 * 4096)
     wide = wide.select("symbol", "tf", "ts_s", "bar_idx", *[f"`15m_{f}`" for f in BASE_FEATURES],

@@ -50,18 +50,16 @@ def hysteresis(df: DataFrame, regime: str = "regime", periods: int = 2) -> DataF
     return running_bars(over_chunks(df, switches, before=1), {"changed_at": ("last", F.col("_moved"))}).drop("_seen", "_moved")
 
 
-def crisis_columns(w: WindowSpec) -> dict[str, Column]:
-    """Rule names that fired and the alert level; ``first_close`` must be present."""
+def crisis_rules(r1: Column, r24: Column, r7: Column) -> Column:
+    """Names of the rules that fired; ``first_close`` must be present."""
     i = F.col("bar_idx")
-    r1, r24, r7 = window_return(w, 4), window_return(w, 96), window_return(w, 672)
     since = ratio(F.col("close") - F.col("first_close"), "first_close")
     early = (i >= 95) & (i < 671)
-    rules = F.array_compact(F.array(
+    return F.array_compact(F.array(
         F.when((i >= 3) & (r1 <= HALT_1H), "EMERGENCY_1H").when((i >= 3) & (r1 <= ALERT_1H), "WARNING_1H"),
         F.when((i >= 95) & (r24 <= CRISIS_24H), "CRISIS_24H"),
         F.when((i >= 671) & (r7 <= CRISIS_7D), "CRISIS_7D").when((i >= 671) & (r7 <= ALERT_7D), "WARNING_7D")
         .when(early & (since <= CRISIS_7D), "CRISIS_SINCE_START").when(early & (since <= ALERT_7D), "WARNING_SINCE_START")))
-    return {"rules": rules}
 
 
 def alert_level(rules: Column) -> Column:
@@ -90,36 +88,42 @@ def add_resume(df: DataFrame, w: WindowSpec) -> DataFrame:
     }).drop("_ret", "_vol", "_high", "_vn", "_vb", "_un", "_ub", "_s9")
 
 
-def recovery_reference(df: DataFrame) -> DataFrame:
-    """``recovering`` flag and the bar of the low that started the recovery episode.
-
-    An episode ends when the 7-day drawdown is above -10%; its reference is fixed at
-    its first recovering bar. ``drawdown_7d``, ``low_7d`` (struct low, neg_idx) must be present."""
-    ready = F.col("bar_idx") >= 287
-    deep = F.col("drawdown_7d") < -0.10
-    df = df.withColumn("recovering", F.coalesce(ready & deep & (F.col("close") > F.col("low_7d.close") * 1.03), F.lit(False)))
-    event = F.when(ready & ~deep, "reset").when(F.col("recovering"), "recovering")
-    df = running_bars(df.withColumn("_event", event), {"_last": ("last", F.col("_event"))})
-    df = over_chunks(df, lambda d, w: d.withColumn("_before", F.lag("_last", 1).over(w)), before=1)
-    starts = (F.col("_event") == "recovering") & F.coalesce(F.col("_before") == "reset", F.lit(True))
-    mark = F.when(F.col("_event") == "reset", F.lit(-1).cast("long")).when(starts, -F.col("low_7d.neg_idx"))
-    return running_bars(df.withColumn("_mark", mark), {"_ref": ("last", F.col("_mark"))}).withColumn(
-        "recovery_bar", F.when(F.col("_ref") >= 0, F.col("_ref"))).drop("_event", "_last", "_before", "_mark", "_ref")
+def recovery_event(ready: Column, deep: Column) -> dict[str, Column]:
+    """``recovering`` flag and the event it raises. An episode ends when the 7-day
+    drawdown is above -10%; its reference is fixed at its first recovering bar."""
+    rec = F.coalesce(ready & deep & (F.col("close") > F.col("low_7d.close") * 1.03), F.lit(False))
+    return {"recovering": rec, "_event": F.when(ready & ~deep, "reset").when(rec, "recovering")}
 
 
 def market_state(bars: DataFrame) -> DataFrame:
-    """Vote, hysteresis, crisis score, recovery check and the recommendation per bar."""
-    def cols(d, w):
+    """Vote, hysteresis, crisis score, recovery check and the recommendation per bar.
+
+    Two rounds of (bounded windows, running pass): everything the first round marks is
+    carried along the series in one pass, and the same for the second."""
+    def first_round(d, w):
         d = add_resume(add_regime_vote(d, w), w)
         d = d.withColumn("_low", F.struct((-F.col("close")).alias("m"), (-F.col("bar_idx")).alias("neg_idx")))
         d = ind.add_rolling_extremes(d, {"_high7": ("max", "close", 672), "_low7": ("max", "_low", 672)})
-        return d.withColumns({
+        d = d.withColumns({
             "drawdown_7d": ratio(F.col("close") - F.col("_high7"), "_high7"),
             "low_7d": F.struct((-F.col("_low7.m")).alias("close"), F.col("_low7.neg_idx").alias("neg_idx")),
-            **{f"_r{n}": window_return(w, n) for n in (4, 96, 672)}}).drop("_low", "_high7", "_low7")
-    df = running_bars(bars, {"first_close": ("first", F.col("close"))})
-    df = over_chunks(df, lambda d, w: cols(d, w).withColumns(crisis_columns(w)), before=4096)
-    df = recovery_reference(hysteresis(df)).withColumn("alert", alert_level(F.col("rules")))
+            "_seen": F.when(F.col("regime").eqNullSafe(F.lag("regime", 1).over(w)) | (F.col("bar_idx") == 0), F.col("regime")),
+            **{f"_r{n}": window_return(w, n) for n in (4, 96, 672)}})
+        return d.withColumns(recovery_event(F.col("bar_idx") >= 287, F.col("drawdown_7d") < -0.10)).drop("_low", "_high7", "_low7")
+
+    def second_round(d, w):
+        d = d.withColumns({"was": F.lag("confirmed", 1).over(w), "_before": F.lag("_last", 1).over(w)})
+        moved = ~F.col("confirmed").eqNullSafe(F.col("was")) & (F.col("bar_idx") > 0)
+        starts = (F.col("_event") == "recovering") & F.coalesce(F.col("_before") == "reset", F.lit(True))
+        return d.withColumns({
+            "_moved": F.when(moved, F.col("bar_idx")),
+            "_mark": F.when(F.col("_event") == "reset", F.lit(-1).cast("long")).when(starts, -F.col("low_7d.neg_idx"))})
+
+    df = running_bars(over_chunks(bars, first_round, before=4096), {
+        "confirmed": ("last", F.col("_seen")), "_last": ("last", F.col("_event")), "first_close": ("first", F.col("close"))})
+    df = running_bars(over_chunks(df, second_round, before=1), {"changed_at": ("last", F.col("_moved")), "_ref": ("last", F.col("_mark"))})
+    df = df.withColumns({"recovery_bar": F.when(F.col("_ref") >= 0, F.col("_ref")), "rules": crisis_rules(F.col("_r4"), F.col("_r96"), F.col("_r672"))})
+    df = df.withColumn("alert", alert_level(F.col("rules")))
     from_bear = (F.col("was") == "BEAR") & F.col("confirmed").isin("SIDEWAYS", "BULL")
     checked = F.coalesce(from_bear, F.lit(False)) | F.col("recovering")
     ref = F.coalesce("recovery_bar", "changed_at")

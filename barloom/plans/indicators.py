@@ -10,7 +10,7 @@ from barloom.functions.columns import (
 from barloom.operators import indicators as ind
 from barloom.operators.chunks import drop_halo, over_chunks, running_bars
 from barloom.operators.lineage import cut
-from barloom.operators.quantiles import quantile_columns
+from barloom.operators.quantiles import exact_quantiles
 from barloom.plans import sql as q
 from barloom.plans.base import indexed_bars, shown
 from barloom.plans.registry import query
@@ -209,8 +209,11 @@ def long_memory(bars, rows: int = 8192):
         }).select(*bars.columns, "chunk", "_v3", "_v7", "_v14", "distance_from_200ma", "bars_since_7d_high",
                   "price_position_30d")
     df = cut(over_chunks(bars, cols, before=4096, rows=rows))
-    for v, m in (("_v3", "_m3"), ("_v7", "_m7"), ("_v14", "_m14")):
-        df = df.join(quantile_columns(df, SERIES, v, {m: 0.5}), SERIES, "left")
+    vols = {"_v3": "_m3", "_v7": "_m7", "_v14": "_m14"}
+    long = df.select(*SERIES, F.explode(F.array(*[F.struct(F.lit(m).alias("name"), F.col(v).alias("v")) for v, m in vols.items()])).alias("x"))
+    med = exact_quantiles(long.select(*SERIES, "x.*"), [*SERIES, "name"], "v", [0.5])
+    med = med.groupBy(*SERIES).agg(*[F.max(F.when(F.col("name") == m, F.col("value"))).alias(m) for m in vols.values()])
+    df = df.join(med, SERIES, "left")
     df = df.withColumns({"volatility_3d": F.coalesce("_v3", "_m3"), "volatility_7d": F.coalesce("_v7", "_m7"),
                          "volatility_14d": F.coalesce("_v14", "_m14")})
     v7, m7 = F.col("volatility_7d"), F.col("_m7")

@@ -113,7 +113,7 @@ REQ = "SELECT event_type AS symbol, event_id, epoch_us(ts) // 1000000 AS want FR
 
 def marks(spark, base):
     """Large events are the moments patterns are cut around."""
-    return event_ticks(spark, base).where("price > 200").select("symbol", c("tie.event_id").alias("event_id"), F.floor(c("us") / 1_000_000).alias("ts_s"))
+    return event_ticks(spark, base).where("price > 200").select("symbol", c("tick_id").alias("event_id"), F.floor(c("us") / 1_000_000).alias("ts_s"))
 
 
 @query("nearest_bar", "J3", q.bars_of(q.event_bars("1h", 3600)) + f""", rq AS ({REQ}), n AS (SELECT rq.symbol, event_id, want, ts_s, bar_idx, row_number() OVER (PARTITION BY event_id ORDER BY abs(ts_s - want), ts_s) AS rn FROM rq JOIN bars b ON b.symbol = rq.symbol AND abs(ts_s - want) <= 1800)

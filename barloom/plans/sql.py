@@ -6,7 +6,7 @@ from barloom.functions.columns import TIE_SHIFT
 
 SER = "PARTITION BY symbol, tf"
 
-_LKEYS = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity"
+_LKEYS = "l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_quantity"
 _LP = "l_extendedprice / l_quantity"
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def read_table(spark: SparkSession, base_dir: str, name: str, *columns: str) -> DataFrame:
@@ -12,6 +14,12 @@ def read_table(spark: SparkSession, base_dir: str, name: str, *columns: str) ->
     return df.select(*columns) if columns else df
 
 
+def packed(high: Column, low: Column, low_digits: int) -> Column:
+    """(high, low) as one exact decimal that sorts like the pair. A fixed-width key
+    keeps first/last aggregates on hash aggregation; a struct key would sort the ticks."""
+    return high.cast("decimal(20,0)") * F.lit(Decimal(10) ** low_digits) + low.cast("decimal(20,0)")
+
+
 def event_ticks(spark: SparkSession, base_dir: str) -> DataFrame:
     """events -> ticks(symbol, us, price, size, tie)."""
     ev = read_table(spark, base_dir, "events")
@@ -21,7 +29,8 @@ def event_ticks(spark: SparkSession, base_dir: str) -> DataFrame:
         us.alias("us"),
         F.col("value").alias("price"),
         F.lit(1.0).alias("size"),
-        F.struct(us.alias("us"), F.col("event_id")).alias("tie"),
+        packed(us, F.col("event_id"), 19).alias("tie"),
+        F.col("event_id").alias("tick_id"),
     )
 
 
@@ -34,9 +43,6 @@ def line_ticks(spark: SparkSession, base_dir: str) -> DataFrame:
         us.alias("us"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("size"),
-        F.struct(
-            us.alias("us"),
-            F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"),
-            F.col("l_suppkey"), F.col("l_extendedprice"), F.col("l_quantity"),
-        ).alias("tie"),
+        # equal keys carry equal prices, so first and last stay well defined
+        packed(F.col("l_orderkey") * 16 + F.col("l_linenumber"), F.round(F.col("l_extendedprice") * 100).cast("long") * 100 + F.col("l_quantity").cast("long"), 14).alias("tie"),
     )
