@@ -341,3 +341,33 @@ def _(spark, base):
     k = k.join(dm, "status", "left").join(vm, "status", "left")
     out = st.liquidity_factors(F.col("spread"), F.col("depth"), F.col("volume"), F.col("trades"), F.col("dm"), F.col("vm"))
     return k.select("o_orderkey", *[c.alias(n) for n, c in out.items()])
+
+
+from barloom.strategies import run_strategy, strategy  # noqa: E402
+
+
+@strategy("bollinger")
+def _bollinger(bars):
+    """Buy at the lower band, sell at the upper one."""
+    df = over_chunks(bars, ind.add_bollinger, before=64)
+    return st.latch(df, F.col("close") <= F.col("bb_lower"), F.col("close") >= F.col("bb_upper"))
+
+
+@strategy("moving_average")
+def _moving_average(bars):
+    def cols(d, w):
+        return d.withColumns({"_f": sma("close", 9, w), "_s": sma("close", 21, w)})
+    df = over_chunks(bars, cols, before=64)
+    return st.latch(df, F.col("_f") > F.col("_s"), F.col("_f") <= F.col("_s"))
+
+
+X1_SQL = LATCH + f""", a AS ({_latch_sql('i3', 'close <= lo', 'close >= up', 'signal')}), b AS ({_latch_sql('i3', 'f9 > s21', 'f9 <= s21', 'signal')})
+SELECT symbol, tf, 'bollinger' AS strategy, signal, count(*) AS n FROM a GROUP BY ALL UNION ALL SELECT symbol, tf, 'moving_average', signal, count(*) FROM b GROUP BY ALL"""
+
+
+@query("registered_strategies", "X1 U1 A16", X1_SQL)
+def _(spark, base):
+    """Every registered strategy over the same bars, their signals stacked."""
+    bars = cut(indexed_bars(spark, base))
+    both = run_strategy("bollinger", bars).unionByName(run_strategy("moving_average", bars))
+    return both.groupBy("symbol", "tf", "strategy", "signal").agg(F.count(F.lit(1)).alias("n"))
