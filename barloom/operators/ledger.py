@@ -124,20 +124,21 @@ def underwater(equity: DataFrame) -> DataFrame:
     return runs.groupBy("symbol").agg(F.max("len").alias("underwater_bars"))
 
 
-def entry_gaps(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
+def entry_gaps(trades: DataFrame, key: str) -> DataFrame:
     """Median gap between consecutive entries and share of gaps under a day, from
     per-instant counts: all but the first entry of an instant have gap 0."""
-    per = trades.groupBy(*keys, "entry_s").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys).orderBy("entry_s")
-    gaps = cut(per.select(*keys, "n", ((F.col("entry_s") - F.lag("entry_s").over(w)) / 3600.0).alias("gap_h")))
-    one = gaps.where(F.col("gap_h").isNotNull()).select(*keys, "gap_h", F.lit(1).cast("long").alias("c"))
-    zero = gaps.where(F.col("n") > 1).select(*keys, F.lit(0.0).alias("gap_h"), (F.col("n") - 1).alias("c"))
-    counted = one.unionByName(zero).groupBy(*keys, "gap_h").agg(F.sum("c").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("gap_h").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("c").over(Window.partitionBy(*keys))
-    r = counted.withColumns({"upto": upto, "total": total})
+    per = trades.groupBy(F.col(key).alias("symbol"), F.lit("entries").alias("tf"), F.col("entry_s").alias("ts_s")).agg(F.count(F.lit(1)).alias("n"))
+    month = F.floor(F.col("ts_s") / (86400 * 30))
+    per = running(per.withColumn("_b", month), SERIES, ["_b"], ["ts_s"], {"bar_idx": ("sum", F.lit(1))}).withColumn("bar_idx", (F.col("bar_idx") - 1).cast("long"))
+    gaps = over_chunks(per, lambda d, w: d.withColumn("gap_h", (F.col("ts_s") - F.lag("ts_s", 1).over(w)) / 3600.0), before=1)
+    one = F.when(F.col("gap_h").isNotNull(), F.struct("gap_h", F.lit(1).cast("long").alias("c")))
+    zero = F.when(F.col("n") > 1, F.struct(F.lit(0.0).alias("gap_h"), (F.col("n") - 1).alias("c")))
+    counted = gaps.select("symbol", F.explode(F.array_compact(F.array(one, zero))).alias("g")).groupBy("symbol", "g.gap_h").agg(F.sum("g.c").alias("c"))
+    counted = cut(counted.withColumn("_b", F.floor(F.col("gap_h") / 24)))
+    r = running(counted, ["symbol"], ["_b"], ["gap_h"], {"upto": ("sum", F.col("c"))})
+    r = r.join(counted.groupBy("symbol").agg(F.sum("c").alias("total")), "symbol")
     pos = (F.col("total") - 1) / 2.0
-    return r.groupBy(*keys).agg(
+    return r.groupBy(F.col("symbol").alias(key)).agg(
         F.max("total").alias("n_gaps"),
         ((F.min(F.when(F.col("upto") > F.floor(pos), F.col("gap_h"))) + F.min(F.when(F.col("upto") > F.ceil(pos), F.col("gap_h")))) / 2
          ).alias("median_gap_h"),

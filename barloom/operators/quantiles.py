@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-MARGIN = 0.002
-ACCURACY = 2000
+# a sketch of this accuracy misses a rank by at most n / ACCURACY, well inside the bracket
+MARGIN = 5e-5
+ACCURACY = 100_000
+# groups this small are ranked whole: below it the bracket would be narrower than a rank
+SMALL = 50_000
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], x: str, qs: Sequence[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], x: str, qs: Sequence[float], small: int = SMALL) -> DataFrame:
     """(keys, q, value): linear interpolation between the two middle ranks.
 
     A mergeable sketch brackets each quantile by values whose rank error is
@@ -26,8 +30,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], x: str, qs: Sequence[flo
     bands = sketch.select(*keys, "n", F.explode(F.array(*[
         F.struct(
             F.lit(float(q)).alias("q"),
-            (F.col("lo_all") if q <= MARGIN else F.col("p")[2 * i]).alias("lo"),
-            (F.col("hi_all") if q >= 1 - MARGIN else F.col("p")[2 * i + 1]).alias("hi"))
+            F.when((F.col("n") <= small) | F.lit(q <= MARGIN), F.col("lo_all")).otherwise(F.col("p")[2 * i]).alias("lo"),
+            F.when((F.col("n") <= small) | F.lit(q >= 1 - MARGIN), F.col("hi_all")).otherwise(F.col("p")[2 * i + 1]).alias("hi"))
         for i, q in enumerate(qs)])).alias("b")).select(*keys, "n", "b.q", "b.lo", "b.hi")
     placed = src.join(bands, keys) if keys else src.crossJoin(F.broadcast(bands))
     # everything under the bracket collapses to one counted row, values inside to one row each
@@ -52,3 +56,16 @@ def quantile_columns(df: DataFrame, keys: Sequence[str], x: str, named: dict[str
     out = exact_quantiles(df, keys, x, list(dict.fromkeys(named.values())))
     pick = [F.max(F.when(F.col("q") == float(q), F.col("value"))).alias(n) for n, q in named.items()]
     return out.groupBy(*keys).agg(*pick) if keys else out.agg(*pick)
+
+
+def sliced(df: DataFrame, x: str, name: str = "_slice", rows: int = 500_000, most: int = 10_000) -> DataFrame:
+    """Number contiguous value ranges of ``x`` that hold about ``rows`` rows each.
+
+    The cut points (at most ``most`` numbers) are sketched once; a row finds its range
+    by binary search. ``df`` should be cheap to read again (see ``lineage.cut``)."""
+    k = min(most, -(-df.count() // rows))
+    if k <= 1:
+        return df.withColumn(name, F.lit(0.0))
+    cuts = df.agg(F.percentile_approx(x, [i / k for i in range(1, k)], 10 * k)).first()[0]
+    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    return Bucketizer(splits=splits, inputCol=x, outputCol=name, handleInvalid="keep").transform(df)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barloom.functions.columns import ratio
 from barloom.operators.chunks import running
 from barloom.operators.lineage import cut
+from barloom.operators.quantiles import sliced
 from barloom.schema import SERIES
 
 
@@ -72,18 +73,17 @@ def value_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ks_pairs(df: DataFrame, names: Sequence[str], slices: int = 64) -> DataFrame:
+def ks_pairs(df: DataFrame, names: Sequence[str], rows: int = 500_000) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic of every pair of vectors.
 
     All empirical distribution functions advance together over the distinct values,
-    which are cut at sketched quantiles so that no task orders all of them."""
+    which are cut into value ranges so that no task orders all of them."""
     counts = value_counts(df, names).groupBy("value").agg(*[
         F.coalesce(F.sum(F.when(F.col("name") == n, F.col("n"))), F.lit(0)).alias(n) for n in names])
     counts = cut(counts)
-    total = counts.agg(F.percentile_approx("value", [i / slices for i in range(1, slices)], 10000).alias("_cuts"),
-                       *[F.sum(n).alias(f"_n_{n}") for n in names])
-    # one row
-    placed = counts.crossJoin(F.broadcast(total)).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c <= F.col("value")))).withColumn("_all", F.lit(1))
+    total = counts.agg(*[F.sum(n).alias(f"_n_{n}") for n in names])
+    # the broadcast side is one row
+    placed = sliced(counts, "value", rows=rows).crossJoin(F.broadcast(total)).withColumn("_all", F.lit(1))
     seen = running(placed, ["_all"], ["_slice"], ["value"], {f"_c_{n}": ("sum", F.col(n)) for n in names})
     pairs = list(combinations(names, 2))
     gaps = seen.agg(*[F.max(F.abs(F.col(f"_c_{a}") / F.col(f"_n_{a}") - F.col(f"_c_{b}") / F.col(f"_n_{b}"))).alias(f"{a}__{b}") for a, b in pairs],
@@ -168,24 +168,23 @@ def divergences(hist: DataFrame, p: str, q: str, bins: int) -> DataFrame:
                  F.sum((pp * F.log(pp / m) + qq * F.log(qq / m)) / 2).alias("js"))
 
 
-def average_ranks_auc(df: DataFrame, score: str, label: str, slices: int = 64) -> DataFrame:
+def average_ranks_auc(df: DataFrame, score: str, label: str, rows: int = 500_000) -> DataFrame:
     """ROC AUC by average ranks: scores collapse to distinct values before they are ordered."""
     counts = cut(df.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")))
-    cuts = counts.agg(F.percentile_approx("s", [i / slices for i in range(1, slices)], 10000).alias("_cuts"))
-    placed = counts.crossJoin(F.broadcast(cuts)).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c <= F.col("s")))).withColumn("_all", F.lit(1))
+    placed = sliced(counts, "s", rows=rows).withColumn("_all", F.lit(1))
     seen = running(placed, ["_all"], ["_slice"], ["s"], {"upto": ("sum", F.col("n"))})
     rank = F.col("upto") - (F.col("n") - 1) / 2.0
     t = seen.agg(F.sum(rank * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return t.select(ratio(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"), F.col("p").alias("positives"), F.col("q").alias("negatives"))
 
 
-def best_f1(df: DataFrame, score: str, label: str, slices: int = 64) -> DataFrame:
+def best_f1(df: DataFrame, score: str, label: str, rows: int = 500_000) -> DataFrame:
     """Threshold with the best F1 over the distinct scores (predict 1 at or above it)."""
     counts = cut(df.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")))
-    cuts = counts.agg(F.percentile_approx("s", [i / slices for i in range(1, slices)], 10000).alias("_cuts"), F.sum("pos").alias("_p"), F.sum("n").alias("_n"))
-    placed = counts.crossJoin(F.broadcast(cuts)).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c <= F.col("s")))).withColumn("_all", F.lit(1))
+    totals = counts.agg(F.sum("pos").alias("_p"), F.sum("n").alias("_n"))  # one row
+    placed = sliced(counts, "s", rows=rows).crossJoin(F.broadcast(totals)).withColumn("_all", F.lit(1))
     seen = running(placed, ["_all"], ["_slice"], ["s"], {"_cp": ("sum", F.col("pos")), "_cn": ("sum", F.col("n"))})
     tp, flagged = F.col("_p") - F.col("_cp") + F.col("pos"), F.col("_n") - F.col("_cn") + F.col("n")
     pr, rc = tp / flagged, tp / F.col("_p")

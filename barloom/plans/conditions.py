@@ -304,23 +304,32 @@ def _(spark, base):
 
 
 def order_books(spark, base):
-    """One book per order: its open lines are bids, its filled lines asks."""
-    li = read_table(spark, base, "lineitem")
-    level = F.struct((F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("size"))
-    books = li.groupBy("l_orderkey").agg(
-        F.sort_array(F.collect_list(F.when(F.col("l_linestatus") == "O", level)), asc=False).alias("bids"),
-        F.sort_array(F.collect_list(F.when(F.col("l_linestatus") == "F", level))).alias("asks"), F.count(F.lit(1)).alias("n_lines"))
+    """The ten best levels of each side per order: open lines are bids, filled lines asks.
+    The rank limit is applied before the shuffle, so a huge order stays ten rows a side."""
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    li = read_table(spark, base, "lineitem").select("l_orderkey", "l_linestatus", price.alias("price"), F.col("l_quantity").alias("size"))
+    best = F.when(F.col("l_linestatus") == "O", -F.col("price")).otherwise(F.col("price"))
+    big = F.when(F.col("l_linestatus") == "O", -F.col("size")).otherwise(F.col("size"))
+    w = Window.partitionBy("l_orderkey", "l_linestatus").orderBy(best, big)
+    top = li.withColumn("lvl", F.row_number().over(w)).where("lvl <= 10")
+    level = F.struct("lvl", "price", "size")
+    books = top.groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list(F.when(F.col("l_linestatus") == "O", level))).alias("bids"),
+        F.sort_array(F.collect_list(F.when(F.col("l_linestatus") == "F", level))).alias("asks"))
+    od = read_table(spark, base, "orders", "o_orderkey")
+    return books.join(od, books.l_orderkey == od.o_orderkey).select("o_orderkey", "bids", "asks")
+
+
+def book_summaries(spark, base):
+    """Best prices, whole depth and line count per order, from plain aggregates."""
+    price, side = F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_linestatus")
+    s = read_table(spark, base, "lineitem").groupBy("l_orderkey").agg(
+        F.max(F.when(side == "O", price)).alias("bid"), F.min(F.when(side == "F", price)).alias("ask"),
+        F.sum(price * F.col("l_quantity")).alias("depth"), (F.count(F.lit(1)) * 4).alias("trades"))
     od = read_table(spark, base, "orders")
-    return books.join(od, books.l_orderkey == od.o_orderkey).select(
-        "o_orderkey", F.col("o_orderstatus").alias("status"), "bids", "asks", F.col("o_totalprice").alias("volume"), (F.col("n_lines") * 4).alias("trades"))
-
-
-def with_book_columns(books):
-    def side(name):
-        return F.aggregate(name, F.lit(0.0), lambda acc, x: acc + x["price"] * x["size"])
-    bid, ask = F.try_element_at(F.col("bids"), F.lit(1))["price"], F.try_element_at(F.col("asks"), F.lit(1))["price"]
-    return books.withColumns({"bid": bid, "ask": ask, "depth": side("bids") + side("asks"),
-                              "spread": ratio(ask - bid, (ask + bid) / 2)})
+    return s.join(od, s.l_orderkey == od.o_orderkey).select(
+        "o_orderkey", F.col("o_orderstatus").alias("status"), "bid", "ask", "depth", "trades", F.col("o_totalprice").alias("volume"),
+        ratio(F.col("ask") - F.col("bid"), (F.col("ask") + F.col("bid")) / 2).alias("spread"))
 
 
 BOOK_SQL = """WITH l AS (SELECT l_orderkey, l_extendedprice / l_quantity AS price, l_quantity AS size, l_linestatus FROM lineitem),
@@ -335,7 +344,7 @@ SELECT o_orderkey, wide_spread, thin_depth, low_volume, few_trades, wide_spread
 
 @query("liquidity_monitor", "T8 F32", BOOK_SQL)
 def _(spark, base):
-    k = cut(with_book_columns(order_books(spark, base)))
+    k = cut(book_summaries(spark, base))
     dm = quantile_columns(k, ["status"], "depth", {"dm": 0.5})
     vm = quantile_columns(k, ["status"], "volume", {"vm": 0.5})
     k = k.join(dm, "status", "left").join(vm, "status", "left")

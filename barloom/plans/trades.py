@@ -207,7 +207,7 @@ def _(spark, base):
 @query("entry_gaps", "A37", TR + f""", g AS (SELECT strategy, (entry_s - lag(entry_s) OVER (PARTITION BY strategy ORDER BY entry_s, {_ORD})) / 3600.0 AS gap FROM trades)
 SELECT strategy, count(gap) AS n_gaps, quantile_cont(gap, 0.5) AS median_gap_h, round(count(*) FILTER (gap < 24) / count(gap), 6) AS share_under_day FROM g GROUP BY strategy""")
 def _(spark, base):
-    g = lg.entry_gaps(trades(spark, base), ["strategy"])
+    g = lg.entry_gaps(trades(spark, base), "strategy")
     return g.select("strategy", "n_gaps", "median_gap_h", F.round("share_under_day", 6).alias("share_under_day"))
 
 
@@ -288,3 +288,16 @@ def _(spark, base):
         F.count(F.lit(1)).alias("n"), (F.round(F.avg("pnl_pct"), 6) + F.lit(0.0)).alias("mean_w"),
         F.round(F.avg((F.col("pnl_pct") > 0.03).cast("double")), 6).alias("share_strong"))
     return g.select(F.coalesce("symbol", F.lit("*")).alias("symbol"), F.coalesce("strategy", F.lit("*")).alias("strategy"), "n", "mean_w", "share_strong")
+
+
+@query("ledger_sink", "S13 U1", TR + """ SELECT symbol, strategy, count(*) AS n, round(sum(pnl), 2) AS pnl, max(exit_s) AS last_exit FROM trades GROUP BY symbol, strategy""")
+def _(spark, base):
+    """The ledger written as a partitioned table in the shared folder and read back."""
+    import uuid
+    from barloom.operators.lineage import ensure_checkpoint_dir
+    from barloom.sources.files import write_table
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/ledger-{uuid.uuid4().hex}"
+    write_table(trades(spark, base), path, by=["symbol"])
+    return spark.read.parquet(path).groupBy("symbol", "strategy").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("pnl"), 2).alias("pnl"), F.max("exit_s").alias("last_exit"))

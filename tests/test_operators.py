@@ -115,9 +115,10 @@ def test_wilder_rsi(spark):
     assert np.allclose(column(df, "rsi_wilder"), want)
 
 
-def test_exact_quantiles_with_hot_values(spark):
+@pytest.mark.parametrize("hot,rest", [(4, 3), (4000, 6000), (60_000, 140_000)])
+def test_exact_quantiles_with_hot_values(spark, hot, rest):
     rng = np.random.default_rng(3)
-    x = np.r_[np.full(4000, 2.5), rng.normal(size=6000)]
+    x = np.r_[np.full(hot, 0.3), rng.normal(size=rest)]
     df = spark.createDataFrame(pd.DataFrame({"k": 1, "x": x}))
     qs = [0.0, 0.05, 0.3, 0.5, 0.95, 1.0]
     got = {r["q"]: r["value"] for r in exact_quantiles(df, ["k"], "x", qs).collect()}
@@ -283,7 +284,7 @@ def test_anova_and_tail(spark):
 def test_ks_against_sorted_arrays(spark):
     rng = np.random.default_rng(0)
     a, b = rng.normal(size=500).round(2), rng.normal(0.3, 1.2, 500).round(2)
-    got = stats.ks_pairs(spark.createDataFrame(pd.DataFrame({"a": a, "b": b})), ["a", "b"], slices=8).first()["ks"]
+    got = stats.ks_pairs(spark.createDataFrame(pd.DataFrame({"a": a, "b": b})), ["a", "b"], rows=40).first()["ks"]
     grid = np.unique(np.r_[a, b])
     want = np.abs(np.searchsorted(np.sort(a), grid, "right") / 500 - np.searchsorted(np.sort(b), grid, "right") / 500).max()
     assert got == pytest.approx(want)
@@ -303,8 +304,8 @@ def test_mahalanobis_against_numpy(spark):
 def test_auc_and_best_f1(spark):
     rows = [(0.1, 0), (0.4, 0), (0.35, 1), (0.8, 1), (0.4, 1)]
     df = spark.createDataFrame(rows, "s double, y int")
-    assert stats.average_ranks_auc(df, "s", "y", slices=4).first()["auc"] == pytest.approx(4.5 / 6)
-    best = stats.best_f1(df, "s", "y", slices=4).first()
+    assert stats.average_ranks_auc(df, "s", "y", rows=2).first()["auc"] == pytest.approx(4.5 / 6)
+    best = stats.best_f1(df, "s", "y", rows=2).first()
     assert best["threshold"] == 0.35 and best["recall"] == 1.0
 
 
