@@ -108,7 +108,7 @@ def _(spark, base):
         profile("lineitem", "l_shipdate", "l_extendedprice", "l_returnflag"), allowMissingColumns=True)
 
 
-@query("event_props_json", "S15 F30", """SELECT event_type, count(*) AS n, sum(json_extract(props, '$.k')::BIGINT) AS k_sum,
+@query("event_props_json", "S15 F30", """SELECT event_type, count(*) AS n, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS k_sum,
  max('{"kind":"' || event_type || '","k":' || json_extract(props, '$.k')::VARCHAR || '}') AS doc FROM events GROUP BY event_type""")
 def _(spark, base):
     ev = read_table(spark, base, "events").withColumn("p", F.from_json("props", "k BIGINT", {"mode": "PERMISSIVE"}))

@@ -59,12 +59,32 @@ def _(spark, base):
     return out.select("symbol", "event_id", F.round("value", 4).alias("value"), c("day_hit").cast("int").alias("day_hit"), c("latched").cast("int").alias("latched"))
 
 
-@query("stream_trailing_stop", "T14")
+TRAIL_SQL = """WITH RECURSIVE t AS (SELECT event_type AS symbol, event_id, value AS p, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT symbol, event_id, n, p AS entry, p - 15.0 AS stop, 0.02::DOUBLE AS af, 0 AS hit FROM t WHERE n = 1
+ UNION ALL SELECT t.symbol, t.event_id, t.n, CASE WHEN f.entry IS NULL THEN t.p WHEN t.p <= f.stop THEN NULL ELSE f.entry END,
+  CASE WHEN f.entry IS NULL THEN t.p - 15.0 WHEN t.p > f.stop AND (t.p - f.entry) / f.entry >= 0.02 THEN greatest(f.stop, least(f.stop + (t.p - f.stop) * f.af, t.p * 0.99)) ELSE f.stop END,
+  CASE WHEN f.entry IS NULL THEN 0.02 WHEN t.p > f.stop AND (t.p - f.entry) / f.entry >= 0.02 THEN least(f.af + 0.02, 0.2) ELSE f.af END,
+  CASE WHEN f.entry IS NOT NULL AND t.p <= f.stop THEN 1 ELSE 0 END FROM f JOIN t ON t.symbol = f.symbol AND t.n = f.n + 1)
+SELECT symbol, event_id, """ + q.r("stop") + " AS stop, hit FROM f"
+
+
+@query("stream_trailing_stop", "T14", TRAIL_SQL)
 def _(spark, base):
-    return drain(spark, stream_trailing(tick_stream(spark, base).select("symbol", "ts", "event_id", "price"), atr=5.0))
+    out = drain(spark, stream_trailing(tick_stream(spark, base).select("symbol", "ts", "event_id", "price"), atr=5.0))
+    return out.select("symbol", "event_id", rounded("stop").alias("stop"), c("hit").cast("int").alias("hit"))
+
+
+WATCH_SQL = f"""WITH e AS (SELECT event_type AS symbol, epoch_us(ts) // 21600000000 AS trade_id, epoch_ms(ts) AS ms, value, row_number() OVER w AS rn, first_value(value) OVER w AS entry, epoch_ms(first_value(ts) OVER w) AS t0
+  FROM events WINDOW w AS (PARTITION BY event_type, epoch_us(ts) // 21600000000 ORDER BY ts, event_id)),
+m AS (SELECT *, rn - 1 AS n, value / entry - 1 AS move FROM e WHERE rn > 1 AND ms - t0 < 7200000),
+b AS (SELECT *, greatest(0, max(move) OVER (PARTITION BY symbol, trade_id ORDER BY n)) AS best FROM m),
+r AS (SELECT *, CASE WHEN best > 0.05 AND move < best * 0.5 THEN 'bull_trap' WHEN n >= 2 AND best <= 0.005 AND move <= -0.003 THEN 'false_breakout' WHEN n >= 4 AND move < -0.02 THEN 'adverse_move' WHEN n >= 4 AND move > 0.1 THEN 'too_good' END AS reason FROM b),
+d AS (SELECT symbol, trade_id, min_by(reason, n) AS outcome, min(n) AS ticks FROM r WHERE reason IS NOT NULL GROUP BY symbol, trade_id)
+SELECT symbol, trade_id, outcome, ticks FROM d UNION ALL
+SELECT symbol, trade_id, 'confirmed', 0 FROM (SELECT DISTINCT symbol, trade_id, t0 FROM e) WHERE (symbol, trade_id) NOT IN (SELECT (symbol, trade_id) FROM d) AND t0 + 7200000 < {_WM}"""
 
 
-@query("stream_watch", "T7")
+@query("stream_watch", "T7", WATCH_SQL)
 def _(spark, base):
     """Every six-hour slot of a series is watched as one trade."""
     slot = F.floor(F.unix_seconds("ts") / 21600)

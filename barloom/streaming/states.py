@@ -95,7 +95,7 @@ def stream_watch(ticks: DataFrame, hours: float = 2.0) -> DataFrame:
             return
         entry, t0, best, n, done = state.get if state.exists else (None, 0, 0.0, 0, False)
         for row in _rows(frames).itertuples():
-            now = int(row.ts.timestamp() * 1000)
+            now = row.ts.value // 1_000_000
             if entry is None:
                 entry, t0 = float(row.price), now
                 continue
