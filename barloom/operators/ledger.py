@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.columns import ratio
 from barloom.operators.chunks import over_chunks, running, running_bars
-from barloom.operators.lineage import cut
+from barloom.operators.lineage import attach, cut
 from barloom.operators.quantiles import quantile_columns
 from barloom.schema import SERIES
 
@@ -51,7 +51,7 @@ def streaks(trades: DataFrame, keys: Sequence[str], win: Column, order: Sequence
     busiest = df.groupBy("_day").count().agg(F.ceil(F.max("count") / per_slice).alias("_n"))
     place = F.floor((F.col("order_no") - F.col("_lo")) * F.col("_n") / (F.col("_hi") - F.col("_lo") + 1))
     # both sides of these joins are single-row aggregates
-    df = df.crossJoin(F.broadcast(span)).crossJoin(F.broadcast(busiest)).withColumn(
+    df = df.transform(attach, span).transform(attach, busiest).withColumn(
         "_slice", F.coalesce(place, F.lit(0)).cast("long")).drop("_lo", "_hi", "_n")
     df = running(df, keys, ["_day", "_slice"], order, {"_n": ("sum", F.lit(1)), "_w": ("sum", F.col("_win"))})
     island = F.when(F.col("_win") == 1, F.col("_n") - F.col("_w")).otherwise(F.col("_w"))

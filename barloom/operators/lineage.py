@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CONF = "spark.checkpoint.dir"
 
@@ -28,3 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
     second reader does not compute it again and a lost executor costs nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Append the columns of a global aggregate, which is one row by definition, to every
+    row: ``df.transform(attach, df.agg(...))``. Not for frames that can grow."""
+    return df.crossJoin(F.broadcast(one_row))

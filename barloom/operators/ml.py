@@ -15,6 +15,7 @@ from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barloom.operators.lineage import attach
 from barloom.functions.columns import ratio
 
 
@@ -41,7 +42,7 @@ def stratified_part(df: DataFrame, key: str, label: str, test_share: float = 0.2
 def class_weight(df: DataFrame, label: str) -> DataFrame:
     """Weight negatives / positives on the positive class."""
     n = df.agg(F.count_if(F.col(label) == 0).alias("_neg"), F.count_if(F.col(label) == 1).alias("_pos"))
-    return df.crossJoin(F.broadcast(n)).withColumn("weight", F.when(F.col(label) == 1, F.coalesce(ratio("_neg", "_pos"), F.lit(1.0))).otherwise(1.0)).drop("_neg", "_pos")
+    return df.transform(attach, n).withColumn("weight", F.when(F.col(label) == 1, F.coalesce(ratio("_neg", "_pos"), F.lit(1.0))).otherwise(1.0)).drop("_neg", "_pos")
 
 
 def trainable(df: DataFrame, label: str, min_rows: int = 50) -> bool:
@@ -56,7 +57,7 @@ def fit_standard_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def apply_scaler(df: DataFrame, fit: DataFrame, columns: Sequence[str]) -> DataFrame:
-    df = df.crossJoin(F.broadcast(fit))
+    df = df.transform(attach, fit)
     return df.withColumns({c: F.coalesce(ratio(F.col(c) - F.col("fit")[i]["m"], F.col("fit")[i]["s"]), F.lit(0.0)) for i, c in enumerate(columns)}).drop("fit")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
+from barloom.operators.lineage import attach
+
 # a sketch of this accuracy misses a rank by at most n / ACCURACY, well inside the bracket
 MARGIN = 5e-5
 ACCURACY = 100_000
@@ -27,13 +29,14 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], x: str, qs: Sequence[flo
     sketch = src.groupBy(*keys).agg(
         F.percentile_approx("_x", probe, ACCURACY).alias("p"), F.count("_x").alias("n"),
         F.min("_x").alias("lo_all"), F.max("_x").alias("hi_all"))
-    bands = sketch.select(*keys, "n", F.explode(F.array(*[
+    bands = sketch.select(*keys, "n", F.array(*[
         F.struct(
             F.lit(float(q)).alias("q"),
             F.when((F.col("n") <= small) | F.lit(q <= MARGIN), F.col("lo_all")).otherwise(F.col("p")[2 * i]).alias("lo"),
             F.when((F.col("n") <= small) | F.lit(q >= 1 - MARGIN), F.col("hi_all")).otherwise(F.col("p")[2 * i + 1]).alias("hi"))
-        for i, q in enumerate(qs)])).alias("b")).select(*keys, "n", "b.q", "b.lo", "b.hi")
-    placed = src.join(bands, keys) if keys else src.crossJoin(F.broadcast(bands))
+        for i, q in enumerate(qs)]).alias("_bands"))
+    placed = (src.join(bands, keys) if keys else src.transform(attach, bands)).select(
+        *keys, "_x", "n", F.explode("_bands").alias("b")).select(*keys, "_x", "n", "b.*")
     # everything under the bracket collapses to one counted row, values inside to one row each
     spot = F.when(F.col("_x") >= F.col("lo"), F.col("_x"))
     counted = (

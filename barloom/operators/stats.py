@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.functions.columns import ratio
 from barloom.operators.chunks import running
-from barloom.operators.lineage import cut
+from barloom.operators.lineage import attach, cut
 from barloom.operators.quantiles import sliced
 from barloom.schema import SERIES
 
@@ -83,7 +83,7 @@ def ks_pairs(df: DataFrame, names: Sequence[str], rows: int = 500_000) -> DataFr
     counts = cut(counts)
     total = counts.agg(*[F.sum(n).alias(f"_n_{n}") for n in names])
     # the broadcast side is one row
-    placed = sliced(counts, "value", rows=rows).crossJoin(F.broadcast(total)).withColumn("_all", F.lit(1))
+    placed = sliced(counts, "value", rows=rows).transform(attach, total).withColumn("_all", F.lit(1))
     seen = running(placed, ["_all"], ["_slice"], ["value"], {f"_c_{n}": ("sum", F.col(n)) for n in names})
     pairs = list(combinations(names, 2))
     gaps = seen.agg(*[F.max(F.abs(F.col(f"_c_{a}") / F.col(f"_n_{a}") - F.col(f"_c_{b}") / F.col(f"_n_{b}"))).alias(f"{a}__{b}") for a, b in pairs],
@@ -130,9 +130,9 @@ def effective_weights(pairs: DataFrame, scores: DataFrame, weights: Sequence[tup
     eff = both.groupBy("symbol").agg((1 / (1 + F.count(F.lit(1)) * F.avg(F.abs("corr")))).alias("effective_weight"))
     s = scores.join(eff, "symbol", "left").withColumn("effective_weight", F.coalesce("effective_weight", F.lit(1.0)))
     n = s.agg(F.count(F.lit(1)).alias("_n"))
-    s = s.crossJoin(F.broadcast(n)).withColumn("contribution", F.col("score") * F.col("effective_weight") / F.col("_n"))
+    s = s.transform(attach, n).withColumn("contribution", F.col("score") * F.col("effective_weight") / F.col("_n"))
     total = s.agg(F.sum("contribution").alias("portfolio_score"))
-    return s.crossJoin(F.broadcast(total)).drop("_n")
+    return s.transform(attach, total).drop("_n")
 
 
 def drift(df: DataFrame, features: Sequence[str], is_train: Column, outlier: float = 3.0) -> DataFrame:
@@ -161,7 +161,7 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int, keys:
 def divergences(hist: DataFrame, p: str, q: str, bins: int) -> DataFrame:
     """KL(p||q), KL(q||p) and Jensen-Shannon from two histograms (columns of counts per bin), one pseudo count per bin."""
     t = hist.agg(F.sum(F.col(p)).alias("_tp"), F.sum(F.col(q)).alias("_tq"))
-    h = hist.crossJoin(F.broadcast(t))
+    h = hist.transform(attach, t)
     pp, qq = (F.col(p) + 1) / (F.col("_tp") + bins), (F.col(q) + 1) / (F.col("_tq") + bins)
     m = (pp + qq) / 2
     return h.agg(F.sum(pp * F.log(pp / qq)).alias("kl_pq"), F.sum(qq * F.log(qq / pp)).alias("kl_qp"),
@@ -184,7 +184,7 @@ def best_f1(df: DataFrame, score: str, label: str, rows: int = 500_000) -> DataF
     counts = cut(df.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")))
     totals = counts.agg(F.sum("pos").alias("_p"), F.sum("n").alias("_n"))  # one row
-    placed = sliced(counts, "s", rows=rows).crossJoin(F.broadcast(totals)).withColumn("_all", F.lit(1))
+    placed = sliced(counts, "s", rows=rows).transform(attach, totals).withColumn("_all", F.lit(1))
     seen = running(placed, ["_all"], ["_slice"], ["s"], {"_cp": ("sum", F.col("pos")), "_cn": ("sum", F.col("n"))})
     tp, flagged = F.col("_p") - F.col("_cp") + F.col("pos"), F.col("_n") - F.col("_cn") + F.col("n")
     pr, rc = tp / flagged, tp / F.col("_p")

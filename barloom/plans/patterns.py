@@ -11,7 +11,7 @@ from barloom.operators import ml
 from barloom.operators.asof import around, nearest_join
 from barloom.operators.bars import ohlcv
 from barloom.operators.chunks import over_chunks, running_bars, with_bar_index
-from barloom.operators.lineage import cut
+from barloom.operators.lineage import attach, cut
 from barloom.plans import sql as q
 from barloom.plans.base import indexed_bars, shown
 from barloom.plans.conditions import T9_SQL
@@ -195,7 +195,7 @@ def _(spark, base):
     scores all of them at once and every task keeps its own best five before the shuffle."""
     e = read_table(spark, base, "embeddings")
     qs = e.where("label = 0").orderBy("vec_id").limit(8).agg(F.collect_list(F.struct(c("vec_id").alias("id"), c("embedding").alias("v"))).alias("qs"))
-    pairs = e.crossJoin(F.broadcast(qs)).select("vec_id", "embedding", F.explode("qs").alias("q")).where("vec_id <> q.id")
+    pairs = e.transform(attach, qs).select("vec_id", "embedding", F.explode("qs").alias("q")).where("vec_id <> q.id")
     d2 = F.aggregate(F.zip_with("embedding", "q.v", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
     w = Window.partitionBy("query_id").orderBy("d2", "vec_id")
     return pairs.select(c("q.id").alias("query_id"), "vec_id", F.round(d2, 8).alias("d2")).withColumn("place", F.row_number().over(w)).where("place <= 5").select(

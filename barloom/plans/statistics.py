@@ -8,7 +8,7 @@ from barloom.functions.columns import pct_change, ratio, rolling_std, rounded
 from barloom.operators import stats
 from barloom.operators.bars import ohlcv
 from barloom.operators.chunks import over_chunks, with_bar_index
-from barloom.operators.lineage import cut
+from barloom.operators.lineage import attach, cut
 from barloom.operators.quality import drop_non_finite, finite
 from barloom.operators.quantiles import exact_quantiles, quantile_columns
 from barloom.plans import sql as q
@@ -113,7 +113,7 @@ def _(spark, base):
     df = cut(hybrid_frame(spark, base).select(*SERIES, "bar_idx", *[c(f).cast("double").alias(f) for f in FE]))
     train = F.array(*[F.struct(F.avg(F.when(c("bar_idx") < 500, c(f))).alias("m"), F.stddev_pop(F.when(c("bar_idx") < 500, c(f))).alias("s")) for f in FE])
     # a single row of training moments
-    df = df.crossJoin(F.broadcast(df.agg(train.alias("fit"))))
+    df = df.transform(attach, df.agg(train.alias("fit")))
     z = F.zip_with(F.array(*FE), "fit", lambda v, t: F.abs(F.try_divide(v - t["m"], t["s"])))
     def beyond(k):
         return F.size(F.filter("z", lambda x: x > k))
@@ -169,7 +169,7 @@ def _(spark, base):
     df = cut(hybrid_frame(spark, base))
     t = quantile_columns(df, [], "vol50", {"a": 0.33, "b": 0.67})
     v = c("vol50")
-    df = df.crossJoin(F.broadcast(t))  # one row of two cut points
+    df = df.transform(attach, t)  # one row of two cut points
     return df.groupBy(*SERIES, F.when(v.isNull(), None).when(v <= c("a"), 0).when(v <= c("b"), 1).otherwise(2).alias("tercile")).agg(F.count(F.lit(1)).alias("n"))
 
 
