@@ -42,7 +42,7 @@ def greedy_chain(cands: DataFrame, pos: str, release: str, reach: int, keys: Seq
     types = dict(slim.dtypes)
     head = ", ".join(f"{k} {types[k]}" for k in keys)
 
-    def summarise(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def summarise(key, pdf):
         pdf = pdf.sort_values("_pos")
         p, r = pdf["_pos"].to_numpy(), pdf["_rel"].to_numpy()
         start, end = int(key[-1]) * rows, (int(key[-1]) + 1) * rows
@@ -52,7 +52,7 @@ def greedy_chain(cands: DataFrame, pos: str, release: str, reach: int, keys: Seq
         out = np.where(k < len(p), after[np.minimum(k, len(p) - 1)], np.maximum(0, entry - end))
         return pd.DataFrame([[*key, out.tolist()]], columns=[*keys, "_chunk", "_map"])
 
-    def compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compose(key, pdf):
         pdf = pdf.sort_values("_chunk")
         state, last, entries = 0, None, []
         for c, m in zip(pdf["_chunk"], pdf["_map"]):
@@ -62,7 +62,7 @@ def greedy_chain(cands: DataFrame, pos: str, release: str, reach: int, keys: Seq
             state, last = int(m[state]), c
         return pdf[[*keys, "_chunk"]].assign(_entry=entries)
 
-    def replay(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def replay(key, pdf):
         pdf = pdf.sort_values("_pos")
         p, r = pdf["_pos"].to_numpy(), pdf["_rel"].to_numpy()
         k = int(np.searchsorted(p, int(key[-1]) * rows + int(pdf["_entry"].iloc[0])))
@@ -120,7 +120,7 @@ def price_latch(rows: DataFrame, chunk_rows: int = ROWS) -> DataFrame:
         pdf = pdf.sort_values("bar_idx")
         return pdf, [pdf[c].to_numpy() for c in ("price", "enter", "up", "down", "forced")]
 
-    def summarise(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def summarise(key, pdf):
         pdf, (price, enter, up, down, forced) = arrays(pdf)
         n = len(price)
         flat = np.empty(n + 1)  # state at the end of the chunk when flat before bar i
@@ -142,7 +142,7 @@ def price_latch(rows: DataFrame, chunk_rows: int = ROWS) -> DataFrame:
             **dict(zip([*SERIES, "_chunk"], key)), "_flat": flat[0], "_top": top[keep].tolist(), "_low": bottom[keep].tolist(),
             "_forced": [bool(k == f) for k in keep], "_out": [float(flat[k + 1]) for k in keep]}])
 
-    def compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compose(key, pdf):
         pdf = pdf.sort_values("_chunk")
         state, entries = np.nan, []
         for flat, top, low, forced, out in zip(pdf["_flat"], pdf["_top"], pdf["_low"], pdf["_forced"], pdf["_out"]):
@@ -156,7 +156,7 @@ def price_latch(rows: DataFrame, chunk_rows: int = ROWS) -> DataFrame:
                     state = np.nan if o is None else o
         return pdf[[*SERIES, "_chunk"]].assign(_entry=entries)
 
-    def replay(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def replay(key, pdf):
         pdf, (price, enter, up, down, forced) = arrays(pdf)
         state = pdf["_entry"].iloc[0]
         _, signals = _run(np.nan if state is None else state, price, enter, up, down, forced)
