@@ -136,7 +136,7 @@ SELECT conv_id, n::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(loss)
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(doc_id::VARCHAR, '') || 'mix-1') AS key FROM documents
 ), s AS (SELECT source, sum(size)::DOUBLE AS ss FROM d GROUP BY source
-), w AS (SELECT *, [3.0, 1.0, 2.0]::DOUBLE[][((row_number() OVER (ORDER BY source IS NULL, source)) - 1) % 3 + 1] AS weight, 2.0 * ss AS lim FROM s
+), w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source)) % 3 WHEN 1 THEN 3.0::DOUBLE WHEN 2 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, 2.0 * ss AS lim FROM s
 ), r AS (
   SELECT *, lim / weight AS ratio, row_number() OVER o AS k,
     ((sum(ss) OVER ()) * 1.5 - coalesce(sum(lim) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
