@@ -13,6 +13,8 @@ from barloom.llm.common import SPACED, STEP, mixed, staged, text_bytes, word_has
 from barloom.llm.graph import components
 
 BANDS, ROWS = 36, 7
+#: bits of every place that a sketch keeps
+BITS = 3
 EMPTY = np.uint64(2**64 - 1)
 #: added before step 0, 1, ... of an element's sequence
 STEPS = STEP * np.arange(1, 2049, dtype=np.uint64)
@@ -104,16 +106,19 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(sig: np.ndarray) -> np.ndarray:
-    """The lowest bit of every place, packed into 64-bit integers."""
-    bits = np.packbits((sig & np.uint64(1)).astype(np.uint8), axis=1)
+    """The lowest bits of every place in 64-bit integers: first the words of the one bit, then of the next."""
     words = -(-sig.shape[1] // 64)
-    return np.pad(bits, ((0, 0), (0, words * 8 - bits.shape[1]))).view(np.int64)
+    parts = []
+    for bit in range(BITS):
+        packed = np.packbits(((sig >> np.uint64(bit)) & np.uint64(1)).astype(np.uint8), axis=1)
+        parts.append(np.pad(packed, ((0, 0), (0, words * 8 - packed.shape[1]))))
+    return np.hstack(parts).view(np.int64)
 
 
 def most_differing(m: int, percent: int) -> int:
-    """Bits in which sketches of two sets at the threshold differ: the mean and six standard deviations, passed by 1 such pair in 1e8."""
-    q = (100 - percent) / 200
-    return round(m * q + 6 * (m * q * (1 - q)) ** 0.5)
+    """Places in which sketches of two sets at the threshold differ: the mean and four standard deviations, passed by 3 such pairs in 1e5."""
+    q = (1 - 0.5**BITS) * (100 - percent) / 100
+    return round(m * q + 4 * (m * q * (1 - q)) ** 0.5)
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int) -> DataFrame:
@@ -161,8 +166,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. One pass makes SuperMinHash signatures and band keys; equal sets become one class.
     2. Classes that share a band key are candidates. With 36 bands of 7 rows a pair at exactly 0.8
-       shares none with probability 2e-4, at 0.9 with 1e-10. A candidate whose sketches (one bit for each
-       place) differ more than six standard deviations beyond the threshold is no link.
+       shares none with probability 2e-4, at 0.9 with 1e-10. A candidate whose sketches (three bits for each
+       place) differ more than four standard deviations beyond the threshold is no link.
     3. In every bucket one leader is compared with all others, on full sets. Links are
        closed by union-find. A bucket whose members are in different components gets
        8, 64, 512, ... leaders, each compared with those members of other components that sizes,
@@ -179,12 +184,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()))
     banded = classes.select("node", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("lead")).where("many > 1")
-    buckets = staged(banded.join(staged(shared), "key"))
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+    buckets = staged(banded.join(staged(shared), "key").withColumn("rank", place))
     mates = classes.join(staged(buckets.select("node").distinct()), "node", "left_semi")
     buckets = staged(buckets.join(staged(mates.select("node", "n", "sketch")), "node"))
     members = staged(member_sets(docs, id_col, text_col, shingle_words, classes, buckets))
-    links = linked(members, buckets, percent, bands * rows)
+    links = linked(members, buckets, classes.select("node", "keys"), percent, bands * rows)
     rooted = classes.select("digest", "node", "first_id").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(names, "root").select("digest", "component_id")
@@ -213,9 +219,10 @@ def verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def may_match(percent: int, m: int) -> str:
-    """SQL condition on (n, sketch) and (n_lead, sketch_lead): sizes allow a link, and sketches differ in no more bits than those of links do."""
-    differ = " + ".join(f"bit_count(sketch[{i}] ^ sketch_lead[{i}])" for i in range(-(-m // 64)))
-    return f"100 * least(n, n_lead) >= {percent} * greatest(n, n_lead) AND {differ} <= {most_differing(m, percent)}"
+    """SQL condition on (n, sketch) and (n_lead, sketch_lead): sizes allow a link, and sketches differ in no more places than those of links do."""
+    words = -(-m // 64)
+    places = (" | ".join(f"(sketch[{b * words + i}] ^ sketch_lead[{b * words + i}])" for b in range(BITS)) for i in range(words))
+    return f"100 * least(n, n_lead) >= {percent} * greatest(n, n_lead) AND {' + '.join(f'bit_count({x})' for x in places)} <= {most_differing(m, percent)}"
 
 
 def with_shared(buckets: DataFrame, members: DataFrame) -> DataFrame:
@@ -227,29 +234,26 @@ def with_shared(buckets: DataFrame, members: DataFrame) -> DataFrame:
     return buckets.join(staged(shared), "node")
 
 
-def linked(members: DataFrame, buckets: DataFrame, percent: int, m: int) -> DataFrame:
+def linked(members: DataFrame, buckets: DataFrame, keys: DataFrame, percent: int, m: int) -> DataFrame:
     """Enough links to connect what all links among bucket mates connect."""
     fits = may_match(percent, m)
-    leads = buckets.where("node = lead").select("key", F.col("n").alias("n_lead"), F.col("sketch").alias("sketch_lead"))
-    first = buckets.join(leads, "key").where("node <> lead").where(fits)
-    pairs = staged(first.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
-    links, seen, done = staged(verified(pairs, members, percent)), pairs, 1
-    order = Window.partitionBy("key").orderBy("node")
-    open_buckets = buckets.where("many > 2").drop("lead").withColumn("shared", F.col("n"))
+    leads = buckets.where("rank = 1").select("key", F.col("node").alias("lead"), F.col("n").alias("n_lead"), F.col("sketch").alias("sketch_lead"))
+    first = buckets.where("rank > 1").join(leads, "key").where(fits)
+    links, done = staged(verified(staged(first.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()), members, percent)), 1
+    open_buckets = buckets.where("many > 2")
     while True:
         tree = components(links).withColumnRenamed("root", "comp")
-        named = staged(open_buckets.drop("comp", "shared").join(tree, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+        named = staged(open_buckets.join(tree, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
         several = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
         open_buckets = staged(named.where(f"many > {done + 1}").join(staged(several.select("key")), "key", "left_semi"))
         if open_buckets.isEmpty():
             return links
-        open_buckets = staged(with_shared(open_buckets, members).where(f"100 * shared >= {percent} * n"))
+        known = with_shared(open_buckets, members).where(f"100 * shared >= {percent} * n")
+        known = staged(known.join(keys.join(staged(known.select("node").distinct()), "node", "left_semi"), "node"))
         last = done * 8
-        lead = open_buckets.withColumn("rank", F.row_number().over(order)).where(f"rank > {done} AND rank <= {last}")
-        lead = lead.select("key", *(F.col(c).alias(f"{c}_lead") for c in ("node", "n", "sketch", "comp", "shared")))
-        more = open_buckets.join(staged(lead), "key").where("comp <> comp_lead").where(fits)
-        more = more.where(f"100 * least(shared, shared_lead) >= {percent} * (n + n_lead - least(shared, shared_lead))")
-        more = more.select(F.least("node_lead", "node").alias("a"), F.greatest("node_lead", "node").alias("b")).distinct()
-        more = staged(more.join(seen, ["a", "b"], "left_anti"))
-        seen, done = seen.unionByName(more), last
-        links = staged(links.unionByName(verified(more, members, percent)))
+        lead = known.where(f"rank > {done} AND rank <= {last}").select("key", *(F.col(c).alias(f"{c}_lead") for c in ("node", "rank", "n", "sketch", "comp", "shared", "keys")))
+        # a pair counts in the first bucket that it shares
+        more = known.join(staged(lead), "key").where("comp <> comp_lead AND rank > rank_lead").where(fits)
+        more = more.where(f"100 * least(shared, shared_lead) >= {percent} * (n + n_lead - least(shared, shared_lead))").where("array_intersect(keys, keys_lead)[0] = key")
+        links = staged(links.unionByName(verified(staged(more.select(F.col("node_lead").alias("a"), F.col("node").alias("b"))), members, percent)))
+        open_buckets, done = known.drop("comp", "shared", "keys"), last
