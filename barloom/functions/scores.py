@@ -189,7 +189,7 @@ def governance(crisis_type, crisis_conf, daily_pnl, drawdown, corr, bot_prob, vo
     The last halt rule that fires sets the halt's length."""
     bot = bot_prob > 0.5
     rules = [
-        ("CRASH_DETECTED", (crisis_type == "CRASH") & (crisis_conf >= 0.9), 24), ("DAILY_LOSS", daily_pnl <= -5.0, 12),
+        ("CRASH_DETECTED", (crisis_type == "CRASH") & (crisis_conf >= 0.9), 24), ("MAX_DRAWDOWN", daily_pnl <= -5.0, 12),
         ("MAX_DRAWDOWN", drawdown >= 10.0, 12), ("CORRELATION_SPIKE", corr >= 0.85, 6),
         ("BOT_MANIPULATION", bot & (bot_prob >= 0.8) & (crisis_type == "MANIPULATION"), 2), ("EXTREME_VOLATILITY", vol >= base_vol * 3.0, 4),
         ("NEGATIVE_CRITICAL_NEWS", (news == "CRITICAL") & (sentiment < 0.3), 6)]

@@ -33,17 +33,18 @@ def _free_after(pos: np.ndarray, release: np.ndarray, end: int) -> np.ndarray:
 def greedy_chain(cands: DataFrame, pos: str, release: str, reach: int, keys: Sequence[str] = SERIES, rows: int = ROWS) -> DataFrame:
     """Keep a candidate when it is not before the release of the last kept one.
 
-    ``release - pos`` must lie in 1..reach, and reach <= rows."""
+    ``release - pos`` must lie in 1..reach, and reach <= rows. Of candidates at one
+    position, the one with the earliest release is looked at."""
     if reach > rows:
         raise ValueError("a step must not jump over a whole chunk")
     keys = list(keys)
-    cands = cut(cands.withColumn("_chunk", F.floor(F.col(pos) / rows).cast("long")))
-    slim = cands.select(*keys, "_chunk", F.col(pos).cast("long").alias("_pos"), F.col(release).cast("long").alias("_rel"))
+    cands = cut(cands.withColumn("_chunk", F.floor(F.col(pos) / rows).cast("long")).withColumn("_uid", F.monotonically_increasing_id()))
+    slim = cands.select(*keys, "_chunk", "_uid", F.col(pos).cast("long").alias("_pos"), F.col(release).cast("long").alias("_rel"))
     types = dict(slim.dtypes)
     head = ", ".join(f"{k} {types[k]}" for k in keys)
 
     def summarise(key, pdf):
-        pdf = pdf.sort_values("_pos")
+        pdf = pdf.sort_values(["_pos", "_rel", "_uid"])
         p, r = pdf["_pos"].to_numpy(), pdf["_rel"].to_numpy()
         start, end = int(key[-1]) * rows, (int(key[-1]) + 1) * rows
         after = _free_after(p, r, end)
@@ -63,19 +64,19 @@ def greedy_chain(cands: DataFrame, pos: str, release: str, reach: int, keys: Seq
         return pdf[[*keys, "_chunk"]].assign(_entry=entries)
 
     def replay(key, pdf):
-        pdf = pdf.sort_values("_pos")
+        pdf = pdf.sort_values(["_pos", "_rel", "_uid"])
         p, r = pdf["_pos"].to_numpy(), pdf["_rel"].to_numpy()
         k = int(np.searchsorted(p, int(key[-1]) * rows + int(pdf["_entry"].iloc[0])))
         kept = []
         while k < len(p):
             kept.append(k)
             k = int(np.searchsorted(p, r[k]))
-        return pdf.iloc[kept][[*keys, "_pos"]]
+        return pdf.iloc[kept][["_uid"]]
 
     maps = slim.groupBy(*keys, "_chunk").applyInPandas(summarise, f"{head}, _chunk long, _map array<long>")
     entries = maps.groupBy(*keys).applyInPandas(compose, f"{head}, _chunk long, _entry long")
-    kept = slim.join(entries, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(replay, f"{head}, _pos long")
-    return cands.join(kept.withColumnRenamed("_pos", pos), [*keys, pos]).drop("_chunk")
+    kept = slim.join(entries, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(replay, "_uid long")
+    return cands.join(kept, "_uid").drop("_chunk", "_uid")
 
 
 def _first_exit(price, up, down, forced, start: int):

@@ -61,12 +61,12 @@ def quantile_columns(df: DataFrame, keys: Sequence[str], x: str, named: dict[str
     return out.groupBy(*keys).agg(*pick) if keys else out.agg(*pick)
 
 
-def sliced(df: DataFrame, x: str, name: str = "_slice", rows: int = 500_000, most: int = 10_000) -> DataFrame:
+def sliced(df: DataFrame, x: str, name: str = "_slice", rows: int = 500_000) -> DataFrame:
     """Number contiguous value ranges of ``x`` that hold about ``rows`` rows each.
 
-    The cut points (at most ``most`` numbers) are sketched once; a row finds its range
+    The cut points (one number for each range) are sketched once; a row finds its range
     by binary search. ``df`` should be cheap to read again (see ``lineage.cut``)."""
-    k = min(most, -(-df.count() // rows))
+    k = -(-df.count() // rows)
     if k <= 1:
         return df.withColumn(name, F.lit(0.0))
     cuts = df.agg(F.percentile_approx(x, [i / k for i in range(1, k)], 10 * k)).first()[0]

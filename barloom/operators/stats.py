@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barloom.functions.columns import ratio
 from barloom.operators.chunks import running
 from barloom.operators.lineage import attach, cut
-from barloom.operators.quantiles import sliced
 from barloom.schema import SERIES
 
 
@@ -107,12 +106,15 @@ def pair_correlations(df: DataFrame, names: Sequence[str], keys: Sequence[str] =
     return one.select(*keys, F.explode(rows).alias("x")).select(*keys, "x.*")
 
 
-def returns_by_asset(bars: DataFrame, assets: Sequence[str], window: int = 672) -> DataFrame:
-    """One column of returns per asset of the catalogue, keeping each asset's last ``window``.
-    ``bars`` carries bar_idx and ret; the assets are a fixed list, so the pivot needs no scan."""
+def asset_pairs(bars: DataFrame, window: int = 672) -> DataFrame:
+    """(left, right, corr, n_rows) of the returns of all pairs of symbols over each symbol's last ``window`` bars.
+    ``bars`` carries bar_idx and ret. Symbols come from the data; rows meet on their time, so a pair costs at most ``window`` of them."""
     last = bars.groupBy(*SERIES).agg(F.max("bar_idx").alias("_last"))
     recent = bars.join(last, SERIES).where((F.col("bar_idx") > F.col("_last") - window) & F.col("ret").isNotNull())
-    return recent.groupBy("ts_s").pivot("symbol", list(assets)).agg(F.max("ret"))
+    one = cut(recent.groupBy("symbol", "ts_s").agg(F.max("ret").alias("ret")))
+    a = one.select("ts_s", F.col("symbol").alias("left"), F.col("ret").alias("_a"))
+    b = one.select("ts_s", F.col("symbol").alias("right"), F.col("ret").alias("_b"))
+    return a.join(b, "ts_s").where("left < right").groupBy("left", "right").agg(F.corr("_a", "_b").alias("corr"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def diversification(pairs: DataFrame) -> DataFrame:
@@ -125,14 +127,16 @@ def diversification(pairs: DataFrame) -> DataFrame:
 
 def effective_weights(pairs: DataFrame, scores: DataFrame, weights: Sequence[tuple[str, float]] | None = None) -> DataFrame:
     """Per asset: effective weight, contribution to the portfolio score, portfolio score.
-    ``scores``: (symbol, score). Assets without correlations count fully."""
+    ``scores``: (symbol, score). Assets without correlations count fully. ``weights`` of the
+    portfolio are normalised to sum 1 over the assets present; by default all are equal."""
     both = pairs.where(F.col("corr").isNotNull()).select(F.explode(F.array("left", "right")).alias("symbol"), "corr")
     eff = both.groupBy("symbol").agg((1 / (1 + F.count(F.lit(1)) * F.avg(F.abs("corr")))).alias("effective_weight"))
     s = scores.join(eff, "symbol", "left").withColumn("effective_weight", F.coalesce("effective_weight", F.lit(1.0)))
-    n = s.agg(F.count(F.lit(1)).alias("_n"))
-    s = s.transform(attach, n).withColumn("contribution", F.col("score") * F.col("effective_weight") / F.col("_n"))
+    given = F.lit(1.0) if weights is None else F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in weights for x in pair]), F.col("symbol")), F.lit(0.0))
+    s = s.withColumn("_w", given)
+    s = s.transform(attach, s.agg(F.sum("_w").alias("_n"))).withColumn("contribution", F.col("score") * F.col("effective_weight") * F.col("_w") / F.col("_n"))
     total = s.agg(F.sum("contribution").alias("portfolio_score"))
-    return s.transform(attach, total).drop("_n")
+    return s.transform(attach, total).drop("_n", "_w")
 
 
 def drift(df: DataFrame, features: Sequence[str], is_train: Column, outlier: float = 3.0) -> DataFrame:

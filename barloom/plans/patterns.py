@@ -108,12 +108,12 @@ def _(spark, base):
 
 # ------------------------------------------------------------------ events around bars
 
-REQ = "SELECT event_type AS symbol, event_id, epoch_us(ts) // 1000000 AS want FROM events WHERE value > 200"
+REQ = "SELECT event_type AS symbol, event_id, epoch_us(ts) // 1000000 AS want FROM events"
 
 
 def marks(spark, base):
-    """Large events are the moments patterns are cut around."""
-    return event_ticks(spark, base).where("price > 200").select("symbol", c("tick_id").alias("event_id"), F.floor(c("us") / 1_000_000).alias("ts_s"))
+    """Every event is a moment that patterns are cut around."""
+    return event_ticks(spark, base).select("symbol", c("tick_id").alias("event_id"), F.floor(c("us") / 1_000_000).alias("ts_s"))
 
 
 @query("nearest_bar", "J3", q.bars_of(q.event_bars("1h", 3600)) + f""", rq AS ({REQ}), n AS (SELECT rq.symbol, event_id, want, ts_s, bar_idx, row_number() OVER (PARTITION BY event_id ORDER BY abs(ts_s - want), ts_s) AS rn FROM rq JOIN bars b ON b.symbol = rq.symbol AND abs(ts_s - want) <= 1800)
@@ -159,7 +159,7 @@ def _(spark, base):
     def cols(d, w):
         d = add_box(d, w)
         d = d.withColumn("setup_bar", F.lag(F.struct("open", "high", "low", "close", "volume"), 1).over(w))
-        d = lb.add_path(d, w, 50, "high", "low", "close").where("w_box >= 0.1 AND box_bars >= 10 AND bar_idx >= 2")
+        d = lb.add_path(d, w, 50, "high", "low", "close").where("box_bars >= 10 AND bar_idx >= 2")
         sims = F.transform(F.array(*[F.struct(F.lit(t).alias("tp"), F.lit(s).alias("sl")) for t in (1.0, 1.5, 2.0, 2.5, 3.0) for s in (0.5, 1.0, 1.5, 2.0)]), lambda g: F.struct(
             g["tp"].alias("tp"), g["sl"].alias("sl"), lb.barrier(c("close"), g["tp"] / 100, g["sl"] / 100, 50).alias("outcome")))
         doc = F.struct(
@@ -184,18 +184,19 @@ def _(spark, base):
     return d.select("vec_id", "label", rounded("distance").alias("distance"), (c("distance") / 3 > 2).cast("int").alias("ood"))
 
 
-NEAR = """WITH m AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), qy AS (SELECT * FROM m WHERE label = 0 AND vec_id IN (SELECT vec_id FROM m WHERE label = 0 ORDER BY vec_id LIMIT 8)),
+NEAR = """WITH m AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), qy AS (SELECT * FROM m WHERE vec_id % 100 = 0),
 p AS (SELECT qy.vec_id AS query_id, m.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: pow(qy.v[i] - m.v[i], 2))), 8) AS d2 FROM qy JOIN m ON m.vec_id <> qy.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS place FROM p) SELECT query_id, vec_id, place, round(d2, 6) AS d2 FROM k WHERE place <= 5"""
 
 
 @query("similar_states", "O8", NEAR)
 def _(spark, base):
-    """Five nearest states of eight query states. The queries are few by definition, so each row
-    scores all of them at once and every task keeps its own best five before the shuffle."""
+    """Five nearest states of every query state. Queries (ids divisible by 100) come in blocks of
+    25,600 ids, so a block is at most 256 vectors; every task keeps its own best five of a query before the shuffle."""
     e = read_table(spark, base, "embeddings")
-    qs = e.where("label = 0").orderBy("vec_id").limit(8).agg(F.collect_list(F.struct(c("vec_id").alias("id"), c("embedding").alias("v"))).alias("qs"))
-    pairs = e.transform(attach, qs).select("vec_id", "embedding", F.explode("qs").alias("q")).where("vec_id <> q.id")
+    block = F.floor(c("vec_id") / 25_600)
+    qs = e.where("vec_id % 100 = 0").groupBy(block.alias("block")).agg(F.collect_list(F.struct(c("vec_id").alias("id"), c("embedding").alias("v"))).alias("qs"))
+    pairs = e.crossJoin(qs).select("vec_id", "embedding", F.explode("qs").alias("q")).where("vec_id <> q.id")
     d2 = F.aggregate(F.zip_with("embedding", "q.v", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
     w = Window.partitionBy("query_id").orderBy("d2", "vec_id")
     return pairs.select(c("q.id").alias("query_id"), "vec_id", F.round(d2, 8).alias("d2")).withColumn("place", F.row_number().over(w)).where("place <= 5").select(

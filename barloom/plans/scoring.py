@@ -68,7 +68,7 @@ def _(spark, base):
 
 
 SIMPLE = BASE + """, f AS (SELECT *, CASE WHEN rsi < 30 THEN (30 - rsi) / 30 ELSE 0 END AS f1, CASE WHEN vr BETWEEN 1.5 AND 3 THEN 1 - abs(vr - 2) / 1.5 WHEN vr > 5 THEN -least(0.2, (vr - 5) / 10) ELSE 0 END AS f2,
- CASE WHEN e9 / e21 > 1 THEN least(0.1, (e9 / e21 - 1) * 2) ELSE -least(0.05, 1 - e9 / e21) END AS f3, CASE WHEN atr_pct < 0.03 THEN 0.1 WHEN atr_pct > 0.08 THEN -least(0.15, (atr_pct - 0.08) / 0.1) ELSE 0 END AS f4 FROM s2 WHERE bar_idx >= 50),
+ CASE WHEN e9 / e21 > 1 THEN least(0.1, (e9 / e21 - 1) * 2) ELSE -least(0.05, 1 - e9 / e21) END AS f3, CASE WHEN atr_pct < 0.03 THEN 0.1 WHEN atr_pct > 0.08 THEN -least(0.15, (atr_pct - 0.08) / 0.1) ELSE 0 END AS f4 FROM s2),
 g AS (SELECT *, least(greatest(0.5 + f1 * 0.25 + f2 * CASE WHEN vr > 5 THEN 1 ELSE 0.15 END + f3 + f4, 0), 1) AS opp,
  CASE WHEN atr_pct > 0.05 THEN least(0.01, (atr_pct - 0.05) / 0.05) ELSE 0 END + CASE WHEN vr < 0.5 THEN least(0.015, (0.5 - vr) / 0.5) ELSE 0 END + CASE WHEN bar_idx % 6 > 3 THEN least(0.03, (bar_idx % 6 - 3) * 0.01) ELSE 0 END + CASE WHEN abs(ret) > 0.5 THEN least(0.005, abs(ret) - 0.5) ELSE 0 END AS pen FROM f)"""
 
@@ -76,7 +76,7 @@ g AS (SELECT *, least(greatest(0.5 + f1 * 0.25 + f2 * CASE WHEN vr > 5 THEN 1 EL
 @query("simple_opportunity", "F6 F9 F10 F18 P10", _sel(SIMPLE, {"opportunity": "opp", "penalty": "pen", "p_j": "rsi / 100 * 0.8 + opp - 0.003 - pen"}, "g").replace(
     "\nSELECT", "\nSELECT CASE WHEN opp >= 0.7 THEN 'EXCELLENT' WHEN opp >= 0.5 THEN 'GOOD' WHEN opp >= 0.3 THEN 'MODERATE' ELSE 'LOW' END AS label, CASE WHEN rsi < 30 AND e9 >= e21 * 0.5 AND vr >= 1.0 AND atr_pct <= 5 THEN 1 ELSE 0 END AS enter,"))
 def _(spark, base):
-    df = base_frame(spark, base).where("bar_idx >= 50")
+    df = base_frame(spark, base)
     df = df.withColumns(sc.simple_opportunity(c("rsi"), c("vr"), c("e9"), c("e21"), c("atr_pct")))
     df = df.withColumn("penalty", sc.additive_penalty(c("atr_pct"), c("vr"), c("bar_idx") % 6, F.abs("ret")))
     df = df.withColumns({"p_j": c("rsi") / 100 * 0.8 + c("opportunity") - sc.round_trip_cost() - c("penalty"),
@@ -290,7 +290,7 @@ def _(spark, base):
     return shown(r.withColumns(out).withColumn("passed", passed.cast("int")), "passed", "uncertainty", "lambda", "score", "action", "size", keys=["id"])
 
 
-_HALTS = [("CRASH_DETECTED", "ct = 'CRASH' AND conf >= 0.9", 24), ("DAILY_LOSS", "pnl <= -5.0", 12), ("MAX_DRAWDOWN", "dd >= 10", 12), ("CORRELATION_SPIKE", "corr >= 0.85", 6),
+_HALTS = [("CRASH_DETECTED", "ct = 'CRASH' AND conf >= 0.9", 24), ("MAX_DRAWDOWN", "pnl <= -5.0", 12), ("MAX_DRAWDOWN", "dd >= 10", 12), ("CORRELATION_SPIKE", "corr >= 0.85", 6),
           ("BOT_MANIPULATION", "bot > 0.5 AND bot >= 0.8 AND ct = 'MANIPULATION'", 2), ("EXTREME_VOLATILITY", "vol >= 0.02 * 3.0", 4), ("NEGATIVE_CRITICAL_NEWS", "news = 'CRITICAL' AND sent < 0.3", 6)]
 GOV = REQ + f""", h AS (SELECT *, array_to_string(list_filter([{', '.join(f"CASE WHEN {cond} THEN '{n}' END" for n, cond, _ in _HALTS)}], lambda x: x IS NOT NULL), '|') AS reasons, coalesce({', '.join(f"CASE WHEN {cond} THEN {h} END" for _, cond, h in reversed(_HALTS))}) AS halt_hours,
  bot > 0.5 AND bot >= 0.7 AND opp >= 0.8 AS wary, ct IN ('CRASH', 'MANIPULATION') AND opp >= 0.6 AS co FROM r),

@@ -13,7 +13,6 @@ from barloom.operators.quality import drop_non_finite, finite
 from barloom.operators.quantiles import exact_quantiles, quantile_columns
 from barloom.plans import sql as q
 from barloom.plans.base import indexed_bars, shown
-from barloom.plans.frames import EVENT_TYPES
 from barloom.plans.registry import query
 from barloom.plans.scoring import HYB, hybrid_frame
 from barloom.schema import SERIES
@@ -131,7 +130,7 @@ pc AS (SELECT a.symbol AS l, b.symbol AS r, corr(a.ret, b.ret) AS corr, count(*)
 def asset_correlations(spark, base):
     bars = with_bar_index(ohlcv(event_ticks(spark, base), "1h"))
     bars = cut(over_chunks(bars, lambda d, w: d.withColumn("ret", pct_change("close", 1, w)), before=1))
-    return bars, stats.pair_correlations(stats.returns_by_asset(bars, EVENT_TYPES), EVENT_TYPES)
+    return bars, cut(stats.asset_pairs(bars))
 
 
 @query("asset_correlations", "J6 J7 A27", CO + f""" SELECT l AS "left", r AS "right", {q.r('corr')} AS corr, n_rows FROM pc""")

@@ -231,9 +231,9 @@ def _(spark, base):
 
 
 @query("edge_summary", "A40", TR + """ SELECT strategy, count(*) AS n, round(sum(pnl_pct), 4) AS gross, round(sum(pnl_pct - 0.0015), 4) AS net,
- round(sum(pnl_pct - 0.0015) / ((max(exit_s) - min(entry_s)) / 86400.0 / 365.25), 4) + 0.0 AS net_per_year FROM trades GROUP BY strategy""")
+ round(sum(pnl_pct - 0.0015) / (((max(entry_s) - min(entry_s)) // 86400) / 365.0), 4) + 0.0 AS net_per_year FROM trades GROUP BY strategy""")
 def _(spark, base):
-    years = (F.max("exit_s") - F.min("entry_s")) / 86400.0 / 365.25
+    years = F.floor((F.max("entry_s") - F.min("entry_s")) / 86400) / 365.0
     net = F.sum(F.col("pnl_pct") - 0.0015)
     return trades(spark, base).groupBy("strategy").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("pnl_pct"), 4).alias("gross"), F.round(net, 4).alias("net"),

@@ -312,3 +312,24 @@ def test_auc_and_best_f1(spark):
 def test_rounding_has_no_negative_zero(spark):
     v = spark.range(1).select(rounded(F.lit(-1e-9)).alias("v")).first()["v"]
     assert math.copysign(1, v) == 1.0
+
+
+def test_greedy_chain_keeps_one_row_of_a_position(spark):
+    from barloom.operators.chains import greedy_chain
+    rows = [("A", "1h", i, 7, 9 + i) for i in range(4)] + [("A", "1h", 4, 9, 12), ("A", "1h", 5, 8, 10)]
+    df = spark.createDataFrame(rows, "symbol string, tf string, bar_idx long, hour long, until long")
+    assert sorted(r.bar_idx for r in greedy_chain(df, "hour", "until", 24).collect()) == [0, 4]
+
+
+def test_asset_pairs_takes_symbols_from_the_data(spark):
+    from barloom.operators.stats import asset_pairs, effective_weights
+    rows = [(s, "1h", t, t * 3600, float((t * t * (k + 2)) % 11)) for k, s in enumerate("ABCDEF") for t in range(40)]
+    df = spark.createDataFrame(rows, "symbol string, tf string, bar_idx long, ts_s long, ret double")
+    got = {(r.left, r.right): r.corr for r in asset_pairs(df).collect()}
+    assert len(got) == 15
+    x = {s: [r[4] for r in rows if r[0] == s] for s in "AF"}
+    assert got["A", "F"] == pytest.approx(np.corrcoef(x["A"], x["F"])[0, 1])
+    scores = spark.createDataFrame([(s, 0.5) for s in "ABCDEF"], "symbol string, score double")
+    weighted = {r.symbol: r for r in effective_weights(asset_pairs(df), scores, [("A", 3.0), ("F", 1.0)]).collect()}
+    assert weighted["B"].contribution == 0
+    assert weighted["A"].contribution == pytest.approx(0.5 * weighted["A"].effective_weight * 0.75)
