@@ -32,16 +32,16 @@ def base32_sha1(text: Column) -> Column:
 
 
 def resolved(headers: DataFrame, least_bytes: int) -> DataFrame:
-    """headers(digest, payload_bytes, page_id, row) -> (row, refers_to): the original's page_id for every revisit.
+    """headers(digest, payload_bytes, page_id) -> (page_id, digest, refers_to): the original's page_id for every revisit.
 
     Headers alone are shuffled. Rows of one digest are split by salt, the smallest page_id of each part goes up to the digest and
     back to its parts, so a payload that a third of all pages have is never in one task. Payloads under `least_bytes` are never revisited.
     """
-    salted = headers.where(F.col("payload_bytes") >= least_bytes).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
-    parts = staged(salted.groupBy("digest", "payload_bytes", "salt").agg(F.min("page_id").alias("part_first"), F.count(F.lit(1)).alias("many")))
-    firsts = parts.groupBy("digest", "payload_bytes").agg(F.min("part_first").alias("first"), F.sum("many").alias("many")).where("many > 1 AND first IS NOT NULL")
-    back = staged(parts.select("digest", "payload_bytes", "salt").join(staged(firsts.drop("many")), ["digest", "payload_bytes"]))
-    return salted.join(back, ["digest", "payload_bytes", "salt"]).where("NOT page_id <=> first").select("row", F.col("first").alias("refers_to"))
+    salted = headers.where(F.col("payload_bytes") >= least_bytes).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
+    parts = staged(salted.groupBy("digest", "salt").agg(F.min("page_id").alias("part_first"), F.count(F.lit(1)).alias("many")))
+    firsts = parts.groupBy("digest").agg(F.min("part_first").alias("first"), F.sum("many").alias("many")).where("many > 1 AND first IS NOT NULL")
+    back = staged(parts.select("digest", "salt").join(staged(firsts.drop("many")), "digest"))
+    return salted.join(back, ["digest", "salt"]).where("NOT page_id <=> first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
 
 
 def record_id(page_id: Column) -> Column:
@@ -52,12 +52,10 @@ def one_line(x: Column) -> Column:
     return F.regexp_replace(x, r"[\r\n]+", " ")
 
 
-def records(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """(record, bytes): the text of each page's WARC record without the two line ends behind it."""
-    base = staged(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row"))
-                  .withColumn("digest", base32_sha1(F.col("html"))).withColumn("payload_bytes", F.octet_length("html").cast("long")))
-    revisits = staged(resolved(base.select("digest", "payload_bytes", "page_id", "row"), least_bytes))
-    rows = base.join(revisits, "row", "left").withColumn("revisit", F.col("refers_to").isNotNull())
+def records(pages: DataFrame, revisits: DataFrame) -> DataFrame:
+    """The text of each page's WARC record without the two line ends behind it."""
+    known = revisits.select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to")
+    rows = pages.join(known, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left").withColumn("revisit", F.col("refers_to").isNotNull())
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
     block = F.when(F.col("revisit"), http).otherwise(F.concat(http, F.col("html")))
     head = F.concat(
@@ -67,7 +65,7 @@ def records(pages: DataFrame, least_bytes: int) -> DataFrame:
         F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"), F.lit(CRLF),
         F.coalesce(F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("refers_to")), F.lit(f"{CRLF}WARC-Profile: {REVISIT}{CRLF}")), F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response" + CRLF), F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF))
-    return rows.select(F.concat(head, block).alias("record"), "row")
+    return rows.select(F.concat(head, block).alias("record"))
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
@@ -78,10 +76,14 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     is a response each time. Null ids come last and refer to others; if all ids of a payload are null, all are responses.
     Line ends in urls become spaces; a null url has no header. Extra columns are ignored; no pages give no records.
     """
-    out = staged(records(pages, least_bytes))
-    size = out.agg(F.sum(F.octet_length("record"))).first()[0] or 0
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    rows = rows.withColumn("digest", base32_sha1(F.col("html"))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
+    headers = staged(rows.select("page_id", "digest", "payload_bytes"))
+    mean = headers.agg(F.avg("payload_bytes")).first()[0] or 0
     # records end with two line ends, which is what the text writer puts behind each row
-    out.repartition(max(1, -(-size // ARCHIVE_BYTES)), "row").select("record").write.option("lineSep", CRLF + CRLF).text(path)
+    out = records(rows, staged(resolved(headers, least_bytes)))
+    out.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / (mean + 600)))).text(path)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
