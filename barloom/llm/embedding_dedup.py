@@ -135,7 +135,8 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     for r in nodes.groupBy("size").count().orderBy("size").collect():  # one row for each length of vectors
         own = nodes.where(F.col("size") == r["size"])
         k = int(min(MOST_PIVOTS, -(-r["count"] // CELL)))
-        sample = own.orderBy(F.xxhash64("node"), "node").limit(k).select("v").toArrow()
+        ids = [x[0] for x in own.select("node").orderBy(F.xxhash64("node"), "node").limit(k).collect()]
+        sample = own.where(F.col("node").isin(ids)).orderBy("node").select("v").toArrow()
         pivots = unit(np.array(sample.column("v").to_pylist(), float).reshape(k, r["size"]))
         part = joined(tiled(staged(placed(own, pivots, r["size"], reach))), r["size"], cosine)
         found = part if found is None else found.unionByName(part)

@@ -280,7 +280,9 @@ def surely_labelled(source: str) -> tuple[np.ndarray, np.ndarray] | None:
 
 def learned(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", most_pages: int = TRAINING_PAGES) -> Labeller:
     """Trained on made-up layouts and on at most `most_pages` real pages that mark their article themselves."""
-    sample = pages.where(F.col(html_col).isNotNull() & (F.length(html_col) < 200_000)).orderBy(F.xxhash64(id_col), id_col).limit(most_pages).select(html_col)
+    usable = pages.where(F.col(html_col).isNotNull() & (F.length(html_col) < 200_000) & F.col(id_col).isNotNull())
+    ids = [r[0] for r in usable.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(most_pages).collect()]
+    sample = usable.where(F.col(id_col).isin(ids)).orderBy(id_col, html_col).select(html_col).limit(2 * most_pages)
     real = [x for r in sample.collect() if (x := surely_labelled(r[0])) is not None]
     return fitted(made_up(1000) + real)
 

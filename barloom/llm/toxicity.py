@@ -14,7 +14,7 @@ from barloom.llm.common import ALNUM, text_bytes, word_hashes
 
 ENDS = b".!?\n"
 #: labelled documents the model is fitted on at most, those with the smallest hashes of their ids
-TRAINING_DOCS = 12_000
+TRAINING_DOCS = 8_000
 
 
 @dataclass
