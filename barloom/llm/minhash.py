@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        place) differ more than four standard deviations beyond the threshold is no link.
     3. In every bucket one leader is compared with all others, on full sets. Links are
        closed by union-find. A bucket whose members are in different components gets
-       8, 64, 512, ... leaders, each compared with those members of other components that sizes,
+       32, 1024, ... leaders, each compared with those members of other components that sizes,
        sketches and shared shingles allow, until each bucket is one component or each such pair across
        components has been compared. No pair is made within what is known to be one component.
 
@@ -250,7 +250,7 @@ def linked(members: DataFrame, buckets: DataFrame, keys: DataFrame, percent: int
             return links
         known = with_shared(open_buckets, members).where(f"100 * shared >= {percent} * n")
         known = staged(known.join(keys.join(staged(known.select("node").distinct()), "node", "left_semi"), "node"))
-        last = done * 8
+        last = done * 32
         lead = known.where(f"rank > {done} AND rank <= {last}").select("key", *(F.col(c).alias(f"{c}_lead") for c in ("node", "rank", "n", "sketch", "comp", "shared", "keys")))
         # a pair counts in the first bucket that it shares
         more = known.join(staged(lead), "key").where("comp <> comp_lead AND rank > rank_lead").where(fits)
