@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.operators.lineage import CONF, ensure_checkpoint_dir
@@ -61,15 +64,29 @@ def powers(base: int, n: int) -> np.ndarray:
     return POWERS[name][:n]
 
 
-def slices(texts: list[bytes], most: int = 1 << 20) -> list[tuple[int, int]]:
-    """Ranges of texts of about `most` bytes; a longer text is a range of its own."""
+def ranges(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """Ranges of items of about `most` bytes; a larger item is a range of its own."""
     out, start, total = [], 0, 0
-    for i, t in enumerate(texts):
-        if total and total + len(t) > most:
+    for i, size in enumerate(sizes):
+        if total and total + size > most:
             out.append((start, i))
             start, total = i, 0
-        total += len(t)
-    return [*out, (start, len(texts))] if texts else []
+        total += size
+    return [*out, (start, len(sizes))] if sizes else []
+
+
+def slices(texts: list[bytes], most: int = 1 << 20) -> list[tuple[int, int]]:
+    return ranges([len(t) for t in texts], most)
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], at: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about `most` bytes of text in column `at`, so that a task's memory follows from bytes instead of rows.
+    Texts stay whole; an empty batch gives nothing. Memory that is free afterwards goes back to the machine."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+        for a, b in ranges(sizes, most):
+            yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def word_hashes(texts: list[bytes], table: bytes, stops: bytes = b"") -> tuple[np.ndarray, ...]:

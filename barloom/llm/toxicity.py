@@ -10,11 +10,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from barloom.llm.common import ALNUM, text_bytes, word_hashes
+from barloom.llm.common import ALNUM, by_bytes, staged, text_bytes, word_hashes
 
 ENDS = b".!?\n"
 #: labelled documents the model is fitted on at most, those with the smallest hashes of their ids
 TRAINING_DOCS = 8_000
+#: bytes of text that are scored at once
+PART_BYTES = 4 << 20
 
 
 @dataclass
@@ -52,11 +54,10 @@ class Model:
         return 1 - np.exp(log_clean - plain), worst
 
 
-def fitted(rows: pd.DataFrame, steps: int = 300, least_docs: int = 3, least_z: float = 4.0, rate: float = 0.1, l2: float = 0.02) -> Model:
+def fitted(rows: pd.DataFrame, steps: int = 300, rate: float = 0.1, l2: float = 0.02) -> Model:
     """rows(label, words, sentences): one row per document, words[i] in sentence sentences[i].
 
-    Words are screened by the difference of their document shares between the classes, in standard errors;
-    the weights of those kept maximise the noisy-or likelihood with a Gaussian prior (Adam, full batch).
+    The words' weights maximise the noisy-or likelihood with a Gaussian prior (Adam, full batch).
     """
     y = rows["label"].to_numpy(float)
     size = np.array([len(w) for w in rows["words"]], np.int64)
@@ -66,19 +67,8 @@ def fitted(rows: pd.DataFrame, steps: int = 300, least_docs: int = 3, least_z: f
     doc = np.repeat(np.arange(len(rows)), size)
     words = np.concatenate(rows["words"].to_list()).astype(np.int64).view(np.uint64)
     sentence = np.concatenate(rows["sentences"].to_list()).astype(np.int64)
-    vocabulary, w = np.unique(words, return_inverse=True)
-    seen = np.unique(doc * len(vocabulary) + w)
-    pos = np.bincount(seen % len(vocabulary), y[seen // len(vocabulary)], len(vocabulary))
-    df = np.bincount(seen % len(vocabulary), minlength=len(vocabulary))
-    share = df / len(y)
-    z = (pos / y.sum() - (df - pos) / (len(y) - y.sum())) / np.sqrt(share * (1 - share) * (1 / y.sum() + 1 / (len(y) - y.sum())) + 1e-12)
-    chosen = np.flatnonzero((df >= least_docs) & (np.abs(z) >= least_z) & (share < 1))
-    if not len(chosen):
-        return empty
-    column = np.full(len(vocabulary), -1)
-    column[chosen] = np.arange(len(chosen))
-    keep = column[w] >= 0
-    triple = np.unique(np.stack([doc[keep], sentence[keep], column[w[keep]]]), axis=1)
+    chosen, column = np.unique(words, return_inverse=True)
+    triple = np.unique(np.stack([doc, sentence, column]), axis=1)
     starts = np.flatnonzero(np.concatenate([[True], (triple[:2, 1:] != triple[:2, :-1]).any(0)])) if triple.shape[1] else np.zeros(0, np.int64)
     inst = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, triple.shape[1])))
     inst_doc, col = triple[0][starts], triple[2]
@@ -95,23 +85,50 @@ def fitted(rows: pd.DataFrame, steps: int = 300, least_docs: int = 3, least_z: f
         g = np.append(np.bincount(col, g_inst[inst], len(chosen)) - l2 * theta[:-1], g_inst.sum() + (pull / (1 + np.exp(-theta[-1]))).sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return Model(vocabulary[chosen], theta[:-1], float(theta[-1]))
+    return Model(chosen, theta[:-1], float(theta[-1]))
+
+
+def telling_words(rows: DataFrame, least_docs: int = 3, least_z: float = 4.0) -> np.ndarray:
+    """Hashes of the words whose shares of documents differ between the classes of rows(label, words) by `least_z`
+    standard errors. Documents are counted in Spark; only the words that pass are collected."""
+    n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < toxic < n:
+        return np.zeros(0, np.uint64)
+    counts = rows.select("label", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("label").alias("pos"))
+    share = F.col("df") / n
+    gap = F.abs(F.col("pos") / toxic - (F.col("df") - F.col("pos")) / (n - toxic))
+    passed = counts.where((F.col("df") >= least_docs) & (F.col("df") < n) & (gap >= least_z * F.sqrt(share * (1 - share) * (1 / toxic + 1 / (n - toxic)))))
+    return np.sort(passed.select("word").toArrow().column("word").to_numpy().astype(np.int64).view(np.uint64))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_docs: int, remainder: int = 1, folds: int = 3) -> pd.DataFrame:
-    """Words and sentences of at most `most_docs` labelled documents whose crc32(doc_id as text) modulo `folds` isn't `remainder`."""
+    """label, words and sentences of at most `most_docs` labelled documents whose crc32(doc_id as text) modulo `folds` isn't
+    `remainder`; of the words only the telling ones, so that little reaches the driver."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != remainder)
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, 1, PART_BYTES):
             flat, counts, sentence = word_hashes(text_bytes(b.column(1)), ALNUM, ENDS)
             ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(sentence))], ["label", "words", "sentences"])
 
     texts = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id")
-    return texts.select(F.col("label").cast("int"), "text").mapInArrow(run, "label int, words array<long>, sentences array<long>").toArrow().to_pandas()
+    rows = staged(texts.select(F.col("label").cast("int"), "text").mapInArrow(split, "label int, words array<long>, sentences array<long>"))
+    telling = telling_words(rows)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, sentences = b.column(1), b.column(2)
+            flat = words.flatten().to_numpy(zero_copy_only=False)
+            known = np.isin(flat.view(np.uint64), telling)
+            doc = np.repeat(np.arange(b.num_rows), words.value_lengths().to_numpy(zero_copy_only=False))
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[known], minlength=b.num_rows))]), pa.int32())
+            some = [pa.ListArray.from_arrays(ends, pa.array(x[known])) for x in (flat, sentences.flatten().to_numpy(zero_copy_only=False))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *some], b.schema.names)
+
+    return rows.mapInArrow(kept, rows.schema).toArrow().to_pandas()
 
 
 def learned(docs: DataFrame, labels: DataFrame, most_docs: int = TRAINING_DOCS) -> Model:
@@ -128,7 +145,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("sentence", pa.int64()), ("p", pa.float64())]))
-        for b in batches:
+        for b in by_bytes(batches, 1, PART_BYTES):
             score, worst = shared.value.scores(text_bytes(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array([[{"sentence": s, "p": p} for s, p in x] for x in worst], kind)], ["doc_id", "score", "offending"])
 
