@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from barloom.llm.common import ALNUM, slices, staged, text_bytes, word_hashes
+from barloom.llm.common import ALNUM, by_bytes, staged, text_bytes, word_hashes
 from barloom.llm.fm_index import FMIndex
 
 WINDOW = 10
 #: words of test items that one pass over the documents searches for; more items make more passes
 ITEM_WORDS = 2_000_000
 #: bytes of text that one index covers
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -139,34 +139,42 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
     A null or empty text has no words and no hits; a null item_id counts as the empty string; repeated
     items count once. `result` must not be a column of docs.
     """
-    kept = docs.columns
-    spark = docs.sparkSession
     schema = T.StructType([*docs.schema.fields, T.StructField(result, FOUND)])
-    out, passes = docs, 0
-    for block in item_blocks(benchmark, item_col, item_text_col, item_words):
+    return passes(docs, benchmark, docs.columns.index(text_col), item_col, item_text_col, window, item_words, schema,
+                  lambda columns, rows: pa.RecordBatch.from_arrays([*columns, pa.array(rows, KIND)], schema.names))
+
+
+def passes(docs: DataFrame, benchmark: DataFrame, text_at: int, item_col: str, item_text_col: str, window: int, item_words: int, schema: T.StructType,
+           finish: Callable[[list[pa.Array], list[dict]], pa.RecordBatch]) -> DataFrame:
+    """One pass over docs for each block of items; the last one hands columns and merged findings to `finish`, in the same Python worker."""
+    spark, out = docs.sparkSession, docs
+    between = T.StructType([*docs.schema.fields, T.StructField("__earlier", FOUND)])
+    blocks = item_blocks(benchmark, item_col, item_text_col, item_words)
+    block = next(blocks)
+    while True:
+        later = next(blocks, None)
         shared = spark.sparkContext.broadcast(Windows(block, window))
-        if passes:
-            out = staged(out)
-        out = searched(out, schema, shared, kept.index(text_col), result, len(kept))
-        passes += 1
-    return out
+        if later is None:
+            return searched(out, schema, shared, text_at, len(docs.columns), finish)
+        out = staged(searched(out, between, shared, text_at, len(docs.columns), lambda columns, rows: pa.RecordBatch.from_arrays([*columns, pa.array(rows, KIND)], between.names)))
+        block = later
+
+
+KIND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
 
 
-def searched(docs: DataFrame, schema: T.StructType, shared, text_at: int, result: str, width: int) -> DataFrame:
-    kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
+def searched(docs: DataFrame, schema: T.StructType, shared, text_at: int, width: int, finish: Callable[[list[pa.Array], list[dict]], pa.RecordBatch]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shared.value
-        for batch in batches:
+        for batch in by_bytes(batches, text_at, SHARD_BYTES):
             texts = text_bytes(batch.column(text_at).cast(pa.binary()))
             earlier = batch.column(width).to_pylist() if batch.num_columns > width else None
-            rows = []
-            for a, b in slices(texts, SHARD_BYTES):
-                counts, spans, names = windows.hits(texts[a:b])
-                rows += [{"n_words": n, "spans": s.tolist(), "items": i} for n, s, i in zip(counts.tolist(), spans, names, strict=True)]
+            counts, spans, names = windows.hits(texts)
+            rows = [{"n_words": n, "spans": s.tolist(), "items": i} for n, s, i in zip(counts.tolist(), spans, names, strict=True)]
             if earlier:
                 rows = [{"n_words": r["n_words"], "spans": merged(e["spans"], r["spans"]), "items": sorted({*e["items"], *r["items"]})} for e, r in zip(earlier, rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(rows, kind)], [*batch.schema.names[:width], result])
+            yield finish(list(batch.columns[:width]), rows)
 
     return docs.mapInArrow(run, schema)
 
@@ -181,32 +189,29 @@ def without_spans(text: str, spans: list[list[int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def cleaned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
+def cleaned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", chars_col: str = "n_chars", item_col: str = "item_id", item_text_col: str = "text",
+            window: int = WINDOW, item_words: int = ITEM_WORDS) -> DataFrame:
     """docs with the removal spans cut out of their texts and the character count renewed; other rows as they are.
-    A document of which no word remains goes."""
-    found = find_hits(docs, benchmark, text_col, result="__found", **options)
+    A document of which no word remains goes. Texts are cut in the pass that finds the last spans."""
     at, names = docs.columns.index(text_col), docs.columns
     count_at = names.index(chars_col) if chars_col in names else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column(len(names)).field("spans")
-            hit = [i for i, s in enumerate(spans.to_pylist()) if s]
-            columns, keep = list(batch.columns[:len(names)]), np.ones(batch.num_rows, bool)
-            if hit:
-                texts = columns[at].to_pylist()
+    def cut(columns: list[pa.Array], rows: list[dict]) -> pa.RecordBatch:
+        hit, keep = [i for i, r in enumerate(rows) if r["spans"]], np.ones(len(rows), bool)
+        if hit:
+            texts = columns[at].to_pylist()
+            for i in hit:
+                texts[i] = without_spans(texts[i], rows[i]["spans"])
+                keep[i] = WORD.search(texts[i]) is not None
+            columns[at] = pa.array(texts, columns[at].type)
+            if count_at is not None:
+                counts = columns[count_at].to_pylist()
                 for i in hit:
-                    texts[i] = without_spans(texts[i], spans[i].as_py())
-                    keep[i] = WORD.search(texts[i]) is not None
-                columns[at] = pa.array(texts, columns[at].type)
-                if count_at is not None:
-                    counts = columns[count_at].to_pylist()
-                    for i in hit:
-                        counts[i] = len(texts[i])
-                    columns[count_at] = pa.array(counts, columns[count_at].type)
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
-
-    return found.mapInArrow(run, docs.schema)
+                    counts[i] = len(texts[i])
+                columns[count_at] = pa.array(counts, columns[count_at].type)
+        return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
+
+    return passes(docs, benchmark, at, item_col, item_text_col, window, item_words, docs.schema, cut)
 
 
 def hit_counts(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

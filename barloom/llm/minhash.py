@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from barloom.llm.common import SPACED, STEP, mixed, staged, text_bytes, word_hashes
+from barloom.llm.common import SPACED, STEP, by_bytes, mixed, staged, text_bytes, word_hashes
 from barloom.llm.graph import components
 
 BANDS, ROWS = 36, 7
@@ -20,6 +20,8 @@ EMPTY = np.uint64(2**64 - 1)
 STEPS = STEP * np.arange(1, 2049, dtype=np.uint64)
 #: shingles whose permutations are held at once (one byte for each of the signature's places)
 CHUNK = 1 << 16
+#: bytes of text whose signatures or sets are made at once
+PART_BYTES = 1 << 20
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -125,17 +127,15 @@ def signed(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows
     """(doc_id, n_shingles, digest of the set, band keys, sketch), one row per document, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
-                sets = shingle_sets(text_bytes(b.column(1)), k)
-                sig = signatures(sets, bands * rows)
-                some = np.array([len(s) > 0 for s in sets], bool)
-                lists = [(np.concatenate([[0], np.cumsum(some * x.shape[1])]), x[some].reshape(-1)) for x in (band_keys(sig, bands, rows), sketches(sig))]
-                yield pa.RecordBatch.from_arrays([
-                    b.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    *(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for ends, x in lists)], ["doc_id", "n_shingles", "digest", "keys", "sketch"])
+        for b in by_bytes(batches, 1, PART_BYTES):
+            sets = shingle_sets(text_bytes(b.column(1)), k)
+            sig = signatures(sets, bands * rows)
+            some = np.array([len(s) > 0 for s in sets], bool)
+            lists = [(np.concatenate([[0], np.cumsum(some * x.shape[1])]), x[some].reshape(-1)) for x in (band_keys(sig, bands, rows), sketches(sig))]
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                *(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for ends, x in lists)], ["doc_id", "n_shingles", "digest", "keys", "sketch"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     return slim.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, sketch array<long>")
@@ -145,13 +145,12 @@ def sets_of(docs: DataFrame, text_col: str, k: int) -> DataFrame:
     """(digest, members): the full shingle set of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                sets = shingle_sets(text_bytes(whole.slice(i, 512).column(0)), k)
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))], ["digest", "members"])
+        for b in by_bytes(batches, 0, PART_BYTES):
+            sets = shingle_sets(text_bytes(b.column(0)), k)
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))], ["digest", "members"])
 
     return docs.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(run, "digest binary, members array<long>").where("digest IS NOT NULL")
 
