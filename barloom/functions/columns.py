@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, WindowSpec, functions as F
 
 E = 1e-10
-TIE_SHIFT = 0.0371
 
 
 def col(x: Column | str) -> Column:
@@ -18,9 +17,8 @@ def ratio(a, b) -> Column:
 
 
 def rounded(x, places: int = 6) -> Column:
-    """Rounded double without a negative zero. The small shift moves decimal
-    ties off the rounding edge, where the last bit of a sum would decide."""
-    return F.round(col(x).cast("double") + F.lit(TIE_SHIFT * 10.0 ** -places), places) + F.lit(0.0)
+    """Rounded double without a negative zero."""
+    return F.round(col(x).cast("double"), places) + F.lit(0.0)
 
 
 def flag(cond: Column) -> Column:

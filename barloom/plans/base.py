@@ -22,7 +22,8 @@ def indexed_bars(spark: SparkSession, base: str) -> DataFrame:
 KEYS = ["symbol", "tf", "bar_idx"]
 
 
-def shown(df: DataFrame, *cols: str, keys=KEYS, places: int = 6) -> DataFrame:
-    """Keys plus rounded doubles, the form results are compared in."""
+def shown(df: DataFrame, *cols: str, keys=KEYS, places: int | dict[str, int] = 6) -> DataFrame:
+    """Keys plus rounded doubles, the form results are compared in. Columns whose exact values end with a 5
+    after six places are given nine, since there the last bit of a product would decide."""
     kinds = dict(df.dtypes)
-    return df.select(*keys, *[rounded(c, places).alias(c) if kinds[c] in ("double", "float") else c for c in cols])
+    return df.select(*keys, *[rounded(c, places.get(c, 6) if isinstance(places, dict) else places).alias(c) if kinds[c] in ("double", "float") else c for c in cols])

@@ -249,7 +249,7 @@ LIMIT_SQL = TR + """, d AS (SELECT strategy, exit_s // 86400 AS day, sum(pnl) AS
 e AS (SELECT *, 10000 * exp(sum(ln(1 + r)) OVER (PARTITION BY strategy ORDER BY day)) AS value FROM d),
 f AS (SELECT *, max(value) OVER (PARTITION BY strategy ORDER BY day) AS peak FROM e),
 g AS (SELECT *, CASE WHEN (peak - value) / peak >= 0.2 THEN 1 ELSE 0 END AS dd_hit, CASE WHEN -r >= 0.05 THEN 1 ELSE 0 END AS day_hit FROM f)
-SELECT strategy, day, day_hit, max(dd_hit) OVER (PARTITION BY strategy ORDER BY day) AS latched, """ + q.r('(peak - value) / peak') + " AS drawdown FROM g"
+SELECT strategy, day, day_hit, max(dd_hit) OVER (PARTITION BY strategy ORDER BY day) AS latched, """ + q.r('(peak - value) / peak', 9) + " AS drawdown FROM g"
 
 
 @query("risk_limits", "T6", LIMIT_SQL)
@@ -259,7 +259,7 @@ def _(spark, base):
     e = e.withColumns({"day_hit": flag(-F.col("day_ret") >= 0.05), "_dd": flag(F.col("drawdown") <= -0.2)})
     e = running_bars(e, {"latched": ("max", F.col("_dd"))})
     return e.select(F.col("symbol").alias("strategy"), F.floor(F.col("ts_s") / 86400).alias("day"), "day_hit", "latched",
-                    rounded(-F.col("drawdown")).alias("drawdown"))
+                    rounded(-F.col("drawdown"), 9).alias("drawdown"))
 
 
 def post_entry_rules(bars):

@@ -38,9 +38,8 @@ def _(spark, base):
 SELECT symbol, tf, ts_s, close FROM bars WHERE tf = '1h' AND symbol IN ('click', 'view')
  AND ts_s BETWEEN epoch(TIMESTAMP '2024-01-05') AND epoch(TIMESTAMP '2024-01-20')""")
 def _(spark, base):
-    ticks = event_ticks(spark, base).where(F.col("symbol").isin("click", "view"))
-    lo, hi = (F.unix_seconds(F.lit(d).cast("timestamp")) for d in ("2024-01-05", "2024-01-20"))
-    return ohlcv(ticks, "1h").where(F.col("ts_s").between(lo, hi)).select("symbol", "tf", "ts_s", "close")
+    ticks = event_ticks(spark, base, "2024-01-05 00:00:00", "2024-01-20 01:00:00").where(F.col("symbol").isin("click", "view"))
+    return ohlcv(ticks, "1h").select("symbol", "tf", "ts_s", "close")
 
 
 _EXPECTED = "(VALUES " + ", ".join(

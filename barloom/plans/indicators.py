@@ -19,8 +19,8 @@ from barloom.schema import SERIES
 K = "symbol, tf, bar_idx"
 
 
-def _sel(stages: str, cols: dict[str, str], src: str, where: str = "") -> str:
-    body = ", ".join(f"{q.r(e)} AS {n}" for n, e in cols.items())
+def _sel(stages: str, cols: dict[str, str], src: str, where: str = "", places: dict[str, int] = {}) -> str:
+    body = ", ".join(f"{q.r(e, places.get(n, 6))} AS {n}" for n, e in cols.items())
     return f"{stages}\nSELECT {K}, {body} FROM {src} {where}"
 
 

@@ -63,11 +63,11 @@ def barriers(bars, tp=TP, sl=SL, horizon=H):
     return over_chunks(bars, cols, before=64, after=horizon).withColumnRenamed("bars", "bars_held")
 
 
-@query("triple_barrier", "L3 J9", SIG_SQL + _barrier_sql(TP, SL) + f" SELECT {K}, reason, bars_held, {q.r('exit_price')} AS exit_price, {q.r('exit_price / entry_price - 1')} AS gross FROM done")
+@query("triple_barrier", "L3 J9", SIG_SQL + _barrier_sql(TP, SL) + f" SELECT {K}, reason, bars_held, {q.r('exit_price', 9)} AS exit_price, {q.r('exit_price / entry_price - 1')} AS gross FROM done")
 def _(spark, base):
     df = barriers(indexed_bars(spark, base)).withColumns({
         "gross": ratio("exit_price", "entry_price") - 1, "bars_held": F.col("bars_held").cast("long")})
-    return shown(df, "reason", "bars_held", "exit_price", "gross")
+    return shown(df, "reason", "bars_held", "exit_price", "gross", places={"exit_price": 9})
 
 
 CB_SQL = SIG_SQL + f""",
@@ -167,10 +167,10 @@ def add_stops(d, w):
         F.col("close"), F.col("atr"), F.col("rsi"), F.col("support"), F.col("volume") > 10))
 
 
-@query("adaptive_stop", "L8", _sel(STOP_SQL, {"support": "support", "stop": "stop"}, "st"))
+@query("adaptive_stop", "L8", _sel(STOP_SQL, {"support": "support", "stop": "stop"}, "st", places={"stop": 9}))
 def _(spark, base):
     df = over_chunks(indexed_bars(spark, base), add_stops, before=128, after=2)
-    return shown(df.where("bar_idx >= 14"), "support", "stop")
+    return shown(df.where("bar_idx >= 14"), "support", "stop", places={"stop": 9})
 
 
 # Reward multiples and sizes of the profit ladder.

@@ -26,8 +26,8 @@ K = "symbol, tf, bar_idx"
 
 
 def _places(name: str) -> int:
-    """MACD crosses zero, so its rates of change lose digits."""
-    return 2 if name.startswith("deriv_macd_roc") else 6
+    """MACD crosses zero, so its rates of change lose digits; fifths and ratios of prices may end with a 5 after six places."""
+    return 2 if name.startswith("deriv_macd_roc") else 9 if name in ("deriv_close_velocity", "momentum_10") else 6
 
 
 def _sql_74() -> str:
@@ -100,10 +100,10 @@ FB_SQL = q.with_stages(T9_SQL, ("fb0", "t4", f"{q.pct('close')} AS ret, close <
                        ("fb1", "fb0", f"stddev_samp(ret) OVER {q.frame(-19)} AS vs, stddev_samp(ret) OVER {q.frame(-49)} AS vl, " + ", ".join(f"{q.lag('red', i)} AS d{i}" for i in range(1, 6))))
 
 
-@query("fallback_features", "W34 P15", q.with_stages(FB_SQL, ("fb2", "fb1", ", ".join(f"coalesce({_FB[n]}, 0) AS f_{n}" for n in fam.FALLBACK))) + f" SELECT {K}, " + ", ".join(f"{q.r(f'f_{n}')} AS {n}" for n in fam.FALLBACK) + " FROM fb2 WHERE bar_idx >= 50")
+@query("fallback_features", "W34 P15", q.with_stages(FB_SQL, ("fb2", "fb1", ", ".join(f"coalesce({_FB[n]}, 0) AS f_{n}" for n in fam.FALLBACK))) + f" SELECT {K}, " + ", ".join(f"{q.r(f'f_{n}', _places(n))} AS {n}" for n in fam.FALLBACK) + " FROM fb2 WHERE bar_idx >= 50")
 def _(spark, base):
     bars = running_bars(indexed_bars(spark, base), {"first_close": ("first", c("close"))})
-    return shown(over_chunks(bars, fam.add_fallback_31, before=1024).where("bar_idx >= 50"), *fam.FALLBACK)
+    return shown(over_chunks(bars, fam.add_fallback_31, before=1024).where("bar_idx >= 50"), *fam.FALLBACK, places={n: _places(n) for n in fam.FALLBACK})
 
 
 # ------------------------------------------------------------------ events around bars

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from barloom.functions import scores as sc
-from barloom.functions.columns import clip, flag, pct_change, ratio, rounded, rolling_std, sma
+from barloom.functions.columns import clip, flag, pct_change, ratio, rounded, sma
 from barloom.operators import indicators as ind
 from barloom.operators import states as st
 from barloom.operators.chunks import over_chunks, running_bars
@@ -161,8 +161,8 @@ def _(spark, base):
 
 
 HYB = q.with_stages(
-    LATCH, ("y0", "i3", f"{q.sma('rsi', 50)} AS rm, {q.std('rsi', 50)} AS rsd"),
-    ("y1", "y0", "CASE WHEN rsd > 0 THEN 1 / (1 + exp(-(rsi - rm) / rsd)) ELSE 0.5 END AS pctile, CASE WHEN abs(ret) > 5 THEN 0.8 ELSE 0.1 END AS crisis"),
+    LATCH, ("y0", "i3", f"list_filter(list(rsi) OVER {q.frame(-49)}, lambda v: v IS NOT NULL) AS last_rsi"),
+    ("y1", "y0", "CASE WHEN len(last_rsi) >= 50 THEN len(list_filter(last_rsi, lambda v: v <= rsi)) / 50.0 ELSE 0.5 END AS pctile, CASE WHEN abs(ret) > 5 THEN 0.8 ELSE 0.1 END AS crisis"),
     ("y2", "y1", "least(greatest(1 / (1 + exp(-5 * (abs(pctile - 0.5) - 0.3))), 0.3), 0.7) * CASE WHEN crisis < 0.7 THEN 1 ELSE 0 END - 0.0015 * (1 + 2 * coalesce(vol50, 0.02)) AS p_ml"),
     ("y3", "y2", f"count(p_rb) OVER {q.frame(-20, -1)} AS n, avg(p_rb) OVER {q.frame(-20, -1)} AS ma, stddev_pop(p_rb) OVER {q.frame(-20, -1)} AS sa, avg(p_ml) OVER {q.frame(-20, -1)} AS mb, stddev_pop(p_ml) OVER {q.frame(-20, -1)} AS sb"),
     ("y4", "y3", "exp(CASE WHEN coalesce(sa, 0) < 1e-12 THEN 0 ELSE ma / sa END + 1e-6) AS ea, exp(CASE WHEN coalesce(sb, 0) < 1e-12 THEN 0 ELSE mb / sb END + 1e-6) AS eb"),
@@ -174,8 +174,8 @@ def hybrid_frame(spark, base):
     """P_rb and P_ml of every bar and their adaptive blend over the previous 20 bars."""
     def cols(d, w):
         d = add_strategy_columns(d, w)
-        d = d.withColumns({"_rm": sma("rsi", 50, w), "_rs": rolling_std("rsi", 50, w), "crisis": F.when(F.abs("_ret") > 5, 0.8).otherwise(0.1)})
-        pctile = F.when(c("_rs") > 0, 1 / (1 + F.exp(-(c("rsi") - c("_rm")) / c("_rs")))).otherwise(0.5)
+        d = d.withColumns({"_last": F.collect_list("rsi").over(w.rowsBetween(-49, 0)), "crisis": F.when(F.abs("_ret") > 5, 0.8).otherwise(0.1)})
+        pctile = F.when(F.size("_last") >= 50, F.size(F.filter("_last", lambda v: v <= c("rsi"))) / F.lit(50.0)).otherwise(0.5)
         gate = sc.ml_gate(c("crisis"), F.lit(0.0), F.lit("normal"))
         d = d.withColumn("p_ml", sc.heuristic_probability(pctile) * gate - sc.adaptive_cost(F.coalesce("vol50", F.lit(0.02))))
         past = w.rowsBetween(-20, -1)
@@ -299,13 +299,13 @@ g AS (SELECT *, CASE WHEN reasons <> '' THEN 0 WHEN co THEN 0.2 WHEN wary THEN 0
 
 
 @query("governance", "F20", GOV + f""" SELECT id, reasons, halt_hours, CASE WHEN reasons <> '' THEN 'HALTED' WHEN co OR wary THEN 'REDUCED' ELSE 'ACTIVE' END AS state, {q.r('mult')} AS multiplier,
- {q.r("price * 0.2 * mult * CASE WHEN corr >= 0.7 THEN 1 - (corr - 0.7) / 0.3 * 0.5 ELSE 1 END * CASE WHEN n_open >= 5 THEN 0.7 ELSE 1 END * CASE WHEN n_open >= 8 THEN 0.5 ELSE 1 END", 4)} AS max_position,
+ {q.r("price * 0.2 * mult * CASE WHEN corr >= 0.7 THEN 1 - (corr - 0.7) / 0.3 * 0.5 ELSE 1 END * CASE WHEN n_open >= 5 THEN 0.7 ELSE 1 END * CASE WHEN n_open >= 8 THEN 0.5 ELSE 1 END", 9)} AS max_position,
  {q.r("least(greatest(CASE ct WHEN 'CRASH' THEN 5.0 WHEN 'MANIPULATION' THEN 8 WHEN 'GLITCH' THEN 15 ELSE 10 END * CASE WHEN vol / 0.02 > 2 THEN 1.5 WHEN vol / 0.02 < 0.5 THEN 0.7 ELSE 1 END, 3), 20)")} AS stop_pct FROM g""")
 def _(spark, base):
     out = sc.governance(c("ct"), c("conf"), c("pnl"), c("dd"), c("corr"), c("bot"), c("vol"), F.lit(0.02), c("news"), c("sent"), c("opp"), c("price"), c("corr"), c("n_open"))
     r = requests(spark, base).withColumns(out)
     return r.select("id", F.array_join("reasons", "|").alias("reasons"), "halt_hours", "state", rounded("multiplier").alias("multiplier"),
-                    rounded("max_position", 4).alias("max_position"), rounded("stop_pct").alias("stop_pct"))
+                    rounded("max_position", 9).alias("max_position"), rounded("stop_pct").alias("stop_pct"))
 
 
 CONF_SQL = q.with_stages(BASE, ("n0", "s2", f"{q.roll('min', 'low', 50)} AS sup, {q.lag('close', 119)} AS pc, {q.sma('close', 20)} AS m20, {q.sma('close', 200)} AS m200, min(low) OVER {q.frame(-19)} AS l20"))
@@ -322,11 +322,11 @@ def _(spark, base):
     return shown(df.withColumn("confluence", sc.confluence(c("bar_idx"), c("rsi"), c("vr"), c("close"), c("_sup"), c("_pc"), c("_m20"), c("_m200"), c("bar_idx") % 2 == 0, c("_l20"))), "confluence")
 
 
-@query("agreement", "F22 P12", REQ + f""" SELECT id, {q.r("1 - least(greatest(base, conf, CASE WHEN n_open > 5 THEN opp END) - least(base, conf, CASE WHEN n_open > 5 THEN opp END), 1)")} AS agreement,
+@query("agreement", "F22 P12", REQ + f""" SELECT id, {q.r("1 - least(greatest(base, conf, CASE WHEN n_open > 5 THEN opp END) - least(base, conf, CASE WHEN n_open > 5 THEN opp END), 1)", 9)} AS agreement,
  array_to_string(list_filter([CASE WHEN conf < 0.1 OR conf > 1 THEN 'confidence' END, CASE WHEN base > 0.8 THEN 'position_size' END, CASE WHEN ct = 'NONE' THEN 'action' END], lambda x: x IS NOT NULL), ',') AS violations FROM r""")
 def _(spark, base):
     bad = F.array_compact(F.array(F.when((c("conf") < 0.1) | (c("conf") > 1), "confidence"), F.when(c("base") > 0.8, "position_size"), F.when(c("ct") == "NONE", "action")))
-    return requests(spark, base).select("id", rounded(sc.agreement(c("base"), c("conf").cast("double"), F.when(c("n_open") > 5, c("opp").cast("double")))).alias("agreement"),
+    return requests(spark, base).select("id", rounded(sc.agreement(c("base"), c("conf").cast("double"), F.when(c("n_open") > 5, c("opp").cast("double"))), 9).alias("agreement"),
                                         F.array_join(bad, ",").alias("violations"))
 
 

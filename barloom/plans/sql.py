@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from barloom.functions.columns import TIE_SHIFT
-
 SER = "PARTITION BY symbol, tf"
 
-_LKEYS = "l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_quantity"
+_LKEYS = "l_shipdate, l_orderkey, l_linenumber, l_extendedprice / l_quantity"
 _LP = "l_extendedprice / l_quantity"
 
 
@@ -65,7 +63,7 @@ def pct(x: str, n: int = 1) -> str:
 
 
 def r(x: str, places: int = 6) -> str:
-    return f"(round(({x})::DOUBLE + {TIE_SHIFT * 10.0 ** -places!r}, {places}) + 0.0)"
+    return f"(round(({x})::DOUBLE, {places}) + 0.0)"
 
 
 def ema(x: str, span: int) -> str:

@@ -117,10 +117,10 @@ def equity(spark, base):
     return lg.equity_curve(trades(spark, base), "strategy")
 
 
-@query("equity_curve", "W26 W27 A11", EQ + f" SELECT strategy, bar_idx, ts_s, {q.r('value', 4)} AS value, {q.r('pnl_to_date', 1)} AS pnl_to_date, {q.r('dd')} AS drawdown FROM eq")
+@query("equity_curve", "W26 W27 A11", EQ + f" SELECT strategy, bar_idx, ts_s, {q.r('value', 4)} AS value, {q.r('pnl_to_date', 4)} AS pnl_to_date, {q.r('dd', 9)} AS drawdown FROM eq")
 def _(spark, base):
     e = lg.with_drawdown(equity(spark, base))
-    return cols(e.withColumnRenamed("symbol", "strategy"), ["strategy", "bar_idx", "ts_s"], {"value": 4, "pnl_to_date": 1, "drawdown": 6})
+    return cols(e.withColumnRenamed("symbol", "strategy"), ["strategy", "bar_idx", "ts_s"], {"value": 4, "pnl_to_date": 4, "drawdown": 9})
 
 
 METRICS = {"n_bars": None, "final_value": 4, "total_return_pct": 5, "annualized_return": 5, "cagr": 5, "volatility": 6, "sharpe": 6, "sortino": 6,

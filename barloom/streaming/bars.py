@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from barloom.sources.tables import packed
+
 
 def tick_stream(spark: SparkSession, base_dir: str, files_per_trigger: int = 64) -> DataFrame:
     """events as a stream of ticks; the trigger size bounds what one micro-batch holds."""
@@ -15,7 +17,7 @@ def tick_stream(spark: SparkSession, base_dir: str, files_per_trigger: int = 64)
 
 
 def _bar(window: Column, ticks: DataFrame) -> DataFrame:
-    tie = F.struct("ts", "event_id")
+    tie = packed(F.unix_micros("ts"), (F.col("event_id"), 19))
     out = ticks.groupBy("symbol", window.alias("w")).agg(
         F.min_by("price", tie).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", tie).alias("close"),
         F.count(F.lit(1)).alias("n_ticks"))

@@ -83,18 +83,17 @@ def stream_trailing(prices: DataFrame, atr: float, initial: float = 3.0, step: f
         fold, "symbol string, event_id long, stop double, hit boolean", "entry double, stop double, af double", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_watch(ticks: DataFrame, hours: float = 2.0) -> DataFrame:
+def stream_watch(ticks: DataFrame, hours: float = 2.0, span_hours: float = 6.0) -> DataFrame:
     """ticks(symbol, trade_id, ts, event_id, price): follow each trade from its first tick for
-    ``hours`` and report the first reversal or adverse move; event-time timers end quiet trades."""
-    window_ms = int(hours * 3_600_000)
+    ``hours`` and report the first reversal or adverse move; event-time timers end quiet trades.
+
+    All ticks of a trade_id lie within ``span_hours``. A reported trade is remembered that long, so
+    that later ticks don't open it anew; then its state goes."""
+    window_ms, span_ms = int(hours * 3_600_000), int(span_hours * 3_600_000)
 
     def fold(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([[*key, "confirmed", 0]], columns=["symbol", "trade_id", "outcome", "ticks"])
-            return
         entry, t0, best, n, done = state.get if state.exists else (None, 0, 0.0, 0, False)
-        for row in _rows(frames).itertuples():
+        for row in () if state.hasTimedOut else _rows(frames).itertuples():
             now = row.ts.value // 1_000_000
             if entry is None:
                 entry, t0 = float(row.price), now
@@ -109,9 +108,16 @@ def stream_watch(ticks: DataFrame, hours: float = 2.0) -> DataFrame:
             if reason:
                 done = True
                 yield pd.DataFrame([[*key, reason, n]], columns=["symbol", "trade_id", "outcome", "ticks"])
-        state.update((entry, t0, best, n, done))
-        if not done and t0 + window_ms > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(t0 + window_ms)
+        now = state.getCurrentWatermarkMs()
+        if not done and t0 + window_ms < now:
+            done = True
+            yield pd.DataFrame([[*key, "confirmed", 0]], columns=["symbol", "trade_id", "outcome", "ticks"])
+        end = t0 + (span_ms if done else window_ms)
+        if end < now:
+            state.remove()
+        else:
+            state.update((entry, t0, best, n, done))
+            state.setTimeoutTimestamp(max(end, now + 1))
 
     return ticks.withWatermark("ts", "10 minutes").groupBy("symbol", "trade_id").applyInPandasWithState(
         fold, "symbol string, trade_id long, outcome string, ticks int", "entry double, t0 long, best double, n int, done boolean",

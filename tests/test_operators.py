@@ -314,6 +314,10 @@ def test_rounding_has_no_negative_zero(spark):
     assert math.copysign(1, v) == 1.0
 
 
+def test_rounding_is_plain(spark):
+    assert spark.range(1).select(rounded(F.lit(4.7e-7)).alias("v")).first()["v"] == 0.0
+
+
 def test_greedy_chain_keeps_one_row_of_a_position(spark):
     from barloom.operators.chains import greedy_chain
     rows = [("A", "1h", i, 7, 9 + i) for i in range(4)] + [("A", "1h", 4, 9, 12), ("A", "1h", 5, 8, 10)]
