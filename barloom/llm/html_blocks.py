@@ -11,6 +11,9 @@ NAMES = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'
 WORD = re.compile(r"[a-zA-Z]+")
 #: fixed values: elements whose content is not text of the page
 RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "title", "textarea", "select", "datalist", "audio", "video"}
+#: where each raw element ends, found in the source itself: lower-casing a whole page can change its length
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
+BODY = re.compile("<body", re.I | re.A)
 #: fixed values: elements that run on inside a block
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby",
           "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "input"}
@@ -74,7 +77,6 @@ def blocks(source: str) -> list[Block]:
     """Text between block elements, in page order. Comments, scripts, styles and other raw elements hold none; an unknown or
     broken tag counts as a tag, a lone "<" as text."""
     page, at = Page(), 0
-    lower = None
     while m := TOKEN.match(source, at):
         at, token, tag = m.end(), m[0], (m[2] or "").lower()
         if token[0] != "<" or token == "<":
@@ -83,12 +85,11 @@ def blocks(source: str) -> list[Block]:
                 page.linked += len(token)
         elif tag in RAW and not m[1] and not token.endswith("/>"):
             page.close()
-            lower = lower or source.lower()
-            found = lower.find(f"</{tag}", at)
+            found = RAW_END[tag].search(source, at)
             if tag == "head":  # heads may lack their end
-                body = lower.find("<body", at)
-                found = min((x for x in (found, body) if x >= 0), default=at)
-            at = len(source) if found < 0 else found
+                at = min((x.start() for x in (found, BODY.search(source, at)) if x), default=at)
+            else:
+                at = found.start() if found else len(source)
         elif tag:
             page.end(tag) if m[1] else page.start(tag, m[3])
     page.close()

@@ -88,6 +88,16 @@ def test_blocks_decode_and_nest():
     assert blocks("") == [] and blocks("<") != []
 
 
+def test_blocks_after_letters_that_grow_in_lower_case():
+    for n in (1, 8, 40, 400):
+        i = "\u0130" * n
+        body = f"<p>{i}</p><script>var t='</p>';</SCRIPT><p>Forty characters of article text, all kept.</p><style>p{{}}</Style>tail<svg><text>{i}</text></svg><p>end"
+        want = [i, "Forty characters of article text, all kept.", "tail", "end"]
+        assert [b.text for b in blocks(f"<html><head><title>{i}</title></HEAD><body>{body}")] == want
+        assert [b.text for b in blocks(f"<html><head><title>{i}</title><BODY>{body}")] == want
+    assert [b.text for b in blocks("<head><title>\u0130</title><p>no end of head</p>")] == ["no end of head"]
+
+
 def test_labeller_gradients_and_made_up_pages():
     pages = html_text.made_up(260)
     model = html_text.Labeller()
