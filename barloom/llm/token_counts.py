@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -72,10 +73,17 @@ class TokenRollup:
         return self.read("ledger", LEDGER)
 
     def balance(self, before: str | None = None) -> DataFrame:
-        """Counts in force, one row per document and tokenizer with its (source, lang), from batches other than `before`."""
+        """Counts in force from batches other than `before`: doc_id, source, lang, tokenizer, tokens and copies, the number of
+        documents with just this count. Rows of one id with different counts stay apart, so taking them back is exact."""
         rows = self.ledger().where(F.lit(True) if before is None else F.col("batch") != before)
-        kept = rows.groupBy("doc_id", *KEYS).agg(F.sum("sign").alias("copies"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
-        return kept.where("copies <> 0 OR tokens <> 0")
+        return rows.groupBy("doc_id", *KEYS, "tokens").agg(F.sum("sign").alias("copies")).where("copies <> 0")
+
+    def taken_back(self, batch: str, touched: DataFrame) -> DataFrame:
+        """Reversals of what the documents in touched(doc_id, ...) have in force before this batch; null is a value like others."""
+        held, keys = self.balance(batch), touched.columns
+        some = touched.distinct().toDF(*(f"__{k}" for k in keys))
+        same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+        return held.join(some, same, "left_semi").select("doc_id", *KEYS, (-F.col("copies")).alias("sign"), "tokens")
 
     def commit(self, batch: str, rows: DataFrame) -> None:
         """rows(doc_id, source, lang, tokenizer, sign, tokens): +1 adds a document's count, -1 takes one back. Sums go up by key
@@ -89,16 +97,14 @@ class TokenRollup:
         self.commit(batch, counts.withColumn("sign", F.lit(1)))
 
     def delete(self, batch: str, ids: DataFrame) -> None:
-        """Takes back whatever the documents in ids(doc_id) have in force before this batch."""
-        gone = self.balance(batch).join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-        self.commit(batch, gone.select("doc_id", *KEYS, (-F.col("copies")).alias("sign"), (F.col("tokens") / F.col("copies")).cast("long").alias("tokens")))
+        """Takes back whatever the documents in ids(doc_id) have in force before this batch. A null id stands for all documents without one."""
+        self.commit(batch, self.taken_back(batch, ids.select("doc_id")))
 
     def revise(self, batch: str, counts: DataFrame) -> None:
-        """New counts of documents for their tokenizer versions: what was in force is taken back, the new is added; unchanged counts add no rows."""
+        """New counts of documents for their tokenizer versions: what was in force under the same id, null too, is taken back, the new
+        is added; unchanged counts add no rows. Ids that repeat are revised together, so all their rows have to be in counts."""
         new = counts.select("doc_id", *KEYS, F.lit(1).alias("sign"), "tokens")
-        touched = new.select("doc_id", "tokenizer").distinct()
-        old = self.balance(batch).join(touched, ["doc_id", "tokenizer"], "left_semi")
-        old = old.select("doc_id", *KEYS, (-F.col("copies")).alias("sign"), (F.col("tokens") / F.col("copies")).cast("long").alias("tokens"))
+        old = self.taken_back(batch, new.select("doc_id", "tokenizer"))
         both = old.unionByName(new).groupBy("doc_id", *KEYS, "tokens").agg(F.sum("sign").alias("sign"))
         self.commit(batch, both.where("sign <> 0"))
 

@@ -69,6 +69,37 @@ def test_token_rollup_deltas(spark):
     assert totals() == {("s", "fr"): (1, 1), (None, "en"): (2, 1)}
 
 
+def test_token_recount_and_deletion_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b", "s", "en"), (None, "a b c", "s", "en"), (None, "a b", "s", "en"), (None, None, None, None), (7, "w " * 10, "s", "en"), (7, "w " * 15, "s", "en"), (8, "x", "t", "en"), (9, "y z", "t", None), (9, "y z", "t", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    rollup = token_counts.TokenRollup(spark, shared_folder(spark))
+
+    def afresh(of):
+        out = defaultdict(lambda: (0, 0))
+        for _, text, source, lang in of:
+            n, t = out[source, lang]
+            out[source, lang] = n + 1, t + len((text or "").split())
+        return dict(out)
+
+    def totals():
+        return {(r.source, r.lang): (r.docs, r.tokens) for r in rollup.totals().collect()}
+
+    counts = token_counts.counted(docs, ["words"])
+    rollup.insert("load", counts)
+    for _ in range(2):
+        rollup.revise("recount", counts)
+        assert totals() == afresh(rows)
+    assert rollup.ledger().where("batch = 'recount'").count() == 0
+    longer = [(i, f"{t or ''} more", s, "de") for i, t, s, _ in rows]
+    rollup.revise("longer", token_counts.counted(spark.createDataFrame(longer, docs.schema), ["words"]))
+    assert totals() == afresh(longer)
+    for _ in range(2):
+        rollup.delete("gone", docs.where("doc_id IS NULL OR doc_id = 7"))
+        assert totals() == afresh([r for r in longer if r[0] in (8, 9)])
+    rollup.delete("rest", docs)
+    assert totals() == {} and rollup.balance().count() == 0
+
+
 def test_archives_round_trip(spark):
     rows = [(None, None, None), (90, "a\nb", ""), (91, "u", None), (92, None, "x\r\n\r\nWARC/1.1\r\n"), (92, None, "x\r\n\r\nWARC/1.1\r\n"), (89, "q", "é\r\n\r\n"), (1, "z", "é\r\n\r\n"), (2, "z", "big " * 50_000)]
     got = warc.archived(spark.createDataFrame([(*r, "w") for r in rows], "page_id long, url string, html string, digest string")).collect()
