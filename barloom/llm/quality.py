@@ -37,8 +37,8 @@ def statistics(text: bytes, words: np.ndarray) -> list[float]:
     ]
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, stats) of every text, one row for each row of docs, no shuffle. Null texts count as empty."""
+def measured(docs: DataFrame, *also: str) -> DataFrame:
+    """(doc_id, stats) of every text and the columns named in `also`, one row for each row of docs, no shuffle. Null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -48,9 +48,10 @@ def measured(docs: DataFrame) -> DataFrame:
                 flat, counts = word_hashes(texts, ALNUM)
                 ends = np.cumsum(counts)
                 rows = np.array([statistics(t, flat[e - c:e]) for t, e, c in zip(texts, ends.tolist(), counts.tolist(), strict=True)], float).reshape(-1, STATS)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * STATS, pa.int32()), pa.array(rows.reshape(-1)))], ["doc_id", "stats"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * STATS, pa.int32()), pa.array(rows.reshape(-1))), *part.columns[2:]], ["doc_id", "stats", *also])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "doc_id long, stats array<double>")
+    schema = ", ".join(["doc_id long, stats array<double>", *(f"{k} {kind}" for k, kind in docs.select(*also).dtypes)])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"), *also).mapInArrow(run, schema)
 
 
 def summed(rows: DataFrame, make, *keys: str) -> dict[tuple, np.ndarray]:

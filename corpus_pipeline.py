@@ -15,26 +15,42 @@ def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose doc_id isn't in ids; rows with a null doc_id stay."""
-    return docs.join(ids.select(F.col("doc_id").alias("__gone")).distinct(), F.col("doc_id") == F.col("__gone"), "left_anti")
+def keyed(docs: DataFrame) -> DataFrame:
+    """Documents with __row, a number for each row. Verdicts are about rows: ids may be null, repeat, or be shared by different texts.
+    Written once, so that every later read sees the same numbers."""
+    return staged(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of `keyed` documents whose number isn't the doc_id of a row in gone; the number is dropped."""
+    return rows.join(gone.select(F.col("doc_id").alias("__row")), "__row", "left_anti").drop("__row")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject (score below 0.3)."""
-    stats = staged(quality.measured(docs))
-    return without(docs, staged(quality.scored(stats, quality.learned(stats, labels_of(spark, sf_dir))).where("predicted = 0")))
+    rows = keyed(docs)
+    stats = staged(quality.measured(rows, "__row"))
+    model = quality.learned(stats, labels_of(spark, sf_dir))
+    numbered = stats.select(F.col("__row").alias("doc_id"), "stats")
+    return without(rows, staged(quality.scored(numbered, model).where("predicted = 0").select("doc_id")))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject (score of 0.7 or more)."""
-    model = toxicity.learned(docs, labels_of(spark, sf_dir))
-    return without(docs, staged(toxicity.scored(docs, model).where("predicted = 1").select("doc_id")))
+    rows = keyed(docs)
+    model = toxicity.learned(rows, labels_of(spark, sf_dir))
+    numbered = rows.select(F.col("__row").alias("doc_id"), "text")
+    return without(rows, staged(toxicity.scored(numbered, model).where("predicted = 1").select("doc_id")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    return without(docs, staged(minhash.near_duplicates(docs).where("NOT kept")))
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): that with the smallest doc_id, null last, and
+    one of its rows if the id repeats."""
+    rows = keyed(docs)
+    found = minhash.near_duplicates(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    named = staged(found.join(rows.select("__row", F.col("doc_id").alias("id")), "__row"))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("first")).select("first.__row")
+    return without(rows, staged(named.join(staged(first), "__row", "left_anti").select(F.col("__row").alias("doc_id"))))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
