@@ -15,7 +15,7 @@ from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barloom.operators.lineage import attach
+from barloom.operators.lineage import attach, cut
 from barloom.functions.columns import ratio
 
 
@@ -83,6 +83,62 @@ def logistic(label="label") -> LogisticRegression:
     return LogisticRegression(labelCol=label, featuresCol="features", regParam=0.01, maxIter=50)
 
 
+def logistic_by_key(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], label: str, reg: float = 0.01, most_passes: int = 60) -> DataFrame:
+    """(keys, intercept, weights): one logistic model for each key, fitted for all of them in the same passes over rows.
+
+    Mean log-loss plus reg / 2 times the squared weights of standardised columns, as in ``logistic``. A pass sums loss, gradient and
+    Hessian by key with partial sums in each task; a Newton step that would raise the loss is halved. A key with one class
+    gets no weights and an intercept that predicts this class. Columns without nulls, label 0 or 1.
+    """
+    d, keys = len(columns), list(keys)
+    moments = cut(rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(label).cast("double")).alias("pos"), F.array(*[F.avg(c).cast("double") for c in columns]).alias("mean"),
+        F.array(*[F.coalesce(F.stddev_samp(c), F.lit(0.0)) for c in columns]).alias("scale")))
+    x = [F.coalesce(ratio(F.col(c) - F.col("mean")[i], F.col("scale")[i]), F.lit(0.0)).alias(f"x{i + 1}") for i, c in enumerate(columns)]
+    z = cut(rows.join(moments.where("pos > 0 AND pos < n"), keys).select(*keys, F.lit(1.0).alias("x0"), *x, F.col(label).cast("double").alias("y")))
+    zeros = F.array(*[F.lit(0.0)] * d)
+    start = moments.where("pos > 0 AND pos < n").withColumn("at", F.concat(F.array(F.log(F.col("pos") / (F.col("n") - F.col("pos")))), zeros))
+    state = cut(start.withColumns({"best": F.col("at"), "best_loss": F.lit(float("inf")), "step": F.concat(F.array(F.lit(0.0)), zeros), "done": F.lit(False)}))
+    eta = sum(F.col("at")[i] * F.col(f"x{i}") for i in range(d + 1))
+    p = 1 / (1 + F.exp(-F.col("eta")))
+    pairs = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
+    sums = [F.sum(F.greatest("eta", F.lit(0.0)) + F.log1p(F.exp(-F.abs("eta"))) - F.col("y") * F.col("eta")),
+            *(F.sum((F.col("p") - F.col("y")) * F.col(f"x{i}")) for i in range(d + 1)), *(F.sum(F.col("p") * (1 - F.col("p")) * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs)]
+    ridge = np.array([0.0] + [reg] * d)
+
+    def stepped(frames):
+        for f in frames:
+            for r in f.index:
+                if f.at[r, "done"]:
+                    continue
+                s, at = np.array(f.at[r, "sums"]) / f.at[r, "n"], np.array(f.at[r, "at"])
+                loss = s[0] + (ridge * at * at).sum() / 2
+                if loss <= f.at[r, "best_loss"]:
+                    h = np.zeros((d + 1, d + 1))
+                    for (i, j), v in zip(pairs, s[d + 2:]):
+                        h[i, j] = h[j, i] = v
+                    best, step = at, -np.linalg.solve(h + np.diag(ridge) + 1e-12 * np.eye(d + 1), s[1:d + 2] + ridge * at)
+                    f.at[r, "best_loss"] = loss
+                else:
+                    best, step = np.array(f.at[r, "best"]), np.array(f.at[r, "step"]) / 2
+                f.at[r, "best"], f.at[r, "step"], f.at[r, "at"] = best.tolist(), step.tolist(), (best + step).tolist()
+                f.at[r, "done"] = bool(np.abs(step).max() < 1e-7)
+            yield f.drop(columns="sums")
+
+    for _ in range(most_passes):
+        parts = z.join(state.select(*keys, "at"), keys).withColumn("eta", eta).withColumn("p", p).groupBy(*keys).agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)])
+        found = state.join(parts.select(*keys, F.array(*[f"s{i}" for i in range(len(sums))]).alias("sums")), keys)
+        state = cut(found.select(*state.columns, "sums").mapInPandas(stepped, state.schema))
+        if state.where("NOT done").isEmpty():
+            break
+    else:
+        raise RuntimeError("models did not settle")
+    weights = F.array(*[F.coalesce(ratio(F.col("best")[i + 1], F.col("scale")[i]), F.lit(0.0)) for i in range(d)])
+    fitted = state.withColumn("weights", weights).withColumn("intercept", F.col("best")[0] - sum(F.col("weights")[i] * F.col("mean")[i] for i in range(d)))
+    single = moments.where("pos = 0 OR pos = n").select(*keys, F.when(F.col("pos") > 0, 1.0).otherwise(-1.0).alias("intercept"), zeros.alias("weights"))
+    return fitted.select(*keys, "intercept", "weights").unionByName(single)
+
+
 def tuned_logistic(train: DataFrame, columns: Sequence[str], label: str, folds: int = 3, seed: int = 42):
     lr = logistic(label)
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.01, 0.1]).build()

@@ -80,22 +80,20 @@ def _(spark, base):
 
 @query("models_per_series", "M8 M7")
 def _(spark, base):
-    """One logistic model per (symbol, tf) on the state vector; the catalogue of series drives the loop."""
+    """One logistic model per (symbol, tf) on the state vector; all are fitted in the same passes."""
     def cols(d, w):
         return add_state_vector(d, w).withColumns(lb.forward_return(w, 4))
     names = ["sv_last", "sv_mean", "sv_vol", "sv_trend", "sv_relative"]
-    df = cut(over_chunks(indexed_bars(spark, base), cols, before=64, after=8).where("target_fee IS NOT NULL").select(
-        *SERIES, "bar_idx", *names, c("target_fee").cast("double").alias("label")))
-    sizes = df.groupBy(*SERIES).agg((F.max("bar_idx") * 0.8).cast("long").alias("last_train"), F.count_distinct("label").alias("classes")).collect()
-    out = None
-    for row in sorted(sizes):  # the catalogue has tens of series
-        one = df.where((c("symbol") == row["symbol"]) & (c("tf") == row["tf"]))
-        if row["classes"] < 2:
-            continue
-        from pyspark.ml import Pipeline
-        model = Pipeline(stages=[*ml.assemble(names), ml.logistic().setMaxIter(10)]).fit(one.where(c("bar_idx") <= row["last_train"]))
-        res = ml.score(model, one.where(c("bar_idx") > row["last_train"])).agg(
-            F.count(F.lit(1)).alias("n"), F.avg((c("pred") == c("label").cast("int")).cast("double")).alias("accuracy")).select(
-            F.lit(row["symbol"]).alias("symbol"), F.lit(row["tf"]).alias("tf"), "n", "accuracy")
-        out = res if out is None else out.unionByName(res)
-    return out
+    return series_accuracy(over_chunks(indexed_bars(spark, base), cols, before=64, after=8).select(
+        *SERIES, "bar_idx", *names, c("target_fee").cast("double").alias("label")), names)
+
+
+def series_accuracy(df, names):
+    """One row for each series: labelled rows after the first 80 % of bars, and the share of them that the series' model, fitted before, gets
+    right. A series whose training rows have one class predicts it; without rows to train on or to predict the accuracy is null."""
+    ends = df.where("label IS NOT NULL").groupBy(*SERIES).agg((F.max("bar_idx") * 0.8).cast("long").alias("last_train"))
+    df = cut(df.join(ends, SERIES, "left"))
+    models = ml.logistic_by_key(df.where("label IS NOT NULL AND bar_idx <= last_train"), SERIES, names, "label")
+    pred = (c("intercept") + sum(c("weights")[i] * c(x) for i, x in enumerate(names)) >= 0).cast("double")
+    test = c("label").isNotNull() & (c("bar_idx") > c("last_train"))
+    return df.join(models, SERIES, "left").groupBy(*SERIES).agg(F.count_if(test).alias("n"), F.avg(F.when(test, (pred == c("label")).cast("double"))).alias("accuracy"))
