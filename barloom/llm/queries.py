@@ -36,15 +36,26 @@ def op5_minhash(spark: SparkSession, base: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, base: str) -> DataFrame:
-    """Loads all documents under two tokenizer versions, repeats the commit, recounts all of them, and reads the totals."""
-    counts = staged(token_counts.counted(table(spark, base, "documents"), ["words", "byte_bpe_50k"]))
+    """Totals under two tokenizer versions after every document was inserted by a first rule, revised, deleted and inserted again."""
     rollup = token_counts.TokenRollup(spark, shared_folder(spark))
-    rollup.insert("load", counts)
-    rollup.insert("load", counts)
-    rollup.revise("recount", counts)
+    token_history(rollup, table(spark, base, "documents"))
     return rollup.totals()
 
 
+def token_history(rollup: token_counts.TokenRollup, docs: DataFrame) -> None:
+    """Loads all documents with a token for every four characters begun, twice under one batch name; revises all of them to the
+    tokenizers' counts; deletes all and inserts them again."""
+    versions = ["words", "byte_bpe_50k"]
+    chars = F.ceil(F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)) / 4).cast("long")
+    first = docs.select("doc_id", "source", "lang", F.explode(F.array(*map(F.lit, versions))).alias("tokenizer"), chars.alias("tokens"))
+    counts = staged(token_counts.counted(docs, versions))
+    rollup.insert("load", first)
+    rollup.insert("load", first)
+    rollup.revise("recount", counts)
+    rollup.delete("gone", counts)
+    rollup.insert("again", counts)
+
+
 def op7_chat(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"

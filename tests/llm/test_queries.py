@@ -2,9 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barloom.llm import queries
+from barloom.llm import queries, token_counts
 
 BASE = "/root/testdata/sf0.001"
 
@@ -25,6 +26,26 @@ def test_query_matches_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+def test_token_query_inserts_revises_and_deletes_every_document(spark):
+    docs = spark.read.parquet(f"{BASE}/documents.parquet")
+    rollup = token_counts.TokenRollup(spark, queries.shared_folder(spark))
+    queries.token_history(rollup, docs)
+    versions = ["words", "byte_bpe_50k"]
+    n, counts = docs.count(), queries.staged(token_counts.counted(docs, versions))
+    ledger = rollup.ledger().groupBy("batch").agg(F.sum(F.greatest("sign", F.lit(0))).alias("put"), F.sum(F.least("sign", F.lit(0))).alias("back"))
+    got = {r.batch: (r.put, r.back) for r in ledger.collect()}
+    assert got["load"] == got["again"] == (2 * n, 0) and got["gone"] == (0, -2 * n)
+    chars = {r.doc_id: -(-len(r.text or "") // 4) for r in docs.collect()}
+    changed = sum(r.tokens != chars[r.doc_id] for r in counts.collect())
+    assert got["recount"] == (changed, -changed) and changed > n
+
+    def rows(df):
+        return sorted(map(str, df.select("source", "lang", "tokenizer", "docs", "tokens").collect()))
+
+    want = counts.groupBy("source", "lang", "tokenizer").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
+    assert rows(rollup.totals()) == rows(want) == rows(queries.op6_token_counts(spark, BASE))
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark):
     docs = spark.read.parquet(f"{BASE}/documents.parquet")
     before = docs.count()
