@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import chat, decontaminate, embedding_dedup, html_text, minhash, mixing, quality, token_counts, toxicity, warc
+from barloom.llm import chat, decontaminate, embedding_dedup, html_text, merkle, minhash, mixing, prefix_trie, quality, token_counts, token_file, toxicity, warc
 from barloom.llm.common import shared_folder, staged
 
 
@@ -77,6 +77,22 @@ def op10_quality(spark: SparkSession, base: str) -> DataFrame:
     return quality.scored(stats, quality.learned(stats, table(spark, base, "labels")))
 
 
+def op11_merkle(spark: SparkSession, base: str) -> DataFrame:
+    """Every seventh document, by a hash of its id, is checked with one character more than its manifest says."""
+    seventh = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    more = F.when(seventh, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars"))
+    proven = merkle.manifest(table(spark, base, "documents"), claimed={"n_chars": more})
+    return proven.withColumn("proof_sha256", F.sha2(F.array_join("siblings", ""), 256)).drop("siblings")
+
+
+def op12_token_file(spark: SparkSession, base: str) -> DataFrame:
+    return token_file.tokenized(table(spark, base, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, base: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, base, "conversations"))
+
+
 def pipeline(spark: SparkSession, base: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +100,8 @@ def pipeline(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_embedding_dedup, op2_decontaminate, op3_html_text, op4_warc, op5_minhash, op6_token_counts, op7_chat, op8_mixing, op9_toxicity, op10_quality, pipeline)}
+    op1_embedding_dedup, op2_decontaminate, op3_html_text, op4_warc, op5_minhash, op6_token_counts, op7_chat, op8_mixing, op9_toxicity, op10_quality,
+    op11_merkle, op12_token_file, op13_prefix_trie, pipeline)}
 
 SQL = {
     "op1_embedding_dedup": """
@@ -159,4 +176,58 @@ WITH d AS (
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), q AS (SELECT *, CASE WHEN ss = 0 THEN 0 ELSE floor(target / ss) END AS rounds FROM p)
 SELECT doc_id, size::BIGINT AS size, ss::BIGINT AS source_size, target, (rounds * size + greatest(0, least(size, floor(target) - rounds * ss - place)))::BIGINT AS taken FROM q""",
+    "op11_merkle": """
+WITH RECURSIVE doc AS (
+  SELECT doc_id, lang, source, text, n_chars, CASE WHEN crc % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS claim FROM (
+    SELECT *, xor(list_reduce(flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: [unicode((doc_id::VARCHAR)[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+      lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384), 4294967295::BIGINT), 4294967295) AS crc FROM documents)
+), said AS (
+  SELECT doc_id, lang, n_chars, claim, concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-')) AS a,
+    coalesce(strlen(text) || ':' || text, '-') AS b FROM doc
+), hashed AS (
+  SELECT doc_id, lang, sha256(concat(a, coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-'), b)) AS leaf, sha256(concat(a, coalesce(strlen(claim::VARCHAR) || ':' || claim, '-'), b)) AS claim FROM said
+), leaf AS MATERIALIZED (
+  SELECT *, coalesce('1' || lang, '0') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM hashed
+), node AS (
+  SELECT tree, 0 AS level, i, n, leaf AS h FROM leaf
+  UNION ALL SELECT tree, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM node WHERE n > 1 GROUP BY tree, level, i // 2, n
+), top AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM node WHERE n = 1
+), above AS (
+  SELECT 0 AS level, i, n, subroot AS h FROM top
+  UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM above WHERE n > 1 GROUP BY level, i // 2, n
+), step AS (
+  SELECT l.doc_id, l.leaf, x.level, s.h AS sib, l.i >> x.level AS place FROM leaf l JOIN (SELECT DISTINCT tree, level, n FROM node WHERE n > 1) x ON x.tree = l.tree
+    LEFT JOIN node s ON s.tree = l.tree AND s.level = x.level AND s.i = xor(l.i >> x.level, 1)
+  UNION ALL SELECT l.doc_id, l.leaf, 1000 + x.level, s.h, t.i >> x.level FROM leaf l JOIN top t ON t.tree = l.tree, (SELECT DISTINCT level, n FROM above WHERE n > 1) x
+    LEFT JOIN above s ON s.level = x.level AND s.i = xor(t.i >> x.level, 1)
+), path AS (SELECT doc_id, leaf, list({'sib': sib, 'odd': place % 2 = 1} ORDER BY level) AS p FROM step GROUP BY doc_id, leaf
+), folded AS (
+  SELECT l.doc_id, l.leaf, p, 1 AS k, l.claim AS h FROM leaf l LEFT JOIN path ON path.doc_id IS NOT DISTINCT FROM l.doc_id AND path.leaf = l.leaf
+  UNION ALL SELECT doc_id, leaf, p, k + 1, sha256(CASE WHEN p[k].odd THEN concat(p[k].sib, h) ELSE concat(h, p[k].sib) END) FROM folded WHERE k <= len(p)
+)
+SELECT f.doc_id, f.leaf, top.subroot, r.h AS root, sha256(coalesce(array_to_string(list_transform(p, lambda x: x.sib), ''), '')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM folded f JOIN leaf l ON l.doc_id IS NOT DISTINCT FROM f.doc_id AND l.leaf = f.leaf JOIN top ON top.tree = l.tree, (SELECT h FROM above WHERE n = 1) r WHERE k = coalesce(len(p), 0) + 1""",
+    "op13_prefix_trie": r"""
+WITH turn AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t,
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words FROM conversations WHERE conv_id IS NOT NULL
+), conv AS (
+  SELECT conv_id, list(t ORDER BY turn NULLS FIRST, role, t) AS said, list(words ORDER BY turn NULLS FIRST, role, t) AS words,
+    xor(list_reduce(flatten(list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: [unicode((conv_id::VARCHAR)[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+      lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384), 4294967295::BIGINT), 4294967295) % 4 AS h FROM turn GROUP BY conv_id
+), built AS (
+  SELECT c.conv_id, coalesce(b.said[1:c.h], []) || c.said[c.h + 1:] AS said, coalesce(b.words[1:c.h], []) || c.words[c.h + 1:] AS words
+  FROM conv c LEFT JOIN conv b ON b.conv_id = c.conv_id - c.conv_id % 20
+), prefix AS MATERIALIZED (
+  SELECT conv_id, d AS depth, len(said) AS size, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS words, md5(array_to_string(said[1:d], '')) || d AS node, CASE WHEN d > 0 THEN md5(array_to_string(said[1:d - 1], '')) || (d - 1) END AS up
+  FROM (SELECT *, unnest(range(len(said) + 1)) AS d FROM built)
+), node AS MATERIALIZED (
+  SELECT node, any_value(up) AS up, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n, any_value(words) AS words, max(size) = min(depth) AS leaf,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends FROM prefix GROUP BY node
+), below AS (
+  SELECT a.node, sum((x.n - 1) * x.words) AS saved, count(*) FILTER (WHERE x.leaf) AS leaves FROM node x JOIN prefix a ON a.conv_id = x.conv_id AND a.depth <= x.depth GROUP BY a.node
+), kids AS (SELECT up, count(*) AS n FROM node WHERE up IS NOT NULL GROUP BY up)
+SELECT x.conv_id, x.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, x.n::BIGINT AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, below.leaves::BIGINT AS n_leaves,
+  below.saved::BIGINT AS saved_tokens, x.ends AS ends_sha256
+FROM node x JOIN below USING (node) LEFT JOIN node p ON p.node = x.up LEFT JOIN kids ON kids.up = x.node""",
 }
