@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from barloom.llm.common import by_bytes, shared_folder, staged
+from barloom.llm.common import by_bytes, shared_folder, staged, text_bytes
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -29,8 +29,14 @@ ENTRY = np.dtype([("start", "<u8"), ("least", "<u4"), ("patch", "<u4"), ("width"
 PATCH = np.dtype([("place", "<u2"), ("delta", "<u4")])
 #: document: id, whether it has one, number of its ids
 DOC = np.dtype([("doc_id", "<i8"), ("named", "u1"), ("n", "<u4")])
-#: distinct words that an encoder remembers before it starts afresh
-MEMORY = 400_000
+#: distinct pieces that an encoder remembers
+MEMORY = 600_000
+#: bytes that separate pieces, besides spaces; bytes after which ASCII punctuation at a word's end is a piece of its own: digits and
+#: letters of ASCII, second bytes of Latin-1 letters (first byte C3)
+LINE_END = bytes(32 if b == 10 else b for b in range(256))
+ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+LATIN = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
+STOP = np.array([b in b".,;:!?" for b in range(256)])
 PART_BYTES = 1 << 21
 
 
@@ -40,50 +46,77 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pieces_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """(pieces between spaces and line ends, with a punctuation mark that ends a word apart; number of pieces of each text)."""
+    raw = np.frombuffer(b" ".join([*texts, b""]).translate(LINE_END), np.uint8)
+    after = np.flatnonzero(STOP[raw[2:-1]] & (raw[3:] == 32) & (ALNUM[raw[1:-2]] | LATIN[raw[1:-2]] & (raw[:-3] == 0xC3))) + 2
+    spaces = np.flatnonzero(raw == 32)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    upto = np.searchsorted(spaces, ends) + np.searchsorted(after, ends)
+    return np.insert(raw, after, 32).tobytes().split(b" ")[:-1], np.diff(np.concatenate([[0], upto]))
+
+
+class Pieces(dict):
+    """Numbers of pieces of text. A piece asked for the first time gets the next number and waits in `fresh`."""
+
+    def __init__(self) -> None:
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        self[piece] = number = len(self)
+        self.fresh.append(piece)
+        return number
+
+
 class Encoder:
     """Ids of texts under a vocabulary file of the tokenizers library.
 
-    This vocabulary drops white space between words and never merges across it, so a text's ids are those of its pieces between
-    spaces and line ends, one after another. Each distinct piece goes through the library once and is then remembered;
-    the memory starts afresh when full, which changes no result.
+    This vocabulary drops white space between words and never merges across it, nor between a letter or digit and
+    the punctuation that ends a word, so a text's ids are those of its pieces, one after another. Each distinct piece goes through
+    the library once and is then remembered; a full memory keeps the pieces seen more than once. Neither changes a result.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.ends = [np.zeros(0, np.uint32)], [0]
+        self.known, self.seen = Pieces(), np.zeros(0, np.int64)
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, pieces: list[bytes]) -> None:
-        fresh = list(dict.fromkeys(p for p in pieces if p not in self.known))
-        if not fresh:
-            return
-        if self.known and len(self.known) + len(fresh) > MEMORY:
-            self.forget()
-            fresh = list(dict.fromkeys(pieces))
-        found = self.model.encode_batch_fast([p.decode() for p in fresh], add_special_tokens=False)
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-        sizes = np.array([len(x.ids) for x in found], np.int64)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.flat = np.concatenate([self.flat, *(np.array(x.ids, np.uint32) for x in found)])
+    def gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces, where each one ends)."""
+        sizes = self.size[at]
+        upto = np.cumsum(sizes)
+        return self.flat[np.repeat(self.start[at] - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)], upto
+
+    def forget(self) -> None:
+        often = np.flatnonzero(self.seen > 1)
+        if len(often) > MEMORY // 2:
+            often = often[:0]
+        kept, pieces = Pieces(), list(self.known)
+        for i in often.tolist():
+            dict.__setitem__(kept, pieces[i], len(kept))
+        self.flat, upto = self.gathered(often)
+        self.size = self.size[often]
+        self.start, self.seen, self.known = upto - self.size, np.zeros(len(often), np.int64), kept
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        pieces = [t.replace(b"\n", b" ").split(b" ") for t in texts]
-        every = [p for own in pieces for p in own]
-        self.learn(every)
-        at = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
-        sizes = self.size[at]
-        upto = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.start[at] - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)]
-        ends = np.cumsum([len(own) for own in pieces])
-        return ids, np.diff(np.concatenate([[0], np.concatenate([[0], upto])[ends]])).astype(np.int64)
+        if len(self.known) > MEMORY:
+            self.forget()
+        pieces, counts = pieces_of(texts)
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        if self.known.fresh:
+            found = [x.ids for x in self.model.encode_batch_fast([p.decode() for p in self.known.fresh], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.size = np.concatenate([self.size, sizes])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+            self.seen = np.concatenate([self.seen, np.zeros(len(found), np.int64)])
+            self.known.fresh = []
+        self.seen += np.bincount(at, minlength=len(self.seen))
+        ids, upto = self.gathered(at)
+        return ids, np.diff(np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(counts)])])
 
 
 @lru_cache(maxsize=2)
@@ -91,26 +124,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, n, wide, ids): little-endian unsigned integers of two bytes, four if wide; the end id is the last one. No shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, 1, PART_BYTES):
-            ids, sizes = encoder(path).encode([t or b"" for t in b.column(1).to_pylist()])
-            ids = np.insert(ids, np.cumsum(sizes), end_id)
-            sizes += 1
-            cells, wide, at = [], [], 0
-            for n in sizes.tolist():
-                own = ids[at:at + n]
-                wide.append(bool(own.max() > 0xFFFF))
-                cells.append(own.astype("<u4" if wide[-1] else "<u2").tobytes())
-                at += n
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(wide, pa.bool_()), pa.array(cells, pa.binary())], ["doc_id", "n", "wide", "ids"])
-
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n long, wide boolean, ids binary")
-
-
 def packed(values: np.ndarray, width: int) -> bytes:
     """Unsigned integers in `width` bits each, most significant bit first."""
     bits = np.unpackbits(values.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
@@ -194,13 +207,13 @@ def segments(content: memoryview | bytes) -> Iterator[tuple[int, int, np.ndarray
 def written(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS, file_segments: int = FILE_SEGMENTS) -> str:
     """Encodes docs(doc_id, text) and writes files below `folder`; gives the folder back.
 
-    Texts are encoded once where they are read; ids, two bytes each, are then dealt out by ranges of (doc_id, ids), null first, and every task
-    writes its range in order as segments of about segment_ids ids, `file_segments` of them in a file. A document stays in one
-    segment. Ids of one document id with many rows are split by their row number.
+    Texts are dealt out once, by ranges of (doc_id, hash of the text), null first; rows that are equal throughout are split by their row number.
+    Every task encodes its range in order and writes segments of about segment_ids ids, `file_segments` of them in a file. A
+    document stays in one segment, its end id is its last id.
     """
-    spark, order = docs.sparkSession, ["doc_id", "tie", "row"]
-    rows = staged(encoded(docs, path or public_path(TOKENIZER), end_id).withColumn("row", F.monotonically_increasing_id()))
-    rows = rows.withColumn("tie", F.xxhash64("ids")).repartitionByRange(*order).sortWithinPartitions(*order)
+    path, order = path or public_path(TOKENIZER), ["doc_id", "tie", "row"]
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, docs_in, ids_in, total = 0, 0, [], [], 0
@@ -208,19 +221,21 @@ def written(docs: DataFrame, folder: str, path: str | None = None, end_id: int =
         def closed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([segment(part, number, docs_in, np.concatenate(ids_in))], pa.binary())], ["value"])
 
-        for b in batches:
-            for doc, n, wide, ids, part in zip(*(c.to_pylist() if k != 3 else c for k, c in enumerate(b.columns)), strict=True):
+        for b in by_bytes(batches, 1, PART_BYTES):
+            ids, sizes = encoder(path).encode(text_bytes(b.column(1)))
+            ids, sizes, at = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1, 0
+            part = b.column(2)[0].as_py()
+            for doc, n in zip(b.column(0).to_pylist(), sizes.tolist(), strict=True):
                 docs_in.append((doc, n))
-                ids_in.append(np.frombuffer(ids.as_buffer(), "<u4" if wide else "<u2").astype(np.uint32))
-                total += n
+                ids_in.append(ids[at:at + n])
+                at, total = at + n, total + n
                 if total >= segment_ids:
                     yield closed()
                     number, docs_in, ids_in, total = number + 1, [], [], 0
         if docs_in:
             yield closed()
 
-    slim = rows.select("doc_id", "n", "wide", "ids", F.spark_partition_id().alias("part"))
-    cells = slim.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    cells = rows.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     cells.write.option("lineSep", SYNC).option("maxRecordsPerFile", file_segments).option("compression", "none").text(folder)
     return folder
 
@@ -259,7 +274,7 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID, fo
     """Writes the token files of docs(doc_id, text) and reads them back: doc_id, start, n_tokens, ids_crc32, one row per document.
 
     path names a vocabulary of the tokenizers library whose pre-tokenizer drops white space; every executor has it. A null text is empty and has
-    the end id alone; whole texts are encoded. Documents go by doc_id, null first, then by a hash of their ids; rows that
+    the end id alone; whole texts are encoded. Documents go by doc_id, null first, then by a hash of their text; rows that
     repeat an id are documents of their own. Extra columns are ignored, an empty table gives no rows.
     """
     spark = docs.sparkSession
