@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,6 +39,18 @@ ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
 LATIN = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
 STOP = np.array([b in b".,;:!?" for b in range(256)])
 PART_BYTES = 1 << 21
+#: words of ASCII and Latin-1 letters alone
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def byte_characters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes (fixed values): visible Latin-1 characters as they are, the others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_CHARACTERS = byte_characters()
 
 
 def public_path(name: str) -> str:
@@ -80,6 +93,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.bpe = self.model.model
         self.known, self.seen = Pieces(), np.zeros(0, np.int64)
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -100,6 +114,15 @@ class Encoder:
         self.size = self.size[often]
         self.start, self.seen, self.known = upto - self.size, np.zeros(len(often), np.int64), kept
 
+    def learned(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of each piece from the library. Normalizing and pre-tokenizing do nothing to a word of plain letters but
+        lower-case it and write its bytes as characters, so those words go to the library's model as they are."""
+        out = [[t.id for t in self.bpe.tokenize(p.lower().encode().decode("latin-1").translate(BYTE_CHARACTERS))] if LETTERS.fullmatch(p) else None for p in pieces]
+        other = [i for i, ids in enumerate(out) if ids is None]
+        for i, x in zip(other, self.model.encode_batch_fast([pieces[i] for i in other], add_special_tokens=False), strict=True):
+            out[i] = x.ids
+        return out
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
         if len(self.known) > MEMORY:
@@ -107,7 +130,7 @@ class Encoder:
         pieces, counts = pieces_of(texts)
         at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         if self.known.fresh:
-            found = [x.ids for x in self.model.encode_batch_fast([p.decode() for p in self.known.fresh], add_special_tokens=False)]
+            found = self.learned([p.decode() for p in self.known.fresh])
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
             self.size = np.concatenate([self.size, sizes])
