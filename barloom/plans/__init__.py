@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["indicators", "frames", "trades", "outcomes", "conditions", "scoring", "statistics", "patterns", "learning", "streams"]
+MODULES = ["indicators", "frames", "trades", "outcomes", "conditions", "exits", "scoring", "statistics", "patterns", "learning", "streams"]
 
 
 def load_catalogue():

@@ -92,7 +92,7 @@ TPS, SLS = (100.0, 150.0, 200.0, 250.0, 300.0), (50.0, 75.0, 90.0, 95.0)
 GRID_SRC = "(SELECT * FROM cand, (SELECT unnest([" + ", ".join(map(str, TPS)) + "]) / 100 AS tp_g), (SELECT unnest([" + ", ".join(map(str, SLS)) + "]) / 100 AS sl_g) WHERE entry)"
 
 
-@query("barrier_grid", "L5 L6 L13 L14", SIG_SQL + _barrier_sql("tp_g", "sl_g", src=GRID_SRC, grid_cols=", tp_g, sl_g") + f"""
+@query("barrier_grid", "L5 L6", SIG_SQL + _barrier_sql("tp_g", "sl_g", src=GRID_SRC, grid_cols=", tp_g, sl_g") + f"""
 SELECT symbol, tf, round(tp_ * 100, 1) AS tp, round(sl_ * 100, 1) AS sl, count(*) AS trades, count(*) FILTER (reason = 'tp') AS wins, count(*) FILTER (reason = 'sl') AS losses,
  round(avg(bars_held), 4) AS avg_bars, {q.r('avg(exit_price / entry_price - 1)')} AS avg_gross FROM done GROUP BY symbol, tf, tp_, sl_""")
 def _(spark, base):
@@ -137,7 +137,7 @@ def _(spark, base):
     return greedy_chain(sig, "bar_idx", "release", 24).select(*SERIES, "bar_idx")
 
 
-@query("trade_chain", "L7 L13 L14", SIG_SQL.replace("WITH raw", "WITH RECURSIVE raw", 1) + _barrier_sql(TP, SL)
+@query("trade_chain", "L7", SIG_SQL.replace("WITH raw", "WITH RECURSIVE raw", 1) + _barrier_sql(TP, SL)
        + _chain_sql("SELECT * FROM done", "bar_idx + bars_held + 10") + f""" SELECT symbol, tf, count(*) AS trades, count(*) FILTER (reason = 'tp') AS wins,
  {q.r('sum(exit_price / entry_price - 1 - 0.003)')} AS net, sum(bars_held)::BIGINT AS bars_in_market FROM chain JOIN done USING ({K}) GROUP BY symbol, tf""")
 def _(spark, base):
@@ -210,7 +210,7 @@ ev AS (SELECT symbol, tf, bar_idx, min(dead) AS stop_bar, min(CASE WHEN hit IS N
 wh AS (SELECT {K}, least(coalesce(stop_bar, {H}), {H}) AS last_bar, CASE WHEN stop_bar IS NOT NULL THEN 'STOP' ELSE 'TIME_STOP' END AS reason, tp_bar FROM ev)"""
 
 
-@query("exit_precedence", "L10 L11", EXIT_SQL + """ SELECT symbol, tf, reason, count(*) AS n, count(tp_bar) AS with_partial, sum(last_bar)::BIGINT AS bars FROM wh GROUP BY ALL""")
+@query("exit_precedence", "L11", EXIT_SQL + """ SELECT symbol, tf, reason, count(*) AS n, count(tp_bar) AS with_partial, sum(last_bar)::BIGINT AS bars FROM wh GROUP BY ALL""")
 def _(spark, base):
     """Full exits of each trade: stop before time; partial exits before the full one count."""
     per = ladder_outcomes(indexed_bars(spark, base)).groupBy(*SERIES, "bar_idx").agg(
