@@ -246,3 +246,12 @@ def trade_check(position_pct, exposure_pct, drawdown, n_open, max_pos=0.1, max_e
 def bot_type(probability, latency, imbalance, volume_ratio) -> Column:
     return F.when(probability > 0.5, F.when(latency > 0.6, "latency_arbitrage").when(imbalance > 0.7, "spoofing").when(
         volume_ratio > 5, "wash_trading").otherwise("front_running"))
+
+
+def rule_entry(rsi, ema_ratio, volume_ratio, atr_pct, rsi_below=30.0, ema_least=1.0, volume_least=1.5, atr_most=0.05) -> Column:
+    """Improved rule entry: every condition that is switched on has to hold; None switches one off, an unknown value fails it."""
+    held = F.lit(True)
+    for on, holds in ((rsi_below, lambda x: rsi < x), (ema_least, lambda x: ema_ratio >= x), (volume_least, lambda x: volume_ratio >= x), (atr_most, lambda x: atr_pct <= x)):
+        if on is not None:
+            held = held & F.coalesce(holds(on), F.lit(False))
+    return held

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -23,6 +24,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError(f"set {CONF} to a shared folder")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own next to the checkpoints, seen by every executor."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the frame once to reliable storage and read it from there, so that a
     second reader does not compute it again and a lost executor costs nothing."""

@@ -34,7 +34,7 @@ def _(spark, base):
     return shown(with_bar_index(both), "ts_s", "n_ticks", *OHLC, "volume")
 
 
-@query("bars_in_range", "S1 S2 S6 S7", q.BARS + """
+@query("bars_in_range", "S1 S2", q.BARS + """
 SELECT symbol, tf, ts_s, close FROM bars WHERE tf = '1h' AND symbol IN ('click', 'view')
  AND ts_s BETWEEN epoch(TIMESTAMP '2024-01-05') AND epoch(TIMESTAMP '2024-01-20')""")
 def _(spark, base):
@@ -92,7 +92,7 @@ def _(spark, base):
     return ql.integrity(market_bars(spark, base))
 
 
-@query("scan_profile", "S10 S12", """SELECT 'events' AS source, count(*) AS n_rows, 6 AS n_columns, epoch(min(ts))::BIGINT AS first_s, epoch(max(ts))::BIGINT AS last_s,
+@query("scan_profile", "S10", """SELECT 'events' AS source, count(*) AS n_rows, 6 AS n_columns, epoch(min(ts))::BIGINT AS first_s, epoch(max(ts))::BIGINT AS last_s,
  count(*) FILTER (value IS NULL) + count(*) FILTER (event_type IS NULL) AS n_null FROM events UNION ALL
 SELECT 'lineitem', count(*), 11, epoch(min(l_shipdate))::BIGINT, epoch(max(l_shipdate))::BIGINT, count(*) FILTER (l_extendedprice IS NULL) + count(*) FILTER (l_returnflag IS NULL) FROM lineitem""")
 def _(spark, base):
@@ -107,7 +107,7 @@ def _(spark, base):
         profile("lineitem", "l_shipdate", "l_extendedprice", "l_returnflag"), allowMissingColumns=True)
 
 
-@query("event_props_json", "S15 F30", """SELECT event_type, count(*) AS n, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS k_sum,
+@query("event_props_json", "F30", """SELECT event_type, count(*) AS n, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS k_sum,
  max('{"kind":"' || event_type || '","k":' || json_extract(props, '$.k')::VARCHAR || '}') AS doc FROM events GROUP BY event_type""")
 def _(spark, base):
     ev = read_table(spark, base, "events").withColumn("p", F.from_json("props", "k BIGINT", {"mode": "PERMISSIVE"}))
@@ -115,7 +115,7 @@ def _(spark, base):
     return ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("p.k").alias("k_sum"), F.max(doc).alias("doc"))
 
 
-@query("asset_snapshot_csv", "S16", """SELECT c_mktsegment AS symbol, count(*) AS n, round(max(c_acctbal), 2) AS top_price
+@query("asset_snapshot_csv", "F29", """SELECT c_mktsegment AS symbol, count(*) AS n, round(max(c_acctbal), 2) AS top_price
  FROM customer GROUP BY 1""")
 def _(spark, base):
     """CSV text derived from customer, read back with an explicit schema."""

@@ -135,7 +135,7 @@ def snapshots(spark, base):
     return around(ev, bars.select("symbol", "bar_idx", "ts_s", "open", "high", "low", "close", "volume"), ["symbol"], "center", 100, 50)
 
 
-@query("pattern_snapshots", "J8 J9 S14", SNAP + f""" SELECT symbol, event_id, bar_position, {q.r('close')} AS close, {q.r('volume')} AS volume FROM sn""")
+@query("pattern_snapshots", "J8 J9", SNAP + f""" SELECT symbol, event_id, bar_position, {q.r('close')} AS close, {q.r('volume')} AS volume FROM sn""")
 def _(spark, base):
     return shown(snapshots(spark, base), "close", "volume", keys=["symbol", "event_id", "bar_position"])
 
@@ -153,8 +153,12 @@ def _(spark, base):
         F.min(F.when(later & (c("high") >= c("c0") * 1.02), c("bar_position"))).alias("first_tp"))
 
 
-@query("pattern_documents", "L17 L18 L19 S14 F25 F30")
+@query("pattern_documents", "L17 L18 L19 F25 F30")
 def _(spark, base):
+    return documents(spark, base)
+
+
+def documents(spark, base):
     """Nested pattern documents as JSON: setup bar, breakout bar, box, weight and forward path per candidate."""
     def cols(d, w):
         d = add_box(d, w)

@@ -73,7 +73,7 @@ g AS (SELECT *, least(greatest(0.5 + f1 * 0.25 + f2 * CASE WHEN vr > 5 THEN 1 EL
  CASE WHEN atr_pct > 0.05 THEN least(0.01, (atr_pct - 0.05) / 0.05) ELSE 0 END + CASE WHEN vr < 0.5 THEN least(0.015, (0.5 - vr) / 0.5) ELSE 0 END + CASE WHEN bar_idx % 6 > 3 THEN least(0.03, (bar_idx % 6 - 3) * 0.01) ELSE 0 END + CASE WHEN abs(ret) > 0.5 THEN least(0.005, abs(ret) - 0.5) ELSE 0 END AS pen FROM f)"""
 
 
-@query("simple_opportunity", "F6 F9 F10 F18 P10", _sel(SIMPLE, {"opportunity": "opp", "penalty": "pen", "p_j": "rsi / 100 * 0.8 + opp - 0.003 - pen"}, "g").replace(
+@query("simple_opportunity", "F6 F9 F10 F18", _sel(SIMPLE, {"opportunity": "opp", "penalty": "pen", "p_j": "rsi / 100 * 0.8 + opp - 0.003 - pen"}, "g").replace(
     "\nSELECT", "\nSELECT CASE WHEN opp >= 0.7 THEN 'EXCELLENT' WHEN opp >= 0.5 THEN 'GOOD' WHEN opp >= 0.3 THEN 'MODERATE' ELSE 'LOW' END AS label, CASE WHEN rsi < 30 AND e9 >= e21 * 0.5 AND vr >= 1.0 AND atr_pct <= 5 THEN 1 ELSE 0 END AS enter,"))
 def _(spark, base):
     df = base_frame(spark, base)
@@ -188,7 +188,7 @@ def hybrid_frame(spark, base):
     return over_chunks(indexed_bars(spark, base), cols)
 
 
-@query("hybrid_score", "F12 F13 F14 F15 F16 J4 P8", _sel(HYB, {"p_rb": "p_rb", "p_ml": "p_ml", "alpha": "alpha", "beta": "beta",
+@query("hybrid_score", "F12 F13 F14 F15 F16", _sel(HYB, {"p_rb": "p_rb", "p_ml": "p_ml", "alpha": "alpha", "beta": "beta",
     "p_hyb": "alpha * p_rb + beta * p_ml + 0.95 * CASE WHEN crisis > 0.5 THEN 0.01 ELSE 0.05 END"}, "y6"))
 def _(spark, base):
     return shown(hybrid_frame(spark, base), "p_rb", "p_ml", "alpha", "beta", "p_hyb")

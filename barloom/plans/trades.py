@@ -215,7 +215,7 @@ PERIODS = [("early", "1995-01-01", "1998-06-30"), ("middle", "1997-01-01", "2000
 _PV = "(VALUES " + ", ".join(f"('{n}', epoch(TIMESTAMP '{a}')::BIGINT, epoch(TIMESTAMP '{b}')::BIGINT)" for n, a, b in PERIODS) + ") p(period, lo, hi)"
 
 
-@query("trades_by_period", "J10 A39", TR + f""" SELECT period, strategy, count(*) AS n, round(avg(CASE WHEN exit_reason = 'sl' THEN 1.0 ELSE 0.0 END), 6) AS stop_rate,
+@query("trades_by_period", "J10", TR + f""" SELECT period, strategy, count(*) AS n, round(avg(CASE WHEN exit_reason = 'sl' THEN 1.0 ELSE 0.0 END), 6) AS stop_rate,
  round(min(entry_s - lo) / 3600.0, 4) AS lead_h, round(sum(pnl), 1) AS pnl FROM trades JOIN {_PV} ON entry_s BETWEEN lo AND hi GROUP BY ALL""")
 def _(spark, base):
     """Named ranges may overlap; a row carries the ones it falls in."""

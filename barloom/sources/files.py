@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.utils import AnalysisException
 
 from barloom.schema import ASSET_SNAPSHOT, BARS
 
@@ -32,18 +33,17 @@ def read_bars(spark: SparkSession, path: str, symbols: Sequence[str] | None = No
 
 
 def read_series_files(spark: SparkSession, directory: str) -> DataFrame:
-    """One file per series under either naming habit (BTCUSDT_15m, BTC_USDT_15m); symbol and tf come from the name."""
+    """One file, or one folder of part files, per series under either naming habit (BTCUSDT_15m, BTC_USDT_15m); symbol and tf come from the name."""
     out = None
-    for pattern in ("*[A-Z]USDT_*.parquet", "*_USDT_*.parquet"):
+    for pattern in ("*[A-Z0-9]USDT_*.parquet", "*_USDT_*.parquet"):
         try:
-            df = spark.read.option("pathGlobFilter", pattern).parquet(directory)
-        except Exception as missing:  # no file under this habit
-            if "UNABLE_TO_INFER_SCHEMA" not in str(missing):
+            df = spark.read.parquet(f"{directory}/{pattern}")
+        except AnalysisException as missing:  # no file under this habit
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             continue
-        stem = F.regexp_extract(F.input_file_name(), r"([A-Z0-9]+?)_?USDT_([0-9a-z]+)\.parquet$", 1)
-        frame = F.regexp_extract(F.input_file_name(), r"([A-Z0-9]+?)_?USDT_([0-9a-z]+)\.parquet$", 2)
-        df = df.withColumns({"symbol": stem, "tf": frame})
+        name = r"([A-Z0-9]+?)_?USDT_([0-9a-z]+)\.parquet(?:/[^/]*)?$"
+        df = df.withColumns({c: F.regexp_extract(F.col("_metadata.file_path"), name, i) for i, c in ((1, "symbol"), (2, "tf"))})
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
         raise FileNotFoundError(f"no series files in {directory}")

@@ -12,7 +12,7 @@ from barloom.plans import load_catalogue
 BASE = os.environ.get("BARLOOM_TEST_DATA", "/root/testdata/sf0.001")
 QUICK = ["bars_from_ticks", "ema", "rsi", "asof_higher_timeframe", "gap_filled_bars", "trade_statistics", "streaks", "return_metrics", "triple_barrier",
          "spaced_signals", "regime_vote", "price_latches", "halt_carry_over", "liquidity_monitor", "governance", "decision_score", "asset_correlations",
-         "roc_auc", "similar_states", "stream_bars", "stream_limits"]
+         "roc_auc", "similar_states", "stream_bars", "stream_limits", "managed_exits", "chained_sweep", "series_files", "joined_streams", "stream_confirmed_signals", "halt_windows"]
 CATALOGUE = load_catalogue()
 NAMES = [n for n, q in CATALOGUE.items() if q.sql and (os.environ.get("BARLOOM_ALL") or n in QUICK)]
 
