@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*>|<[!?][^>]*>|[^<]+|<""", re.S)
@@ -21,19 +22,56 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 
 
+class Element:
+    """An open element: tag with the words of its class, id and role; elements inside it share it as their parent, so paths take no room of their own."""
+
+    __slots__ = ("depth", "known", "name", "parent", "tag")
+
+    def __init__(self, tag: str, name: str, parent: Element | None):
+        self.tag, self.name, self.parent, self.depth = tag, name, parent, parent.depth + 1 if parent else 1
+        self.known: dict = {}
+
+
+def inherited(element: Element | None, key: str, first, step):
+    """Value of `element` that follows from its parent's: step(value above, element), `first` above the outermost one. Kept with each
+    element, found without recursion."""
+    waiting = []
+    while element is not None and key not in element.known:
+        waiting.append(element)
+        element = element.parent
+    value = first if element is None else element.known[key]
+    for e in reversed(waiting):
+        value = e.known[key] = step(value, e)
+    return value
+
+
 @dataclass
 class Block:
-    """Text with references decoded and white space as single spaces; path from the outermost element; characters inside links."""
+    """Text with references decoded and white space as single spaces; innermost element; characters inside links."""
 
     text: str
-    path: tuple[str, ...]
+    element: Element | None
     linked: int
 
+    @property
+    def depth(self) -> int:
+        return self.element.depth if self.element else 0
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Names from the outermost element on."""
+        out, e = [], self.element
+        while e:
+            out.append(e.name)
+            e = e.parent
+        return tuple(reversed(out))
+
 
 @dataclass
 class Page:
     blocks: list[Block] = field(default_factory=list)
-    stack: list[tuple[str, str]] = field(default_factory=list)  # tag; tag with the words of its class, id and role
+    inner: Element | None = None
+    open: Counter = field(default_factory=Counter)
     parts: list[str] = field(default_factory=list)
     anchors: int = 0
     linked: int = 0
@@ -41,9 +79,13 @@ class Page:
     def close(self) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split())
         if text:
-            self.blocks.append(Block(text, tuple(x for _, x in self.stack), self.linked))
+            self.blocks.append(Block(text, self.inner, self.linked))
         self.parts, self.linked = [], 0
 
+    def pop(self) -> None:
+        self.open[self.inner.tag] -= 1
+        self.inner = self.inner.parent
+
     def start(self, tag: str, attributes: str) -> None:
         if tag == "a":
             self.anchors += 1
@@ -53,13 +95,14 @@ class Page:
             return
         self.close()
         self.anchors = 0
-        while self.stack and self.stack[-1][0] == "p":  # a block ends an open paragraph
-            self.stack.pop()
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and self.stack and self.stack[-1][0] == tag:
-            self.stack.pop()
+        while self.inner and self.inner.tag == "p":  # a block ends an open paragraph
+            self.pop()
+        if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and self.inner and self.inner.tag == tag:
+            self.pop()
         if tag not in VOID:
             words = [w.lower() for m in NAMES.finditer(attributes) for w in WORD.findall(m[1] or m[2] or m[3] or "")] if attributes else []
-            self.stack.append((tag, " ".join([tag, *words])))
+            self.inner = Element(tag, " ".join([tag, *words]), self.inner)
+            self.open[tag] += 1
 
     def end(self, tag: str) -> None:
         if tag == "a":
@@ -67,29 +110,43 @@ class Page:
         if tag in INLINE:
             return
         self.close()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                break
+        if self.open[tag]:
+            while self.inner.tag != tag:
+                self.pop()
+            self.pop()
 
 
 def blocks(source: str) -> list[Block]:
     """Text between block elements, in page order. Comments, scripts, styles and other raw elements hold none; an unknown or
-    broken tag counts as a tag, a lone "<" as text."""
-    page, at = Page(), 0
-    while m := TOKEN.match(source, at):
-        at, token, tag = m.end(), m[0], (m[2] or "").lower()
+    broken tag counts as a tag, a lone "<" as text. Time and memory grow with the page's length, however deep it nests."""
+    page, at, last_close, absent = Page(), 0, source.rfind(">"), set()
+
+    def search(pattern: re.Pattern, start: int) -> int | None:
+        """Where the pattern comes next. One that was not found once is not looked for again."""
+        if pattern in absent:
+            return None
+        found = pattern.search(source, start)
+        if not found:
+            absent.add(pattern)
+        return found.start() if found else None
+
+    while at < len(source):
+        if source[at] == "<" and at > last_close and not source.startswith("<!--", at):  # no tag can end any more
+            token, tag, at = "<", "", at + 1
+        else:
+            m = TOKEN.match(source, at)
+            at, token, tag = m.end(), m[0], (m[2] or "").lower()
         if token[0] != "<" or token == "<":
             page.parts.append(token)
             if page.anchors:
                 page.linked += len(token)
         elif tag in RAW and not m[1] and not token.endswith("/>"):
             page.close()
-            found = RAW_END[tag].search(source, at)
+            found = search(RAW_END[tag], at)
             if tag == "head":  # heads may lack their end
-                at = min((x.start() for x in (found, BODY.search(source, at)) if x), default=at)
+                at = min((x for x in (found, search(BODY, at)) if x is not None), default=at)
             else:
-                at = found.start() if found else len(source)
+                at = len(source) if found is None else found
         elif tag:
             page.end(tag) if m[1] else page.start(tag, m[3])
     page.close()

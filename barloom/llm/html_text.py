@@ -12,24 +12,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.llm.common import ALNUM, word_hashes
-from barloom.llm.html_blocks import Block, blocks
+from barloom.llm.html_blocks import Block, Element, blocks, inherited
 
 PATH_SIZE, WORD_SIZE, NUMBERS, HIDDEN = 96, 64, 8, 20
 SIZE = PATH_SIZE + WORD_SIZE + NUMBERS
-#: pages sampled for training at most, those with the smallest hashes of their ids
+#: pages sampled for training at most, those with the smallest hashes
 TRAINING_PAGES = 200
+#: characters of a page in that sample at most
+TRAINING_CHARS = 200_000
 BATCH = 128
 
 
 @lru_cache(maxsize=20_000)
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
+def place(word: str) -> int:
+    return crc32(word.encode()) % PATH_SIZE
+
+
+def words_above(above: np.ndarray, element: Element) -> np.ndarray:
+    own = above.copy()
+    for k, word in enumerate(element.name.split()):
+        own[place(f"{k > 0}{word}")] = True
+    return own
+
+
+def path_vector(element: Element | None) -> np.ndarray:
     """Hashed elements of a tag path and the words of their names; the innermost element and its parent count apart."""
-    v = np.zeros(PATH_SIZE, np.float32)
-    for depth, element in enumerate(path):
-        for k, word in enumerate(element.split()):
-            v[crc32(f"{k > 0}{word}".encode()) % PATH_SIZE] = 1
-        if depth >= len(path) - 2:
-            v[crc32(f"{len(path) - depth}:{element.split()[0]}".encode()) % PATH_SIZE] = 1
+    v = inherited(element, "words", np.zeros(PATH_SIZE, bool), words_above).astype(np.float32)
+    for back, e in ((1, element), (2, element.parent if element else None)):
+        if e:
+            v[place(f"{back}:{e.tag}")] = 1
     return v
 
 
@@ -41,9 +52,9 @@ def features(page: list[Block]) -> np.ndarray:
     np.add.at(x, (row, PATH_SIZE + (flat % np.uint64(WORD_SIZE)).astype(np.int64)), 1)
     x[:, PATH_SIZE:PATH_SIZE + WORD_SIZE] /= np.sqrt(np.maximum(1, counts))[:, None]
     for i, (b, t, n) in enumerate(zip(page, texts, counts.tolist(), strict=True)):
-        x[i, :PATH_SIZE] = path_vector(b.path)
+        x[i, :PATH_SIZE] = path_vector(b.element)
         size = max(1, len(b.text))
-        x[i, -NUMBERS:] = (np.log1p(n) / 4, b.linked / size, t.count(b".") / (n + 1), t.count(b",") / (n + 1), b.text.endswith((".", "!", "?", ":")), i / len(page), 1 / (1 + i), len(b.path) / 8)
+        x[i, -NUMBERS:] = (np.log1p(n) / 4, b.linked / size, t.count(b".") / (n + 1), t.count(b",") / (n + 1), b.text.endswith((".", "!", "?", ":")), i / len(page), 1 / (1 + i), b.depth / 8)
     return x
 
 
@@ -260,7 +271,7 @@ def made_up(n: int, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
         page = blocks(source)
         labels = np.array([b.text.count(MARK) - 1 for b in page])
         ok = [i for i in range(len(page)) if labels[i] in (0, 1)]
-        out.append((features([Block(page[i].text.replace(MARK, ""), page[i].path, page[i].linked) for i in ok]), labels[ok].astype(float)))
+        out.append((features([Block(page[i].text.replace(MARK, ""), page[i].element, page[i].linked) for i in ok]), labels[ok].astype(float)))
     return out
 
 
@@ -271,27 +282,32 @@ OUTSIDE = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog
 def surely_labelled(source: str) -> tuple[np.ndarray, np.ndarray] | None:
     """A real page whose own elements tell what is its article; None if it has no such element."""
     page = blocks(source)
-    inside = [any(e.split()[0] in ("article", "main") for e in b.path) for b in page]
+    inside = [inherited(b.element, "inside", False, lambda above, e: above or e.tag in ("article", "main")) for b in page]
     if not any(inside):
         return None
-    labels = [float(i and not any(w in OUTSIDE for e in b.path for w in e.split())) for i, b in zip(inside, page, strict=True)]
-    return features(page), np.array(labels)
+    outside = [inherited(b.element, "outside", False, lambda above, e: above or any(w in OUTSIDE for w in e.name.split())) for b in page]
+    return features(page), np.array([float(i and not o) for i, o in zip(inside, outside, strict=True)])
+
 
+def learned(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", most_pages: int = TRAINING_PAGES, most_chars: int = TRAINING_CHARS) -> Labeller:
+    """Trained on made-up layouts and on real pages that mark their article themselves.
 
-def learned(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", most_pages: int = TRAINING_PAGES) -> Labeller:
-    """Trained on made-up layouts and on at most `most_pages` real pages that mark their article themselves."""
-    usable = pages.where(F.col(html_col).isNotNull() & (F.length(html_col) < 200_000) & F.col(id_col).isNotNull())
-    ids = [r[0] for r in usable.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(most_pages).collect()]
-    sample = usable.where(F.col(id_col).isin(ids)).orderBy(id_col, html_col).select(html_col).limit(2 * most_pages)
-    real = [x for r in sample.collect() if (x := surely_labelled(r[0])) is not None]
-    return fitted(made_up(1000) + real)
+    The real pages are a sample: of all pages with at most most_chars characters, the most_pages with the smallest hashes of their
+    id and html, repeated rows once. Both bounds are for training alone, every page is labelled.
+    """
+    key = [F.xxhash64(F.lit(7), id_col, html_col).alias("key"), F.xxhash64(html_col).alias("text_key")]
+    usable = pages.where(F.col(html_col).isNotNull() & (F.length(html_col) <= most_chars))
+    keys = [tuple(r) for r in usable.select(*key).distinct().orderBy("key", "text_key").limit(most_pages).collect()]
+    sample = usable.select(*key, F.col(html_col).alias("source")).where(F.col("key").isin([k for k, _ in keys])).dropDuplicates(["key", "text_key"])
+    found = sorted((r.key, r.text_key, r.source) for r in sample.collect() if (r.key, r.text_key) in keys)
+    return fitted(made_up(1000) + [x for _, _, source in found if (x := surely_labelled(source)) is not None])
 
 
 def extracted(pages: DataFrame, model: Labeller, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
     """page_id, url, text, n_chars, n_blocks, kept_blocks: one row for each row of pages.
 
     The text is the blocks that the model calls main text, in page order, joined by line ends. References are decoded, white space in a
-    block is one space. A null, empty or text-free page gives an empty text. Extra columns are ignored, no pages give no rows.
+    block is one space. Very long and deeply nested pages are labelled like others, in time that grows with their length. A null, empty or text-free page gives an empty text. Extra columns are ignored, no pages give no rows.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)
 

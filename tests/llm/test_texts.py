@@ -100,6 +100,35 @@ def test_token_recount_and_deletion_of_null_and_repeated_ids(spark):
     assert totals() == {} and rollup.balance().count() == 0
 
 
+def test_any_batch_can_come_again_at_any_time(spark):
+    schema = "doc_id long, source string, lang string, tokenizer string, tokens long, sign string, batch int"
+
+    def counts(*rows):
+        return spark.createDataFrame([(i, s, "en", "words", n, "x", 1) for i, s, n in rows], schema)
+
+    steps = [("load", "insert", counts((1, "a", 4), (2, "a", 5), (None, "b", 1))), ("v2", "revise", counts((1, "a", 7))), ("v3", "revise", counts((1, "c", 9))),
+             ("gone", "delete", counts((2, "a", 0), (None, "b", 0))), ("nothing", "insert", counts().limit(0)), ("again", "insert", counts((2, "a", 6)))]
+    rollup = token_counts.TokenRollup(spark, shared_folder(spark))
+    for k, (name, kind, rows) in enumerate(steps):
+        getattr(rollup, kind)(name, rows)
+        want = sorted(map(str, rollup.totals().collect()))
+        for name, kind, rows in steps[max(0, k - 3):k + 1]:
+            getattr(rollup, kind)(name, rows)
+            assert sorted(map(str, rollup.totals().collect())) == want, (k, name)
+    assert {(r.source, r.docs, r.tokens) for r in rollup.totals().collect()} == {("c", 1, 9), ("a", 1, 6)}
+
+
+def test_byte_level_counts_equal_another_encoder(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    other.encode_special_tokens = True
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    got = {r.doc_id: r.tokens for r in token_counts.counted(docs, ["byte_bpe_50k"]).collect()}
+    assert got == {r.doc_id: len(other.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
+
+
 def test_archives_round_trip(spark):
     rows = [(None, None, None), (90, "a\nb", ""), (91, "u", None), (92, None, "x\r\n\r\nWARC/1.1\r\n"), (92, None, "x\r\n\r\nWARC/1.1\r\n"), (89, "q", "é\r\n\r\n"), (1, "z", "é\r\n\r\n"), (2, "z", "big " * 50_000)]
     got = warc.archived(spark.createDataFrame([(*r, "w") for r in rows], "page_id long, url string, html string, digest string")).collect()
@@ -129,6 +158,27 @@ def test_blocks_after_letters_that_grow_in_lower_case():
     assert [b.text for b in blocks("<head><title>\u0130</title><p>no end of head</p>")] == ["no end of head"]
 
 
+def test_deep_and_broken_pages_take_time_in_proportion():
+    import time
+
+    for page in ("<div>t" * 45_000, "<head>" * 40_000 + "x", "<p>" * 40_000 + "</q>" * 40_000, "<a '" * 60_000, '<a "' * 60_001 + ">", "<! " * 80_000, "<ul><li>" * 30_000 + "</ul>" * 30_000):
+        began = time.process_time()
+        found = blocks(page)
+        if found:
+            html_text.features(found)
+        assert time.process_time() - began < 8, page[:12]
+    deep = blocks("<div class='a b'>" * 3 + "t")
+    assert deep[0].path == ("div a b",) * 3 and deep[0].depth == 3
+
+
+def test_every_text_of_marked_pages_is_the_article(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("text", F.lit(1)).withColumn("key", F.lit("k"))
+    got = {r.page_id: r.text for r in html_text.extracted(pages, html_text.learned(pages)).collect()}
+    for r in pages.collect():
+        inside = [b.text for b in blocks(r.html) if any(e.split()[0] == "article" for e in b.path)]
+        assert got[r.page_id] == "\n".join(inside)
+
+
 def test_labeller_gradients_and_made_up_pages():
     pages = html_text.made_up(260)
     model = html_text.Labeller()
