@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.utils import AnalysisException
 
 from barloom.llm import decontaminate, minhash, mixing, quality, toxicity
 from barloom.llm.common import shared_folder, staged
@@ -15,42 +16,56 @@ def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Documents with __row, a number for each row. Verdicts are about rows: ids may be null, repeat, or be shared by different texts.
-    Written once, so that every later read sees the same numbers."""
-    return staged(docs.withColumn("__row", F.monotonically_increasing_id()))
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(documents with a number for each row, that column's name). Verdicts are about rows: ids may be null, repeat, or be shared by different texts.
 
+    The number is made of the file and the row's place in it, which every later read of the same files gives again; nothing is
+    written. Documents that don't come from files are written once and numbered then. The name is one that no column has.
+    """
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias(f"{name}_file"), F.col("_metadata.row_index").alias(name))
+        files = docs.select(F.col("_metadata.file_path").alias(f"{name}_file")).distinct()
+    except AnalysisException:
+        return staged(docs.withColumn(name, F.monotonically_increasing_id())), name
+    files = staged(files.withColumn(f"{name}_number", F.row_number().over(Window.orderBy(f"{name}_file")).cast("long")))  # one row a file
+    return placed.join(files, f"{name}_file").withColumn(name, F.shiftleft(f"{name}_number", 36) + F.col(name)).drop(f"{name}_file", f"{name}_number"), name
 
-def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+
+def without(rows: DataFrame, gone: DataFrame, name: str) -> DataFrame:
     """Rows of `keyed` documents whose number isn't the doc_id of a row in gone; the number is dropped."""
-    return rows.join(gone.select(F.col("doc_id").alias("__row")), "__row", "left_anti").drop("__row")
+    return rows.join(gone.select(F.col("doc_id").alias(name)), name, "left_anti").drop(name)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject (score below 0.3)."""
-    rows = keyed(docs)
-    stats = staged(quality.measured(rows, "__row"))
+    """Documents that the quality classifier does not reject (score below 0.3). Null and empty texts have scores too, whole texts count; rows without an
+    id and repeated rows are judged one by one; extra columns are kept."""
+    rows, name = keyed(docs)
+    stats = staged(quality.measured(rows.select("doc_id", "text", name), name))
     model = quality.learned(stats, labels_of(spark, sf_dir))
-    numbered = stats.select(F.col("__row").alias("doc_id"), "stats")
-    return without(rows, staged(quality.scored(numbered, model).where("predicted = 0").select("doc_id")))
+    numbered = stats.select(F.col(name).alias("doc_id"), "stats")
+    return without(rows, staged(quality.scored(numbered, model).where("predicted = 0").select("doc_id")), name)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not reject (score of 0.7 or more)."""
-    rows = keyed(docs)
-    model = toxicity.learned(rows, labels_of(spark, sf_dir))
-    numbered = rows.select(F.col("__row").alias("doc_id"), "text")
-    return without(rows, staged(toxicity.scored(numbered, model).where("predicted = 1").select("doc_id")))
+    """Documents that the toxicity classifier does not reject (score of 0.7 or more). Nulls, empty and long texts, repeated rows and extra columns as in the
+    stage before."""
+    rows, name = keyed(docs)
+    model = toxicity.learned(rows.select("doc_id", "text"), labels_of(spark, sf_dir))
+    numbered = rows.select(F.col(name).alias("doc_id"), "text")
+    return without(rows, staged(toxicity.scored(numbered, model).where("predicted = 1").select("doc_id")), name)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): that with the smallest doc_id, null last, and
-    one of its rows if the id repeats."""
-    rows = keyed(docs)
-    found = minhash.near_duplicates(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
-    named = staged(found.join(rows.select("__row", F.col("doc_id").alias("id")), "__row"))
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("first")).select("first.__row")
-    return without(rows, staged(named.join(staged(first), "__row", "left_anti").select(F.col("__row").alias("doc_id"))))
+    one of its rows if the id repeats. Texts without words are no copies of each other; extra columns are kept."""
+    rows, name = keyed(docs)
+    found = minhash.near_duplicates(rows.select(name, "text"), id_col=name).select(F.col("doc_id").alias(name), "component_id")
+    named = staged(found.join(rows.select(name, F.col("doc_id").alias("id")), name))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", name)).alias("first")).select(f"first.{name}")
+    return without(rows, staged(named.join(staged(first), name, "left_anti").select(F.col(name).alias("doc_id"))), name)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
