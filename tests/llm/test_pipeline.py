@@ -65,3 +65,14 @@ def test_run_gives_the_same_with_nameless_copies_of_all(spark, tmp_path):
     want = Counter(r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect())
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
     assert None not in want and len(want) > 0
+
+
+def test_rows_are_numbered_from_their_files(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("__row", F.lit("own")).withColumn("file_path", F.lit(1))
+    rows, name = corpus_pipeline.keyed(staged(docs.repartition(3)))
+    assert name == "__row_" and rows.select(name).distinct().count() == rows.count() == docs.count()
+    assert sorted(map(str, rows.collect())) == sorted(map(str, rows.collect()))
+    kept = corpus_pipeline.one_of_each(spark, staged(docs), SMALL)
+    assert kept.columns == docs.columns and kept.where("__row = 'own'").count() == kept.count() > 0
+    made, _ = corpus_pipeline.keyed(spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, text string"))
+    assert made.count() == 2
