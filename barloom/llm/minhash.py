@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from barloom.llm.common import SPACED, STEP, by_bytes, mixed, staged, text_bytes, word_hashes
 from barloom.llm.graph import components
@@ -22,6 +22,8 @@ STEPS = STEP * np.arange(1, 2049, dtype=np.uint64)
 CHUNK = 1 << 16
 #: bytes of text whose signatures or sets are made at once
 PART_BYTES = 1 << 20
+#: shingles in a block of a group that is compared in tiles; a member counts for ROW more, so that a block has 4,096 at most or so
+TILE, ROW = 1 << 20, 256
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -167,11 +169,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. Classes that share a band key are candidates. With 36 bands of 7 rows a pair at exactly 0.8
        shares none with probability 2e-4, at 0.9 with 1e-10. A candidate whose sketches (three bits for each
        place) differ more than four standard deviations beyond the threshold is no link.
-    3. In every bucket one leader is compared with all others, on full sets. Links are
-       closed by union-find. A bucket whose members are in different components gets
-       32, 1024, ... leaders, each compared with those members of other components that sizes,
-       sketches and shared shingles allow, until each bucket is one component or each such pair across
-       components has been compared. No pair is made within what is known to be one component.
+    3. The smallest class of a bucket is its leader; buckets with the same leader make one group. The leader is compared
+       with all others on full sets, and union-find closes these links.
+    4. A group that still has several components is cut into blocks of about `TILE` shingles by a hash, and each two blocks make a
+       tile of their own: members outside the leader's component against all others, on full sets, until the tile's members are
+       in one component or all their pairs across components have been compared. A second union-find closes these links too.
+       Members of the leader's component are not compared with each other.
 
     A document without words or with a null text has an empty set, links with nothing and is
     its own component. Rows that repeat a doc_id are separate documents with the same name;
@@ -182,14 +185,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = base.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()))
-    banded = classes.select("node", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-    buckets = staged(banded.join(staged(shared), "key").withColumn("rank", place))
-    mates = classes.join(staged(buckets.select("node").distinct()), "node", "left_semi")
-    buckets = staged(buckets.join(staged(mates.select("node", "n", "sketch")), "node"))
-    members = staged(member_sets(docs, id_col, text_col, shingle_words, classes, buckets))
-    links = linked(members, buckets, classes.select("node", "keys"), percent, bands * rows)
+    stars = starred(classes, percent, bands * rows)
+    mates = staged(stars.select(F.explode(F.array("lead", "node")).alias("node")).distinct())
+    members = staged(member_sets(docs, id_col, text_col, shingle_words, classes, mates))
+    tree = staged(components(staged(verified(stars.where("fits").select(F.col("lead").alias("a"), F.col("node").alias("b")), members, percent))))
+    more = staged(tiled(stars, tree, members, classes.select("node", "sketch"), percent, bands * rows))
+    links = tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     rooted = classes.select("digest", "node", "first_id").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(names, "root").select("digest", "component_id")
@@ -198,9 +199,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def member_sets(docs: DataFrame, id_col: str, text_col: str, k: int, classes: DataFrame, buckets: DataFrame) -> DataFrame:
+def member_sets(docs: DataFrame, id_col: str, text_col: str, k: int, classes: DataFrame, mates: DataFrame) -> DataFrame:
     """(node, n, members) of the classes that share a bucket, made anew from one document of each."""
-    wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("digest", "node", "n", "first_id")
+    wanted = classes.join(mates, "node", "left_semi").select("digest", "node", "n", "first_id")
     ids = wanted.select(F.col("first_id").alias("wanted_id"))
     chosen = docs.select(F.col(id_col).cast("long").alias("wanted_id"), F.col(text_col).alias("wanted_text")).join(ids.distinct(), "wanted_id", "left_semi")
     nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("wanted_id"), F.col(text_col).alias("wanted_text"))
@@ -224,35 +225,73 @@ def may_match(percent: int, m: int) -> str:
     return f"100 * least(n, n_lead) >= {percent} * greatest(n, n_lead) AND {' + '.join(f'bit_count({x})' for x in places)} <= {most_differing(m, percent)}"
 
 
-def with_shared(buckets: DataFrame, members: DataFrame) -> DataFrame:
-    """Adds how many shingles of a class occur in another class of these buckets. The others are in no
-    intersection, so copies that each have their own edits are known not to link without comparing them."""
-    own = members.join(staged(buckets.select("node").distinct()), "node", "left_semi").select("node", F.explode("members").alias("shingle"))
-    common = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("shingle")
-    shared = own.join(common, "shingle", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
-    return buckets.join(staged(shared), "node")
-
-
-def linked(members: DataFrame, buckets: DataFrame, keys: DataFrame, percent: int, m: int) -> DataFrame:
-    """Enough links to connect what all links among bucket mates connect."""
-    fits = may_match(percent, m)
-    leads = buckets.where("rank = 1").select("key", F.col("node").alias("lead"), F.col("n").alias("n_lead"), F.col("sketch").alias("sketch_lead"))
-    first = buckets.where("rank > 1").join(leads, "key").where(fits)
-    links, done = staged(verified(staged(first.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()), members, percent)), 1
-    open_buckets = buckets.where("many > 2")
-    while True:
-        tree = components(links).withColumnRenamed("root", "comp")
-        named = staged(open_buckets.join(tree, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-        several = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-        open_buckets = staged(named.where(f"many > {done + 1}").join(staged(several.select("key")), "key", "left_semi"))
-        if open_buckets.isEmpty():
-            return links
-        known = with_shared(open_buckets, members).where(f"100 * shared >= {percent} * n")
-        known = staged(known.join(keys.join(staged(known.select("node").distinct()), "node", "left_semi"), "node"))
-        last = done * 32
-        lead = known.where(f"rank > {done} AND rank <= {last}").select("key", *(F.col(c).alias(f"{c}_lead") for c in ("node", "rank", "n", "sketch", "comp", "shared", "keys")))
-        # a pair counts in the first bucket that it shares
-        more = known.join(staged(lead), "key").where("comp <> comp_lead AND rank > rank_lead").where(fits)
-        more = more.where(f"100 * least(shared, shared_lead) >= {percent} * (n + n_lead - least(shared, shared_lead))").where("array_intersect(keys, keys_lead)[0] = key")
-        links = staged(links.unionByName(verified(staged(more.select(F.col("node_lead").alias("a"), F.col("node").alias("b"))), members, percent)))
-        open_buckets, done = known.drop("comp", "shared", "keys"), last
+def starred(classes: DataFrame, percent: int, m: int) -> DataFrame:
+    """(lead, node, n, fits): every class that shares a bucket, with the bucket's smallest class; fits, whether the two may link."""
+    banded = classes.select("node", F.explode("keys").alias("key"))
+    leads = staged(banded.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "lead"))
+    pairs = staged(banded.join(leads, "key").where("node <> lead").select("lead", "node").distinct())
+    slim = classes.select("node", "n", "sketch")
+    first = slim.select(F.col("node").alias("lead"), F.col("n").alias("n_lead"), F.col("sketch").alias("sketch_lead"))
+    return staged(pairs.join(slim, "node").join(first, "lead").select("lead", "node", "n", F.expr(may_match(percent, m)).alias("fits")))
+
+
+def tiles_of(stars: DataFrame, tree: DataFrame) -> DataFrame:
+    """(lead, i, j, side, node, comp, outer): members of the groups that have several components, once for each tile they are in.
+
+    Members outside the leader's component are hashed into blocks 0 .. p-1, the others into p .. p+q-1; tiles are (i, j) with i < p and
+    i <= j, so no tile has only members of the leader's component. A group below one block's size is one tile.
+    """
+    first = tree.select(F.col("node").alias("lead"), F.col("root").alias("comp_lead"))
+    named = stars.join(tree.withColumnRenamed("root", "comp"), "node", "left").join(first, "lead", "left")
+    named = staged(named.select("lead", "node", (F.col("n") + ROW).alias("size"), F.coalesce("comp", "node").alias("comp"), F.coalesce("comp_lead", "lead").alias("comp_lead"))
+                   .withColumn("outer", F.col("comp") != F.col("comp_lead")))
+    sizes = named.groupBy("lead").agg(F.sum("size").alias("all"), F.sum(F.when(F.col("outer"), F.col("size"))).alias("out"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    small = F.col("all") <= TILE
+    sizes = sizes.where("c0 <> c1").select("lead", F.when(small, 1).otherwise(F.ceil(F.col("out") / TILE)).alias("p"), F.when(small, 0).otherwise(F.ceil((F.col("all") - F.col("out")) / TILE)).alias("q"))
+    at = named.join(staged(sizes), "lead").withColumn("h", F.xxhash64("node"))
+    block = F.when(F.col("q") == 0, F.pmod("h", "p")).when(F.col("outer"), F.pmod("h", "p")).otherwise(F.col("p") + F.pmod("h", F.greatest("q", F.lit(1))))
+    at = at.withColumn("block", block.cast("long"))
+    lower = F.expr("transform(sequence(0L, least(block, p - 1)), x -> struct(x AS i, block AS j))")
+    upper = F.expr("CASE WHEN block < p AND block + 1 < p + q THEN transform(sequence(block + 1, p + q - 1), x -> struct(block AS i, x AS j)) END")
+    at = at.withColumn("tile", F.explode(F.concat(lower, F.coalesce(upper, F.array().cast("array<struct<i:bigint,j:bigint>>")))))
+    return at.select("lead", "tile.i", "tile.j", (F.col("block") != F.col("tile.i")).alias("side"), "node", "comp", "outer")
+
+
+def tiled(stars: DataFrame, tree: DataFrame, members: DataFrame, sketched: DataFrame, percent: int, m: int) -> DataFrame:
+    """(a, b): links that connect what all links within the tiles connect, given the components of the tree."""
+    most = most_differing(m, percent)
+
+    def compare(table: pa.Table) -> pa.Table:
+        a, b = tile_links(table, percent, most)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = tiles_of(stars, tree).join(members.join(sketched, "node"), "node")
+    return rows.groupBy("lead", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def tile_links(table: pa.Table, percent: int, most: int) -> tuple[list[int], list[int]]:
+    """Links of one tile: each outer member against the members of other components that come after it (in a tile of two blocks: of the other block)."""
+    table = table.combine_chunks()
+    column = {c: table.column(c).to_numpy() for c in ("node", "comp", "n")}
+    side, outer = (np.array(table.column(c).to_pylist(), bool) for c in ("side", "outer"))
+    order = np.lexsort((column["node"], ~outer, side))
+    node, n, outer, two = column["node"][order], column["n"][order], outer[order], int((~side).sum()) if side.any() else 0
+    comp = np.unique(column["comp"][order], return_inverse=True)[1]
+    sets = table.column("members").chunk(0)
+    ends, flat = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
+    sketch = np.vstack(table.column("sketch").to_pylist()).astype(np.int64).view(np.uint64)[order].reshape(len(order), BITS, -1)
+    a, b = [], []
+    for r in np.flatnonzero(outer[:two or None]):
+        at = two or r + 1
+        other = at + np.flatnonzero((comp[at:] != comp[r]) & (100 * np.minimum(n[at:], n[r]) >= percent * np.maximum(n[at:], n[r])))
+        far = np.bitwise_count(np.bitwise_or.reduce(sketch[other] ^ sketch[r], axis=1)).sum(1)
+        own = flat[ends[order[r]]:ends[order[r] + 1]]
+        for c in other[far <= most]:
+            if comp[c] == comp[r]:
+                continue
+            both = len(np.intersect1d(own, flat[ends[order[c]]:ends[order[c] + 1]], assume_unique=True))
+            if 100 * both >= percent * (n[r] + n[c] - both):
+                a.append(node[r])
+                b.append(node[c])
+                comp[comp == comp[c]] = comp[r]
+    return a, b

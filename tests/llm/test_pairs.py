@@ -78,6 +78,55 @@ def test_near_duplicates_match_brute_force(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("tile", [1 << 20, 900])
+def test_groups_of_several_components_match_brute_force(spark, monkeypatch, tile):
+    """Families whose members differ from the leader by more than a link allows, so that tiles have to find the links among the others."""
+    monkeypatch.setattr(minhash, "TILE", tile)
+    monkeypatch.setattr(minhash, "ROW", 10)
+    rnd, texts = random.Random(11), []
+    for f in range(3):
+        base = [f"b{f}.{i}" for i in range(120)]
+        for g in range(5):
+            own = list(base)
+            own[20 * g:20 * g + 14] = [f"v{f}.{g}.{i}" for i in range(14)]
+            for c in range(7):
+                texts.append(" ".join([*own[:100], *(f"x{f}.{g}.{c}.{i}" for i in range(rnd.randrange(9))), *own[100:]]))
+    rnd.shuffle(texts)
+    sets = [shingles(t, 5) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = components_of(links, range(len(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert got == want and 3 < len(set(want.values())) < len(texts)
+
+
+def test_tiles_hold_each_pair_with_an_outer_member_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "TILE", 40)
+    monkeypatch.setattr(minhash, "ROW", 10)
+    stars = spark.createDataFrame([(0, i, 3, False) for i in range(1, 31)] + [(50, 51, 3, True), (50, 52, 3, False)], "lead long, node long, n long, fits boolean")
+    tree = spark.createDataFrame([(i, 0) for i in range(21)] + [(i, 21) for i in range(21, 25)] + [(50, 50), (51, 50)], "node long, root long")
+    rows = minhash.tiles_of(stars, tree).collect()
+    met = []
+    for lead, i, j in {(r.lead, r.i, r.j) for r in rows}:
+        own = [r for r in rows if (r.lead, r.i, r.j) == (lead, i, j)]
+        met += [tuple(sorted((x.node, y.node))) for x in own for y in own if x.node != y.node and x.outer and x.comp != y.comp and (x.side < y.side if i != j else x.node < y.node or not y.outer)]
+    comp = {i: 0 for i in range(1, 21)} | {i: 21 for i in range(21, 25)} | {i: i for i in range(25, 31)} | {51: 50, 52: 52}
+    assert len({(r.i, r.j) for r in rows if r.lead == 0}) > 10
+    assert sorted(met) == sorted((x, y) for x in comp for y in comp if x < y and (x < 50) == (y < 50) and comp[x] != comp[y])
+
+
+def test_pairs_just_above_the_threshold_are_found(spark):
+    rnd, texts = random.Random(4), []
+    for i in range(300):
+        w = [f"p{i}.{k}" for k in range(rnd.choice((90, 200, 400)))]
+        n = len(w) - 4  # one changed word inside costs five shingles, words added at the end one each
+        texts += [" ".join(w), " ".join([*w, *(f"q{i}.{k}" for k in range(n // 4))])]
+    sets = [shingles(t, 5) for t in texts]
+    assert all(80 <= 100 * len(a & b) / len(a | b) < 81 for a, b in zip(sets[::2], sets[1::2], strict=True))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(got[i] == i and got[i + 1] == i for i in range(0, 600, 2)) >= 299
+
+
 def test_linked_vectors_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "CELL", 40)
     monkeypatch.setattr(embedding_dedup, "TILE", 16)
