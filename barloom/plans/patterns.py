@@ -12,6 +12,7 @@ from barloom.operators.asof import around, nearest_join
 from barloom.operators.bars import ohlcv
 from barloom.operators.chunks import over_chunks, running_bars, with_bar_index
 from barloom.operators.lineage import attach, cut
+from barloom.operators.nearest import nearest
 from barloom.plans import sql as q
 from barloom.plans.base import indexed_bars, shown
 from barloom.plans.conditions import T9_SQL
@@ -195,13 +196,6 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS
 
 @query("similar_states", "O8", NEAR)
 def _(spark, base):
-    """Five nearest states of every query state. Queries (ids divisible by 100) come in blocks of
-    25,600 ids, so a block is at most 256 vectors; every task keeps its own best five of a query before the shuffle."""
-    e = read_table(spark, base, "embeddings")
-    block = F.floor(c("vec_id") / 25_600)
-    qs = e.where("vec_id % 100 = 0").groupBy(block.alias("block")).agg(F.collect_list(F.struct(c("vec_id").alias("id"), c("embedding").alias("v"))).alias("qs"))
-    pairs = e.crossJoin(qs).select("vec_id", "embedding", F.explode("qs").alias("q")).where("vec_id <> q.id")
-    d2 = F.aggregate(F.zip_with("embedding", "q.v", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    w = Window.partitionBy("query_id").orderBy("d2", "vec_id")
-    return pairs.select(c("q.id").alias("query_id"), "vec_id", F.round(d2, 8).alias("d2")).withColumn("place", F.row_number().over(w)).where("place <= 5").select(
-        "query_id", "vec_id", "place", F.round("d2", 6).alias("d2"))
+    """Five nearest states of every query state (ids divisible by 100)."""
+    found = nearest(read_table(spark, base, "embeddings"), "vec_id", "embedding", "vec_id % 100 = 0", 5)
+    return found.withColumn("d2", F.round("d2", 6))
