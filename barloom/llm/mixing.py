@@ -75,8 +75,7 @@ def planned(docs: DataFrame, share: float = 1.5, most: float = 2.0, id_col: str
 
 
 def dealt(plan: DataFrame, shards: int = 16) -> DataFrame:
-    """Draws of the mix: row, doc_id, source, words, round, shard, shuffle_key. Write them with
-    ``repartitionByRange("shard", "shuffle_key").sortWithinPartitions("shard", "shuffle_key")``.
+    """Draws of the mix: row, doc_id, source, words, round, shard, shuffle_key. `laid_out` writes them as shards.
 
     A unit is one block of a source in one round. The tree starts with every source's exact number of
     units; each node gives its left child a uniformly random half of its units (ranks of seeded hashes), so the
@@ -113,8 +112,27 @@ def ranked(slots: DataFrame) -> DataFrame:
     return slots.join(staged(counts.drop("many")), ["node", "slice"]).withColumn("rank", F.col("before") + inside)
 
 
+def totals(plan: DataFrame, draws: DataFrame) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target and taken, the words of its draws."""
+    taken = draws.groupBy("row").agg(F.sum("words").alias("taken"))
+    return plan.select("row", "doc_id", "source", "size", "source_size", "target").join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("row")
+
+
 def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, shards: int = 16) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target and taken, the words of its draws in all shards."""
+    """`totals` of the draws as they are dealt."""
     plan = staged(planned(docs, share, most))
-    taken = dealt(plan, shards).groupBy("row").agg(F.sum("words").alias("taken"))
-    return plan.select("row", "doc_id", "source", "size", "source_size", "target").join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("row")
+    return totals(plan, dealt(plan, shards))
+
+
+def laid_out(draws: DataFrame) -> DataFrame:
+    """The draws as shards in the shared folder, read back: each shard's draws in the order of their seeded keys, so that sources and documents are
+    shuffled within it. A shard is a run of files and no task holds it whole; draws with equal keys, as those of null ids, are split by row.
+    Shards hold draws (row, doc_id, source, words, round), not texts."""
+    order = ("shard", "shuffle_key", "row")
+    return staged(draws.repartitionByRange(*order).sortWithinPartitions(*order))
+
+
+def sharded(docs: DataFrame, share: float = 1.5, most: float = 2.0, shards: int = 16) -> DataFrame:
+    """`totals` of the draws that the written shards hold. Nulls, empty texts and empty tables as in `planned`; extra columns are ignored."""
+    plan = staged(planned(docs, share, most))
+    return totals(plan, laid_out(dealt(plan, shards)))

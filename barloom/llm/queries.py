@@ -64,7 +64,7 @@ def op7_chat(spark: SparkSession, base: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, base: str) -> DataFrame:
-    return mixing.mixed(table(spark, base, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.sharded(table(spark, base, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_toxicity(spark: SparkSession, base: str) -> DataFrame:
@@ -210,7 +210,8 @@ FROM folded f JOIN leaf l ON l.doc_id IS NOT DISTINCT FROM f.doc_id AND l.leaf =
     "op13_prefix_trie": r"""
 WITH turn AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t,
-    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words FROM conversations WHERE conv_id IS NOT NULL
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS words FROM conversations WHERE conv_id IS NOT NULL
 ), conv AS (
   SELECT conv_id, list(t ORDER BY turn NULLS FIRST, role, t) AS said, list(words ORDER BY turn NULLS FIRST, role, t) AS words,
     xor(list_reduce(flatten(list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: [unicode((conv_id::VARCHAR)[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0])),

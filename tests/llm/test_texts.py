@@ -49,6 +49,29 @@ def test_mix_meets_targets_and_shards_are_disjoint(spark):
     assert mixing.mixed(df.limit(0)).count() == 0
 
 
+def test_shards_hold_all_draws_in_an_order_of_their_own(spark):
+    docs = [(i, "w " * (i % 7 + 1), f"s{i % 4}", i) for i in range(400)] + [(None, "a b c", None, 0)] * 60
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, shard long")
+    plan = mixing.staged(mixing.planned(df))
+    draws = mixing.staged(mixing.dealt(plan, 4))
+    shards = mixing.laid_out(draws)
+    name = ["row", "doc_id", "source", "words", "round", "shard", "shuffle_key"]
+    assert sorted(map(str, shards.select(name).collect())) == sorted(map(str, draws.select(name).collect()))
+    files, spans = shards.inputFiles(), []
+    for f in files:
+        got = [(r.shard, r.shuffle_key, r.row) for r in spark.read.parquet(f).coalesce(1).collect()]
+        assert got == sorted(got)
+        spans += [(got[0], got[-1])] if got else []
+    spans.sort()
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    for k in range(4):
+        own = [r.source for r in shards.where(f"shard = {k}").orderBy("shuffle_key", "row").collect() if r.source]
+        assert sum(a != b for a, b in zip(own, own[1:], strict=False)) > len(own) / 3  # no runs of one source
+    order = ["doc_id", "size", "taken"]
+    assert sorted(map(str, mixing.sharded(df).select(order).where("doc_id IS NOT NULL").collect())) == sorted(map(str, mixing.mixed(df).select(order).where("doc_id IS NOT NULL").collect()))
+    assert mixing.sharded(df.limit(0)).count() == 0
+
+
 def test_token_rollup_deltas(spark):
     docs = spark.createDataFrame([(1, "a b c", "s", "en"), (2, "a b", "s", None), (3, None, None, "en"), (3, "x", None, "en")], "doc_id long, text string, source string, lang string")
     rollup = token_counts.TokenRollup(spark, shared_folder(spark))
