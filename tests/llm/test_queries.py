@@ -14,7 +14,7 @@ BASE = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark", "conversations"):
+    for t in ("documents", "embeddings", "benchmark", "conversations", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{BASE}/{t}.parquet')")
     got = queries.QUERIES[name](spark, BASE).toPandas()
     want = con.execute(queries.SQL[name]).df()
@@ -33,6 +33,18 @@ def test_query_matches_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+def test_archive_sql_and_query_agree_on_repeated_payloads(spark, tmp_path):
+    pages = [(7, "u", "<p>a</p>"), (3, "v", "<p>a</p>"), (9, None, "<p>a</p>"), (4, "w", None), (5, "w", ""), (6, "x", "\u00e4\r\n\r\n"), (8, "x", "b")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    names = "page_id, payload_bytes, payload_digest, record_type, refers_to"
+    want = con.execute(f"SELECT {names} FROM ({queries.SQL['op4_warc']})").fetchall()
+    got = [tuple(r) for r in queries.op4_warc(spark, str(tmp_path)).select(*names.split(", ")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {r[0]: r[4] for r in got} == {7: 3, 9: 3, 3: None, 4: None, 5: 4, 6: None, 8: None}
+
+
 def test_token_query_inserts_revises_and_deletes_every_document(spark):
     docs = spark.read.parquet(f"{BASE}/documents.parquet")
     rollup = token_counts.TokenRollup(spark, queries.shared_folder(spark))
