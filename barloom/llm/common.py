@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.utils import AnalysisException
 
 from barloom.operators.lineage import CONF, ensure_checkpoint_dir
 
@@ -33,6 +34,34 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame, name: str = "__row") -> tuple[DataFrame, str]:
+    """(rows with a number each, that column's name), for work on rows whose ids may be null, repeat, or be shared by different rows.
+
+    The number is made of the file and the row's place in it, which every later read of the same files gives again; nothing is
+    written. Rows that don't come from files are written once and numbered then; so must rows be that a file's row was multiplied
+    into (see `one_to_one`). The name is one that no column has.
+    """
+    while name in df.columns:
+        name += "_"
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias(f"{name}_file"), F.col("_metadata.row_index").alias(name))
+        files = df.select(F.col("_metadata.file_path").alias(f"{name}_file")).distinct()
+    except AnalysisException:
+        return numbered(df, name), name
+    files = staged(files.withColumn(f"{name}_number", F.row_number().over(Window.orderBy(f"{name}_file")).cast("long")))  # one row a file
+    return placed.join(files, f"{name}_file").withColumn(name, F.shiftleft(f"{name}_number", 36) + F.col(name)).drop(f"{name}_file", f"{name}_number"), name
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """A written copy with a number for each row."""
+    return staged(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def one_to_one(rows: DataFrame, name: str) -> bool:
+    """Whether no number comes twice."""
+    return rows.groupBy(name).count().where("count > 1").isEmpty()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit mixing generator, on unsigned integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -139,13 +139,14 @@ FROM tok LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS h FROM pages
 ), d AS (
-  SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first, count(*) OVER (PARTITION BY h) AS many FROM p
+  SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS x,
+    first_value(page_id) OVER (PARTITION BY h ORDER BY page_id NULLS LAST) AS first, row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST) AS n FROM p
 )
 SELECT page_id, payload_bytes,
   list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     (('0x' || substr(x, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - i % 4 * 5)::INT) % 32 + 1, 1)), 'string_agg', '') AS payload_digest,
-  CASE WHEN many > 1 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN many > 1 AND page_id <> first THEN first END AS refers_to
+  CASE WHEN n > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n > 1 THEN first END AS refers_to
 FROM d""",
     "op5_minhash": r"""
 WITH RECURSIVE tok AS (

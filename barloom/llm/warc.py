@@ -7,13 +7,14 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barloom.llm.common import shared_folder, staged
+from barloom.llm.common import keyed, numbered, one_to_one, shared_folder, staged
 
 #: parts into which rows of one payload are split on their way to the original's id
 SALTS = 64
-#: bytes of records in one archive, about
+#: most bytes of records in one archive
 ARCHIVE_BYTES = 16 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2026-01-01T00:00:00Z"
@@ -32,20 +33,22 @@ def base32_sha1(text: Column) -> Column:
 
 
 def resolved(headers: DataFrame, least_bytes: int) -> DataFrame:
-    """headers(digest, payload_bytes, page_id) -> (page_id, digest, refers_to): the original's page_id for every revisit.
+    """headers(row, digest, payload_bytes, page_id) -> (row, first_id, first_row): the original's page_id and row number for every revisit.
 
-    Headers alone are shuffled. Rows of one digest are split by salt, the smallest page_id of each part goes up to the digest and
+    Headers alone are shuffled. Rows of one digest are split by salt, the first row of each part goes up to the digest and
     back to its parts, so a payload that a third of all pages have is never in one task. Payloads under `least_bytes` are never revisited.
     """
-    salted = headers.where(F.col("payload_bytes") >= least_bytes).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
-    parts = staged(salted.groupBy("digest", "salt").agg(F.min("page_id").alias("part_first"), F.count(F.lit(1)).alias("many")))
-    firsts = parts.groupBy("digest").agg(F.min("part_first").alias("first"), F.sum("many").alias("many")).where("many > 1 AND first IS NOT NULL")
-    back = staged(parts.select("digest", "salt").join(staged(firsts.drop("many")), "digest"))
-    return salted.join(back, ["digest", "salt"]).where("NOT page_id <=> first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    salted = headers.where(F.col("payload_bytes") >= least_bytes).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    place = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row")
+    parts = staged(salted.groupBy("digest", "salt").agg(F.min(place).alias("part_first"), F.count(F.lit(1)).alias("many")))
+    firsts = parts.groupBy("digest").agg(F.min("part_first").alias("first"), F.sum("many").alias("many")).where("many > 1")
+    back = staged(parts.select("digest", "salt").join(staged(firsts.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row"))), "digest"))
+    return salted.join(back, ["digest", "salt"]).where("row <> first_row").select("row", "first_id", "first_row")
 
 
-def record_id(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
+def record_id(page_id: Column, row: Column) -> Column:
+    """Unique for each row: ids may be null or repeat, row numbers don't."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(":"), row.cast("string"), F.lit(">"))
 
 
 def one_line(x: Column) -> Column:
@@ -54,36 +57,58 @@ def one_line(x: Column) -> Column:
 
 def records(pages: DataFrame, revisits: DataFrame) -> DataFrame:
     """The text of each page's WARC record without the two line ends behind it."""
-    known = revisits.select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to")
-    rows = pages.join(known, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left").withColumn("revisit", F.col("refers_to").isNotNull())
+    rows = pages.join(revisits, "row", "left").withColumn("revisit", F.col("first_row").isNotNull())
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
     block = F.when(F.col("revisit"), http).otherwise(F.concat(http, F.col("html")))
+    original = F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("first_id"), F.col("first_row")), F.lit(f"{CRLF}WARC-Profile: {REVISIT}{CRLF}"))
     head = F.concat(
         F.lit("WARC/1.1" + CRLF), F.lit("WARC-Type: "), F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response")), F.lit(CRLF),
-        F.lit("WARC-Record-ID: "), record_id(F.col("page_id")), F.lit(f"{CRLF}WARC-Date: {DATE}{CRLF}"),
+        F.lit("WARC-Record-ID: "), record_id(F.col("page_id"), F.col("row")), F.lit(f"{CRLF}WARC-Date: {DATE}{CRLF}"),
         F.coalesce(F.concat(F.lit("WARC-Target-URI: "), one_line(F.col("url")), F.lit(CRLF)), F.lit("")),
-        F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"), F.lit(CRLF),
-        F.coalesce(F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("refers_to")), F.lit(f"{CRLF}WARC-Profile: {REVISIT}{CRLF}")), F.lit("")),
+        F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"), F.lit(CRLF), F.when(F.col("revisit"), original).otherwise(""),
         F.lit("Content-Type: application/http; msgtype=response" + CRLF), F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF))
     return rows.select(F.concat(head, block).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Writes one record for each row of pages(page_id, url, html) to WARC files of about 16 MB below `path`.
+def placed(records: DataFrame, most_bytes: int) -> DataFrame:
+    """record, archive: a task's records in the order they come, a new archive whenever the next one would pass `most_bytes`.
+    A record that is longer is an archive of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive = filled = 0
+        for batch in batches:
+            numbers = []
+            for size in pc.binary_length(batch.column(0)).to_pylist():
+                if filled and filled + size > most_bytes:
+                    archive, filled = archive + 1, 0
+                filled += size + len(CRLF + CRLF)
+                numbers.append(archive)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int32())], ["record", "archive"])
+
+    return records.mapInArrow(run, "record string, archive int")
+
+
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes one record for each row of pages(page_id, url, html) to WARC files of at most `archive_bytes` below `path`; a longer
+    record has a file to itself.
 
     A payload is the html in UTF-8, null as empty. Of equal payloads of at least `least_bytes` bytes the one with the smallest page_id
-    is a response with fresh headers, the others are revisit records that name it; a page_id repeated with the same payload
-    is a response each time. Null ids come last and refer to others; if all ids of a payload are null, all are responses.
+    (null last, one row of those that repeat it) is a response with fresh headers, the others are revisit records that name its
+    record. Record ids are unique, whether ids are null or repeat.
     Line ends in urls become spaces; a null url has no header. Extra columns are ignored; no pages give no records.
     """
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("html"))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
-    headers = staged(rows.select("page_id", "digest", "payload_bytes"))
-    mean = headers.agg(F.avg("payload_bytes")).first()[0] or 0
+    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+
+    def measured(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = rows.withColumn("digest", base32_sha1(F.col("html"))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
+        return rows, staged(rows.select("row", "page_id", "digest", "payload_bytes"))
+
+    rows, headers = measured(keyed(pages, "row")[0])
+    if not one_to_one(headers, "row"):
+        rows, headers = measured(numbered(pages, "row"))
     # records end with two line ends, which is what the text writer puts behind each row
-    out = records(rows, staged(resolved(headers, least_bytes)))
-    out.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / (mean + 600)))).text(path)
+    out = placed(records(rows, staged(resolved(headers, least_bytes))), archive_bytes)
+    out.write.partitionBy("archive").option("lineSep", CRLF + CRLF).text(path)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -104,7 +129,8 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def page_of(uri: str | None) -> int | None:
-    return None if uri is None or uri == "<urn:page:none>" else int(uri[len("<urn:page:"):-1])
+    page = "none" if uri is None else uri.split(":")[2]
+    return None if page == "none" else int(page)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -45,6 +45,17 @@ def test_archive_sql_and_query_agree_on_repeated_payloads(spark, tmp_path):
     assert {r[0]: r[4] for r in got} == {7: 3, 9: 3, 3: None, 4: None, 5: 4, 6: None, 8: None}
 
 
+def test_archive_sql_and_query_agree_on_null_and_repeated_ids(spark, tmp_path):
+    pages = [(None, "u", "a"), (None, "v", "a"), (None, "v", "b"), (2, "v", "b"), (2, "w", "b"), (2, "w", "c")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    names = "page_id, payload_bytes, payload_digest, record_type, refers_to"
+    want = con.execute(f"SELECT {names} FROM ({queries.SQL['op4_warc']})").fetchall()
+    got = [tuple(r) for r in queries.op4_warc(spark, str(tmp_path)).select(*names.split(", ")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_token_query_inserts_revises_and_deletes_every_document(spark):
     docs = spark.read.parquet(f"{BASE}/documents.parquet")
     rollup = token_counts.TokenRollup(spark, queries.shared_folder(spark))

@@ -159,12 +159,42 @@ def test_archives_round_trip(spark):
     for r in got:
         assert r.payload_bytes == len(html[r.page_id])
         assert r.payload_digest == base64.b32encode(hashlib.sha1(html[r.page_id]).digest()).decode()
-    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in got if r.record_type == "revisit") == [("89", "revisit", 1), ("91", "revisit", 90), ("None", "revisit", 90)]
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in got if r.record_type == "revisit") == [("89", "revisit", 1), ("91", "revisit", 90), ("92", "revisit", 92), ("None", "revisit", 90)]
     assert len(got) == len(rows)
     assert all(r.record_type == "response" for r in warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string"), least_bytes=10**6).collect())
     assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def archive_files(folder):
+    return [f.read_bytes() for f in folder.glob("archive=*/*.txt")]
+
+
+def test_archives_hold_a_payload_once_under_unique_ids(spark, tmp_path):
+    rows = [(None, "n", "same"), (None, "n", "same"), (1, "a", "x"), (1, "b", "x"), (1, "c", "y"), (2, "d", "x"), (None, "e", "x")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages")
+    pages = spark.read.parquet(f"{tmp_path}/pages")
+    for k, (source, times) in enumerate([(pages, 1), (pages.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("row")), 2), (pages.union(pages), 2)]):
+        warc.write_archives(source, f"{tmp_path}/out{k}")
+        found = [r for f in archive_files(tmp_path / f"out{k}") for r in warc.parse(f)]
+        ids = [h["warc-record-id"] for h, _ in found]
+        assert len(ids) == len(set(ids)) == times * len(rows)
+        originals = {h["warc-record-id"]: h["warc-payload-digest"] for h, _ in found if h["warc-type"] == "response"}
+        assert len(originals) == len(set(originals.values())) == 3
+        assert all(originals[h["warc-refers-to"]] == h["warc-payload-digest"] for h, _ in found if h["warc-type"] == "revisit")
+    got = warc.archived(pages).collect()
+    assert sorted((str(r.page_id), str(r.refers_to)) for r in got if r.record_type == "revisit") == [("1", "1"), ("2", "1"), ("None", "1"), ("None", "None")]
+
+
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    rows = [(i, "u", f"{i} " + "x" * (200_000 if i % 67 == 0 else 100)) for i in range(2_000)] + [(5_000, "u", "y" * 3_000_000)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), str(tmp_path / "out"), archive_bytes=1 << 20)
+    files = archive_files(tmp_path / "out")
+    counts = sorted((len(f), len(list(warc.parse(f)))) for f in files)
+    assert sum(n for _, n in counts) == len(rows)
+    assert counts[-1][0] > 3_000_000 and counts[-1][1] == 1 and all(size <= 1 << 20 for size, _ in counts[:-1])
+    assert len(files) < 20
+
+
 def test_blocks_decode_and_nest():
     got = blocks("<!-- x --><p>a&amp;b \n <b>c</b><br>d<p class='Side-bar x'>e <a href='>'>f</a> < g<script>var t='</p>';</script><div>h")
     assert [(b.text, b.path) for b in got] == [("a&b c d", ("p",)), ("e f < g", ("p side bar x",)), ("h", ("div",))]
