@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.llm import decontaminate, minhash, mixing, quality, toxicity
-from barloom.llm.common import shared_folder, staged
+from barloom.llm.common import keyed, shared_folder, staged
 
 #: SQL has no form for the learned stages; the stages are held against brute-force versions in tests
 ORACLE_SQL = None
@@ -16,24 +15,6 @@ def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """(documents with a number for each row, that column's name). Verdicts are about rows: ids may be null, repeat, or be shared by different texts.
-
-    The number is made of the file and the row's place in it, which every later read of the same files gives again; nothing is
-    written. Documents that don't come from files are written once and numbered then. The name is one that no column has.
-    """
-    name = "__row"
-    while name in docs.columns:
-        name += "_"
-    try:
-        placed = docs.select("*", F.col("_metadata.file_path").alias(f"{name}_file"), F.col("_metadata.row_index").alias(name))
-        files = docs.select(F.col("_metadata.file_path").alias(f"{name}_file")).distinct()
-    except AnalysisException:
-        return staged(docs.withColumn(name, F.monotonically_increasing_id())), name
-    files = staged(files.withColumn(f"{name}_number", F.row_number().over(Window.orderBy(f"{name}_file")).cast("long")))  # one row a file
-    return placed.join(files, f"{name}_file").withColumn(name, F.shiftleft(f"{name}_number", 36) + F.col(name)).drop(f"{name}_file", f"{name}_number"), name
-
-
 def without(rows: DataFrame, gone: DataFrame, name: str) -> DataFrame:
     """Rows of `keyed` documents whose number isn't the doc_id of a row in gone; the number is dropped."""
     return rows.join(gone.select(F.col("doc_id").alias(name)), name, "left_anti").drop(name)
