@@ -1,7 +1,7 @@
 """Per-series state objects on a stream.
 
-Each operator sorts the rows a trigger brought for a key and folds them into a few
-state fields. Order across triggers is the source's; the trigger size bounds the rows.
+Regimes, limits and trailing stops are folded in event-time order (`ordered.py`): rows wait in the state store until the
+watermark has passed them, so neither arrival order nor trigger size changes a result. Watched trades sort the few rows of a trade.
 """
 
 from __future__ import annotations
@@ -9,65 +9,68 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barloom.streaming.ordered import fold_in_order
+
+DAY_US = 86_400_000_000
+
 
 def _rows(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(["ts", "event_id"])
 
 
-def stream_hysteresis(regimes: DataFrame, periods: int = 2) -> DataFrame:
+def stream_hysteresis(regimes: DataFrame, periods: int = 2, late: str = "0 seconds") -> DataFrame:
     """regimes(symbol, ts, event_id, regime) -> confirmed regime per row."""
     need = max(periods, 2)
 
-    def fold(key, frames, state: GroupState):
-        confirmed, last, run = state.get if state.exists else (None, None, 0)
-        pdf, out = _rows(frames), []
-        for regime in pdf["regime"]:
+    def step(state, us, values):
+        confirmed, last, run = state or (None, None, 0)
+        out = []
+        for regime in values:
             run = run + 1 if regime == last else 1
             last = regime
             if confirmed is None or run >= need:
                 confirmed = regime
-            out.append(confirmed)
-        state.update((confirmed, last, run))
-        yield pdf[["symbol", "event_id", "regime"]].assign(confirmed=out)
+            out.append((regime, confirmed))
+        return (confirmed, last, run), out
 
-    return regimes.groupBy("symbol").applyInPandasWithState(
-        fold, "symbol string, event_id long, regime string, confirmed string", "confirmed string, last string, run int",
-        "append", GroupStateTimeout.NoTimeout)
+    return fold_in_order(regimes, "symbol", "regime", step, "confirmed string, last string, run int", "regime string, confirmed string", late)
 
 
-def stream_limits(pnl: DataFrame, day_limit: float, drawdown_limit: float = 0.20, capital: float = 10_000.0) -> DataFrame:
-    """pnl(symbol, ts, event_id, pnl) -> running value, day loss flag and drawdown latch."""
-    def fold(key, frames, state: GroupState):
-        value, peak, day, day_pnl, latched = state.get if state.exists else (capital, capital, -1, 0.0, False)
-        pdf, out = _rows(frames), []
-        days = (pdf["ts"].astype("int64") // {"ns": 86_400_000_000_000, "us": 86_400_000_000}[pdf["ts"].dt.unit]).to_numpy()
-        for d, p in zip(days, pdf["pnl"].to_numpy()):
-            day_pnl = (day_pnl if d == day else 0.0) + p
-            day, value = int(d), value + p
+def stream_limits(pnl: DataFrame, day_limit: float, drawdown_limit: float = 0.20, capital: float = 10_000.0, late: str = "0 seconds") -> DataFrame:
+    """pnl(symbol, ts, event_id, pnl) -> running value, day loss flag and drawdown latch. A null pnl changes nothing."""
+
+    def step(state, us, values):
+        value, peak, day, day_pnl, latched = state or (capital, capital, -1, 0.0, False)
+        out = []
+        for d, p in zip((us // DAY_US).tolist(), values):
+            day_pnl = (day_pnl if d == day else 0.0) + (p or 0.0)
+            day, value = d, value + (p or 0.0)
             peak = max(peak, value)
             latched = latched or (peak - value) / peak >= drawdown_limit
             out.append((value, bool(-day_pnl / value >= day_limit) if value > 0 else True, latched))
-        state.update((value, peak, day, day_pnl, latched))
-        yield pdf[["symbol", "event_id"]].assign(value=[o[0] for o in out], day_hit=[o[1] for o in out], latched=[o[2] for o in out])
+        return (value, peak, day, day_pnl, latched), out
 
-    return pnl.groupBy("symbol").applyInPandasWithState(
-        fold, "symbol string, event_id long, value double, day_hit boolean, latched boolean",
-        "value double, peak double, day long, day_pnl double, latched boolean", "append", GroupStateTimeout.NoTimeout)
+    return fold_in_order(pnl, "symbol", "pnl", step, "value double, peak double, day long, day_pnl double, latched boolean",
+                         "value double, day_hit boolean, latched boolean", late)
 
 
-def stream_trailing(prices: DataFrame, atr: float, initial: float = 3.0, step: float = 0.02, cap: float = 0.2, start_at: float = 0.02) -> DataFrame:
+def stream_trailing(prices: DataFrame, atr: float, initial: float = 3.0, step: float = 0.02, cap: float = 0.2, start_at: float = 0.02,
+                    late: str = "0 seconds") -> DataFrame:
     """prices(symbol, ts, event_id, price): a long trade opens with the first price and after each
-    stop; emits the stop in force and whether it was hit."""
-    def fold(key, frames, state: GroupState):
-        entry, stop, af = state.get if state.exists else (None, None, step)
-        pdf, out = _rows(frames), []
-        for p in pdf["price"].to_numpy():
+    stop; emits the stop in force and whether it was hit. A null price changes nothing."""
+
+    def follow(state, us, values):
+        entry, stop, af = state or (None, None, step)
+        out = []
+        for p in values:
             hit = False
-            if entry is None:
-                entry, stop, af = float(p), float(p) - atr * initial, step
+            if p is None:
+                pass
+            elif entry is None:
+                entry, stop, af = p, p - atr * initial, step
             elif p <= stop:
                 hit = True
             elif (p - entry) / entry >= start_at:
@@ -76,11 +79,9 @@ def stream_trailing(prices: DataFrame, atr: float, initial: float = 3.0, step: f
             out.append((stop, hit))
             if hit:
                 entry = None
-        state.update((entry, stop, af))
-        yield pdf[["symbol", "event_id"]].assign(stop=[float(o[0]) for o in out], hit=[o[1] for o in out])
+        return (entry, stop, af), out
 
-    return prices.groupBy("symbol").applyInPandasWithState(
-        fold, "symbol string, event_id long, stop double, hit boolean", "entry double, stop double, af double", "append", GroupStateTimeout.NoTimeout)
+    return fold_in_order(prices, "symbol", "price", follow, "entry double, stop double, af double", "stop double, hit boolean", late)
 
 
 def stream_watch(ticks: DataFrame, hours: float = 2.0, span_hours: float = 6.0) -> DataFrame:

@@ -1,12 +1,14 @@
 """State of the streams against loops, and its removal."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from barloom.operators.bars import ohlcv
 from barloom.sources.tables import line_ticks
-from barloom.streaming.states import stream_watch
+from barloom.streaming.states import stream_hysteresis, stream_limits, stream_trailing, stream_watch
+from barloom.streaming.run import PROVIDER, start
 
 HOUR = 3_600_000
 
@@ -45,3 +47,72 @@ def test_open_and_close_of_daily_bars_follow_the_time_of_day(spark, tmp_path):
     li.write.parquet(f"{tmp_path}/lineitem.parquet")
     bar = ohlcv(line_ticks(spark, str(tmp_path)), "1d").first()
     assert (bar["open"], bar["close"], bar["high"], bar["low"]) == (20.0, 10.0, 30.0, 10.0)
+
+
+def arrivals(seed, minutes=900, late=60):
+    """(symbol, minute, id, value) in the order of arrival: at most `late` minutes behind the newest one before it."""
+    rnd = random.Random(seed)
+    rows = [(rnd.choice("ab"), rnd.randrange(minutes), i, rnd.choice([None, *range(-300, 300)])) for i in range(600)]
+    return sorted(rows, key=lambda r: r[1] + rnd.random() * late * 0.9)
+
+
+def streamed(spark, home, make, rows, schema, triggers):
+    """Rows of the last trigger's output table; each trigger brings its share of the arrivals."""
+    spark.conf.set(*PROVIDER)
+    try:
+        step = -(-len(rows) // triggers)
+        for at in range(0, len(rows), step):
+            made = spark.createDataFrame([(s, m, i, None if x is None else float(x)) for s, m, i, x in rows[at:at + step]], "symbol string, m long, event_id long, x double")
+            made = made.select("symbol", F.timestamp_seconds(F.col("m") * 60 + 1_700_000_000).alias("ts"), "event_id", "x")
+            made.repartition(3).write.mode("append").parquet(f"{home}/in")
+            run = start(make(spark.readStream.schema(made.schema).parquet(f"{home}/in")), home)
+            run.awaitTermination()
+    finally:
+        spark.conf.unset(PROVIDER[0])
+    return {(r[0], r[1]): tuple(r[2:]) for r in spark.read.schema(schema).parquet(f"{home}/out").collect()}
+
+
+def in_time(rows, late=60):
+    """Rows that the last watermark has passed, in event-time order."""
+    last = max(m for _, m, *_ in rows)
+    return sorted((r for r in rows if r[1] <= last - late), key=lambda r: (r[0], r[1], r[2]))
+
+
+def test_limits_fold_in_event_time_order_over_triggers(spark, tmp_path):
+    rows, want = arrivals(1), {}
+    for symbol in "ab":
+        value = peak = 1_000.0
+        latched, day, lost = False, None, 0.0
+        for _, m, i, x in (r for r in in_time(rows) if r[0] == symbol):
+            today = (m * 60 + 1_700_000_000) // 86_400
+            lost = (lost if today == day else 0.0) + (x or 0.0)
+            day, value = today, value + (x or 0.0)
+            peak = max(peak, value)
+            latched = latched or (peak - value) / peak >= 0.2
+            want[symbol, i] = (value, value <= 0 or -lost / value >= 0.05, latched)
+    for triggers in (1, 4):
+        make = lambda d: stream_limits(d.withColumnRenamed("x", "pnl"), 0.05, capital=1_000.0, late="60 minutes")
+        got = streamed(spark, f"{tmp_path}/{triggers}", make, rows, "symbol string, event_id long, value double, day_hit boolean, latched boolean", triggers)
+        assert got == want, triggers
+    assert len(want) < len(rows)
+
+
+def test_hysteresis_and_trailing_stops_do_not_depend_on_triggers(spark, tmp_path):
+    rows = [(s, m, i, abs(x or 7) + 1) for s, m, i, x in arrivals(2)]
+    regime = F.when(F.col("x") > 200, "up").when(F.col("x") > 100, "flat")
+    shapes = {"h": (lambda d: stream_hysteresis(d.withColumn("regime", regime), late="60 minutes"), "symbol string, event_id long, regime string, confirmed string"),
+              "t": (lambda d: stream_trailing(d.withColumnRenamed("x", "price"), atr=5.0, late="60 minutes"), "symbol string, event_id long, stop double, hit boolean")}
+    for name, (make, schema) in shapes.items():
+        once, thrice = (streamed(spark, f"{tmp_path}/{name}{n}", make, rows, schema, n) for n in (1, 3))
+        assert once == thrice and set(once) == {(s, i) for s, _, i, _ in in_time(rows)}
+    confirmed = last = None
+    run, symbol = 0, None
+    hysteresis = streamed(spark, f"{tmp_path}/again", *shapes["h"][:1], rows, shapes["h"][1], 2)
+    for s, _, i, x in in_time(rows):
+        if s != symbol:
+            confirmed, last, run, symbol = None, None, 0, s
+        now = "up" if x > 200 else "flat" if x > 100 else None
+        run = run + 1 if now == last else 1
+        last = now
+        confirmed = now if confirmed is None or run >= 2 else confirmed
+        assert hysteresis[s, i] == (now, confirmed)
