@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["indicators", "frames", "trades", "outcomes", "conditions", "exits", "scoring", "statistics", "patterns", "learning", "streams", "stored", "signals", "moments"]
+MODULES = ["indicators", "frames", "trades", "outcomes", "conditions", "exits", "scoring", "statistics", "patterns", "learning", "streams", "stored", "signals", "moments", "full_scores"]
 
 
 def load_catalogue():

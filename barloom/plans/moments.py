@@ -38,11 +38,15 @@ def with_state(d, w):
     return with_returns(d, w).withColumn("vr", ratio("volume", sma("volume", 20, w)))
 
 
-@query("rolling_mahalanobis", "W31", _sel(VR_SQL, {"distance": "md"}, "ood", places={"distance": 4}).replace("\nSELECT", "\nSELECT CASE WHEN md / 3.0 > 2 THEN 1 ELSE 0 END AS ood,", 1))
-def _(spark, base):
+def distances(spark, base):
     """Distance of each bar's return and volume ratio to the 512 bars before its block."""
     df = over_chunks(indexed_bars(spark, base), with_state, before=64).withColumn("block", F.floor(c("bar_idx") / BLOCK))
-    df = mo.with_rolling_distance(cut(df.select(*SERIES, "bar_idx", "block", "ret", "vr")), SERIES, "block", ["ret", "vr"], BACK)
+    return mo.with_rolling_distance(cut(df.select(*SERIES, "bar_idx", "block", "ret", "vr")), SERIES, "block", ["ret", "vr"], BACK)
+
+
+@query("rolling_mahalanobis", "W31", _sel(VR_SQL, {"distance": "md"}, "ood", places={"distance": 4}).replace("\nSELECT", "\nSELECT CASE WHEN md / 3.0 > 2 THEN 1 ELSE 0 END AS ood,", 1))
+def _(spark, base):
+    df = distances(spark, base)
     return shown(df.withColumn("ood", F.when(c("distance") / 3.0 > 2, 1).otherwise(0)), "ood", "distance", places={"distance": 4})
 
 
@@ -54,9 +58,7 @@ fr AS (SELECT k2.*, CASE WHEN ret > 0 THEN 1.0 ELSE 1.5 END AS m, cvar AS r_tail
   CASE WHEN pk - close <= 0 THEN 0 ELSE exp(5 * (pk - close) / pk / 0.15) - 1 END AS r_dd FROM k2 JOIN cv USING ({K}) WHERE atr IS NOT NULL)"""
 
 
-@query("full_risk_penalty", "F11 W31 W30", _sel(FULL_SQL, {
-    "r_vol": "10 * sqrt(v) * m", "r_tail": "r_tail", "r_liq": "r_liq", "r_ood": "r_ood", "log_r_dd": "ln(1 + r_dd)", "log_risk": "ln(1 + (0.3 * 10 * sqrt(v) * m + 0.2 * r_tail + 0.2 * r_liq + 0.15 * r_ood + 0.15 * r_dd) * m)"}, "fr", places={"r_ood": 4}))
-def _(spark, base):
+def risk_frame(spark, base):
     """All five risk parts from the bars: GARCH volatility, tail, a tenth of the bar's range against ATR as spread, distance to the bars before, drawdown."""
     def cols(d, w):
         d = ind.add_atr(ind.add_garch(with_state(d, w)), w)
@@ -69,7 +71,13 @@ def _(spark, base):
     df = cut(df.select(*SERIES, "bar_idx", "block", "close", "high", "low", "ret", "vr", "atr", "garch_var", "_cvar", "_peak"))
     df = mo.with_rolling_distance(df, SERIES, "block", ["ret", "vr"], BACK).where("_cvar IS NOT NULL AND atr IS NOT NULL")
     regime = F.when(c("ret") > 0, "BULL").otherwise("BEAR")
-    df = df.withColumns(sc.total_risk(c("garch_var"), c("_cvar"), (c("high") - c("low")) * 0.1, c("atr"), c("distance"), (c("_peak") - c("close")) / c("_peak"), regime))
+    return df.withColumns(sc.total_risk(c("garch_var"), c("_cvar"), (c("high") - c("low")) * 0.1, c("atr"), c("distance"), (c("_peak") - c("close")) / c("_peak"), regime))
+
+
+@query("full_risk_penalty", "F11 W31 W30", _sel(FULL_SQL, {
+    "r_vol": "10 * sqrt(v) * m", "r_tail": "r_tail", "r_liq": "r_liq", "r_ood": "r_ood", "log_r_dd": "ln(1 + r_dd)", "log_risk": "ln(1 + (0.3 * 10 * sqrt(v) * m + 0.2 * r_tail + 0.2 * r_liq + 0.15 * r_ood + 0.15 * r_dd) * m)"}, "fr", places={"r_ood": 4}))
+def _(spark, base):
+    df = risk_frame(spark, base)
     return shown(df.withColumns({"log_r_dd": F.log1p("r_dd"), "log_risk": F.log1p("risk")}), "r_vol", "r_tail", "r_liq", "r_ood", "log_r_dd", "log_risk", places={"r_ood": 4})
 
 

@@ -42,7 +42,7 @@ def gated(spark, base):
         d = d.withColumn("gate", sc.ml_gate(c("crisis"), c("drawdown"), c("regime")))
         return d.withColumn("p_ml", sc.heuristic_probability(c("pctile")) * c("gate") - sc.adaptive_cost(F.coalesce("vol50", F.lit(0.02))))
     bars = running_bars(indexed_bars(spark, base), {"peak": ("max", F.col("close"))})
-    return over_chunks(bars, cols).select(*SERIES, "bar_idx", "ts_s", "p_rb", "p_ml", "crisis", "drawdown", "regime", "gate")
+    return over_chunks(bars, cols).select(*SERIES, "bar_idx", "ts_s", "p_rb", "p_ml", "crisis", "drawdown", "regime", "gate", "pctile", "vol50")
 
 
 @query("gated_signals", "P8 F13", _sel(GATE_SQL, {"drawdown": "drawdown", "p_ml": "gated"}, "g3").replace("\nSELECT", "\nSELECT regime, gate,", 1))
