@@ -4,12 +4,14 @@ Both are folds over a series whose next step depends on the last one. A chunk is
 summarised as a *function* of the state it is entered with; the functions are
 short (their size is bounded by the chunk or by the reach of one step), so they
 compose along the series cheaply, and a second pass replays every chunk with
-its true entry state. No task ever holds more than one chunk of rows.
+its true entry state. No task ever holds more than one chunk of rows, or the
+functions of ``FAN`` neighbours: longer series are composed level by level, up
+to one function for each ``FAN`` nodes and down again with true entry states.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,48 @@ from barloom.operators.lineage import cut
 from barloom.schema import SERIES
 
 ROWS = 8192
+#: neighbours whose functions one task composes
+FAN = 512
+
+
+def entry_states(maps: DataFrame, keys: Sequence[str], state_type: str, initial, apply: Callable, join: Callable, fan: int = FAN) -> DataFrame:
+    """maps(keys, _chunk, function columns) -> (keys, _chunk, _entry), the state each chunk is entered with.
+
+    ``apply(row, state)`` gives the state behind a chunk, ``join(rows)`` the function columns of consecutive chunks taken together; both get
+    dicts, with ``_first`` and ``_last`` for the chunks a function covers. Levels are added until the nodes on top of a series are at most ``fan``.
+    """
+    keys = list(keys)
+    types = dict(maps.dtypes)
+    head = ", ".join(f"{k} {types[k]}" for k in keys)
+    columns = [c for c in maps.columns if c not in (*keys, "_chunk")]
+    shape = head + ", _node long, _first long, _last long, " + ", ".join(f"{c} {types[c]}" for c in columns)
+    level = cut(maps.select(*keys, F.col("_chunk").alias("_node"), F.col("_chunk").alias("_first"), F.col("_chunk").alias("_last"), *columns))
+    levels, top = [level], level.agg(F.max(F.abs("_node"))).first()[0] or 0
+
+    def joined(key, pdf):
+        rows = pdf.sort_values("_node").to_dict("records")
+        made = {**dict(zip(keys, key)), "_node": key[-1], "_first": rows[0]["_first"], "_last": rows[-1]["_last"], **join(rows)}
+        return pd.DataFrame([made])[[*keys, "_node", "_first", "_last", *columns]]
+
+    def walked(key, pdf):
+        rows, state, out = pdf.sort_values("_node").to_dict("records"), initial, []
+        if "_up" in pdf.columns:
+            state = rows[0]["_up"]
+        for row in rows:
+            out.append(state)
+            state = apply(row, state)
+        return pd.DataFrame({**{k: v for k, v in zip(keys, key)}, "_node": [r["_node"] for r in rows], "_entry": out})
+
+    while top >= fan:
+        level = cut(level.groupBy(*keys, F.floor(F.col("_node") / fan).cast("long").alias("_up_node")).applyInPandas(joined, shape))
+        levels.append(level)
+        top //= fan
+    entries = levels.pop().groupBy(*keys).applyInPandas(walked, f"{head}, _node long, _entry {state_type}")
+    while levels:
+        parents = entries.select(*keys, F.col("_node").alias("_up_node"), F.col("_entry").alias("_up"))
+        below = levels.pop().withColumn("_up_node", F.floor(F.col("_node") / fan).cast("long")).join(parents, [*keys, "_up_node"])
+        entries = below.groupBy(*keys, "_up_node").applyInPandas(walked, f"{head}, _node long, _entry {state_type}")
+    return entries.withColumnRenamed("_node", "_chunk")
 
 
 def _free_after(pos: np.ndarray, release: np.ndarray, end: int) -> np.ndarray:
@@ -30,7 +74,7 @@ def _free_after(pos: np.ndarray, release: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
-def greedy_chain(cands: DataFrame, pos: str, release: str, reach: int, keys: Sequence[str] = SERIES, rows: int = ROWS) -> DataFrame:
+def greedy_chain(cands: DataFrame, pos: str, release: str, reach: int, keys: Sequence[str] = SERIES, rows: int = ROWS, fan: int = FAN) -> DataFrame:
     """Keep a candidate when it is not before the release of the last kept one.
 
     ``release - pos`` must lie in 1..reach, and reach <= rows. Of candidates at one
@@ -53,20 +97,22 @@ def greedy_chain(cands: DataFrame, pos: str, release: str, reach: int, keys: Seq
         out = np.where(k < len(p), after[np.minimum(k, len(p) - 1)], np.maximum(0, entry - end))
         return pd.DataFrame([[*key, out.tolist()]], columns=[*keys, "_chunk", "_map"])
 
-    def compose(key, pdf):
-        pdf = pdf.sort_values("_chunk")
-        state, last, entries = 0, None, []
-        for c, m in zip(pdf["_chunk"], pdf["_map"]):
-            if last is not None and c != last + 1:
-                state = 0
-            entries.append(state)
-            state, last = int(m[state]), c
-        return pdf[[*keys, "_chunk"]].assign(_entry=entries)
+    # a state is the place up to which the chain is busy, so chunks without candidates need no row
+    def apply(row, busy):
+        at = max(0, int(busy) - int(row["_first"]) * rows)
+        return (int(row["_last"]) + 1) * rows + int(row["_map"][at])
+
+    def join(parts):
+        first, *others = parts
+        busy = (int(first["_last"]) + 1) * rows + np.asarray(first["_map"])
+        for row in others:
+            busy = (int(row["_last"]) + 1) * rows + np.asarray(row["_map"])[np.maximum(0, busy - int(row["_first"]) * rows)]
+        return {"_map": (busy - (int(parts[-1]["_last"]) + 1) * rows).tolist()}
 
     def replay(key, pdf):
         pdf = pdf.sort_values(["_pos", "_rel", "_uid"])
         p, r = pdf["_pos"].to_numpy(), pdf["_rel"].to_numpy()
-        k = int(np.searchsorted(p, int(key[-1]) * rows + int(pdf["_entry"].iloc[0])))
+        k = int(np.searchsorted(p, int(pdf["_entry"].iloc[0])))
         kept = []
         while k < len(p):
             kept.append(k)
@@ -74,7 +120,7 @@ def greedy_chain(cands: DataFrame, pos: str, release: str, reach: int, keys: Seq
         return pdf.iloc[kept][["_uid"]]
 
     maps = slim.groupBy(*keys, "_chunk").applyInPandas(summarise, f"{head}, _chunk long, _map array<long>")
-    entries = maps.groupBy(*keys).applyInPandas(compose, f"{head}, _chunk long, _entry long")
+    entries = entry_states(maps, keys, "long", -(1 << 62), apply, join, fan)
     kept = slim.join(entries, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(replay, "_uid long")
     return cands.join(kept, "_uid").drop("_chunk", "_uid")
 
@@ -108,7 +154,7 @@ def _run(state, price, enter, up, down, forced, start: int = 0):
     return state, signals
 
 
-def price_latch(rows: DataFrame, chunk_rows: int = ROWS) -> DataFrame:
+def price_latch(rows: DataFrame, chunk_rows: int = ROWS, fan: int = FAN) -> DataFrame:
     """Enter/exit signals of a latch whose exits depend on the entry price.
 
     ``rows`` carries symbol, tf, bar_idx, price, enter, forced, up, down: a position
@@ -143,19 +189,32 @@ def price_latch(rows: DataFrame, chunk_rows: int = ROWS) -> DataFrame:
             **dict(zip([*SERIES, "_chunk"], key)), "_flat": flat[0], "_top": top[keep].tolist(), "_low": bottom[keep].tolist(),
             "_forced": [bool(k == f) for k in keep], "_out": [float(flat[k + 1]) for k in keep]}])
 
-    def compose(key, pdf):
-        pdf = pdf.sort_values("_chunk")
-        state, entries = np.nan, []
-        for flat, top, low, forced, out in zip(pdf["_flat"], pdf["_top"], pdf["_low"], pdf["_forced"], pdf["_out"]):
-            entries.append(state)
-            if np.isnan(state):
-                state = np.nan if flat is None else flat
-            else:
-                hit = (np.asarray(top, float) > state) | (np.asarray(low, float) < state) | np.asarray(forced, bool)
-                if hit.any():
-                    o = out[int(np.argmax(hit))]
-                    state = np.nan if o is None else o
-        return pdf[[*SERIES, "_chunk"]].assign(_entry=entries)
+    def behind(top, low, forced, out, flat, state):
+        if state is None or np.isnan(state):
+            return np.nan if flat is None else flat
+        hit = (top > state) | (low < state) | forced
+        if not hit.any():
+            return state
+        o = out[int(np.argmax(hit))]
+        return np.nan if o is None else o
+
+    def function_of(row):
+        return np.asarray(row["_top"], float), np.asarray(row["_low"], float), np.asarray(row["_forced"], bool), row["_out"], row["_flat"]
+
+    def apply(row, state):
+        return behind(*function_of(row), state)
+
+    def join(parts):
+        top, low, forced, out, flat = function_of(parts[0])
+        for row in parts[1:]:
+            late = function_of(row)
+            out, flat = [behind(*late, o) for o in out], behind(*late, flat)
+            if not forced.any():
+                # what a position still held here can end at: places beyond all before them
+                far = (late[0] > top.max(initial=-np.inf)) | (late[1] < low.min(initial=np.inf)) | late[2]
+                top, low, forced = (np.concatenate([x, y[far]]) for x, y in zip((top, low, forced), late))
+                out += [late[3][i] for i in np.flatnonzero(far)]
+        return {"_flat": flat, "_top": top.tolist(), "_low": low.tolist(), "_forced": forced.tolist(), "_out": [np.nan if o is None else float(o) for o in out]}
 
     def replay(key, pdf):
         pdf, (price, enter, up, down, forced) = arrays(pdf)
@@ -166,6 +225,6 @@ def price_latch(rows: DataFrame, chunk_rows: int = ROWS) -> DataFrame:
 
     maps = slim.groupBy(*SERIES, "_chunk").applyInPandas(
         summarise, "symbol string, tf string, _chunk long, _flat double, _top array<double>, _low array<double>, _forced array<boolean>, _out array<double>")
-    entries = maps.groupBy(*SERIES).applyInPandas(compose, "symbol string, tf string, _chunk long, _entry double")
+    entries = entry_states(maps, SERIES, "double", np.nan, apply, join, fan)
     return slim.join(entries, [*SERIES, "_chunk"]).groupBy(*SERIES, "_chunk").applyInPandas(
         replay, "symbol string, tf string, bar_idx long, signal int")

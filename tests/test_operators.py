@@ -139,8 +139,9 @@ def test_greedy_chain_matches_a_loop(spark, density):
             if i >= free:
                 want.append((s, i))
                 free = r
-    got = greedy_chain(df, "bar_idx", "release", reach, rows=64).select("symbol", "bar_idx").collect()
-    assert sorted((r[0], r[1]) for r in got) == want
+    for fan in (512, 3):  # all chunks at once, and four levels of composed functions
+        got = greedy_chain(df, "bar_idx", "release", reach, rows=64, fan=fan).select("symbol", "bar_idx").collect()
+        assert sorted((r[0], r[1]) for r in got) == want, fan
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -161,8 +162,16 @@ def test_price_latch_matches_a_loop(spark, seed):
         elif forced[i] or up[i] > held or down[i] < held:
             held = None
             want.append((i, -1))
-    got = price_latch(df, chunk_rows=64).select("bar_idx", "signal").collect()
-    assert sorted((r[0], r[1]) for r in got) == want
+    for fan in (512, 3):
+        got = price_latch(df, chunk_rows=64, fan=fan).select("bar_idx", "signal").collect()
+        assert sorted((r[0], r[1]) for r in got) == want, fan
+
+
+def test_chain_jumps_over_empty_chunks(spark):
+    rows = [("A", "1h", i, i + 60) for i in (0, 3, 59, 62, 500, 570, 571, 4000)]
+    df = spark.createDataFrame(rows, "symbol string, tf string, bar_idx long, release long")
+    for fan in (512, 2):
+        assert sorted(r.bar_idx for r in greedy_chain(df, "bar_idx", "release", 60, rows=64, fan=fan).collect()) == [0, 62, 500, 570, 4000]
 
 
 def test_hysteresis_matches_a_loop(spark):
