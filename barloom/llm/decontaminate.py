@@ -9,38 +9,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from barloom.llm.common import ALNUM, by_bytes, staged, text_bytes, word_hashes
+from barloom.llm.common import ALNUM, by_bytes, keyed, numbered, one_to_one, staged, text_bytes, word_hashes
 from barloom.llm.fm_index import FMIndex
 
 WINDOW = 10
-#: words of test items that one pass over the documents searches for; more items make more passes
-ITEM_WORDS = 2_000_000
+#: windows of test items, at most one a word, that one pass over the documents searches for; more make more passes
+ITEM_WORDS = 1_000_000
+#: windows handed on at once
+PACKED = 65_536
 #: bytes of text that one index covers
 SHARD_BYTES = 4 << 20
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 class Windows:
-    """Distinct word windows of one block of test items."""
+    """Windows of one block of (window, item) pairs; the same window may come with several items."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
-        flat, counts = word_hashes([t for _, t in items], ALNUM)
-        self.names = sorted({name for name, _ in items})
+    def __init__(self, hashes: np.ndarray, lengths: np.ndarray, items: list[str], window: int):
+        """hashes: the words of all pairs' windows one after another, lengths: words of each."""
+        self.names = sorted(set(items))
         number = {name: i for i, name in enumerate(self.names)}
-        self.vocabulary, ids = np.unique(flat, return_inverse=True)
-        found: dict[tuple, set] = {}
-        at = 0
-        for (name, _), n in zip(items, counts.tolist(), strict=True):
-            own = (ids[at:at + n] + 1).tolist()
-            for i in range(max(1, n - window + 1) if n else 0):
-                found.setdefault(tuple(own[i:i + window]), set()).add(number[name])
-            at += n
-        self.patterns = np.zeros((len(found), window), np.int32)
-        for i, p in enumerate(found):
-            self.patterns[i, :len(p)] = p
-        self.lengths = np.array([len(p) for p in found], np.int64)
-        self.items = np.array([i for s in found.values() for i in sorted(s)], np.int64)
-        self.item_ends = np.concatenate([[0], np.cumsum([len(s) for s in found.values()])]).astype(np.int64)
+        self.vocabulary, ids = np.unique(hashes, return_inverse=True)
+        rows = np.zeros((len(lengths), window), np.int32)
+        rows[np.arange(window) < lengths[:, None]] = ids + 1
+        self.patterns, which = np.unique(rows, axis=0, return_inverse=True)
+        self.lengths = (self.patterns > 0).sum(1)
+        order = np.argsort(which.ravel(), kind="stable")
+        self.items = np.array([number[i] for i in items], np.int64)[order]
+        self.item_ends = np.concatenate([[0], np.cumsum(np.bincount(which.ravel(), minlength=len(self.patterns)))]).astype(np.int64)
 
     def occurrences(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(words of each text, start word of each occurrence counted over all texts, its window), by one FM-index over the texts.
@@ -99,18 +95,53 @@ class Windows:
         return counts, spans, names
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, most_words: int) -> Iterator[list[tuple[str, bytes]]]:
-    """Test items in blocks of bounded size, fetched one partition at a time."""
-    block, words = [], 0
-    for r in benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
-        text = (r["t"] or "").encode()
-        n = len(text.translate(ALNUM).split())
-        if block and words + n > most_words:
-            yield block
-            block, words = [], 0
-        block.append((r["i"], text))
-        words += n
-    yield block
+def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """g, item: each item's distinct windows, as the 8-byte hashes of their words one after another; made and told apart in Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, 1, SHARD_BYTES):
+            names, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1).cast(pa.binary()))
+            flat, counts = word_hashes(texts, ALNUM)
+            ends = np.cumsum(counts)
+            for name, n, end in zip(names, counts.tolist(), ends.tolist(), strict=True):
+                own = flat[end - n:end].astype("<u8").tobytes()
+                many = max(1, n - window + 1) if n else 0
+                for at in range(0, many, PACKED):
+                    found = {own[8 * i:8 * (i + window)] for i in range(at, min(many, at + PACKED))}
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([name] * len(found), pa.string())], ["g", "item"])
+
+    named = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text"))
+    return named.mapInArrow(run, "g binary, item string").distinct()
+
+
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int) -> Iterator[Windows]:
+    """Blocks of at most `most` (window, item) pairs in the order of windows. The driver holds one block at a time, whatever the size of the
+    items or of their table; a window with more items than that goes on in the next block."""
+    size = max(1, min(PACKED, most))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                g, items = (batch.column(k).slice(at, size).to_pylist() for k in (0, 1))
+                lengths = np.array([len(x) // 8 for x in g], "<i4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(g)], pa.binary()), pa.array([lengths], pa.binary()), pa.array([items], pa.list_(pa.string()))], ["g", "lengths", "items"])
+
+    pairs = item_windows(benchmark, item_col, text_col, window)
+    packed = staged(pairs.repartitionByRange("g", "item").sortWithinPartitions("g", "item").mapInArrow(pack, "g binary, lengths binary, items array<string>"))
+    hashes, lengths, items, total = [], [], [], 0
+
+    def block() -> Windows:
+        return Windows(np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate([*lengths, np.zeros(0, np.int64)]).astype(np.int64), items, window)
+
+    for r in packed.toLocalIterator():
+        if total and total + len(r["items"]) > most:
+            yield block()
+            hashes, lengths, items, total = [], [], [], 0
+        hashes.append(np.frombuffer(bytes(r["g"]), "<u8"))
+        lengths.append(np.frombuffer(bytes(r["lengths"]), "<i4"))
+        items += r["items"]
+        total += len(r["items"])
+    yield block()
 
 
 FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType()))])
@@ -133,8 +164,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
     Words are runs of digits, letters and non-ASCII characters after A-Z are lower-cased. A window is `window`
     consecutive words of an item; an item of fewer words is one window, one without words none. Every batch of
     documents becomes an FM-index over whole texts; windows are searched backwards through the wavelet
-    tree and located by sampled suffix positions. Items beyond `item_words` words are searched in
-    further passes, so what a task holds stays bounded; the passes' spans and items are merged.
+    tree and located by sampled suffix positions. Windows beyond `item_words` are searched in
+    further passes, so what a task or the driver holds stays bounded; the passes' spans and items are merged.
 
     A null or empty text has no words and no hits; a null item_id counts as the empty string; repeated
     items count once. `result` must not be a column of docs.
@@ -146,18 +177,37 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
 
 def passes(docs: DataFrame, benchmark: DataFrame, text_at: int, item_col: str, item_text_col: str, window: int, item_words: int, schema: T.StructType,
            finish: Callable[[list[pa.Array], list[dict]], pa.RecordBatch]) -> DataFrame:
-    """One pass over docs for each block of items; the last one hands columns and merged findings to `finish`, in the same Python worker."""
-    spark, out = docs.sparkSession, docs
-    between = T.StructType([*docs.schema.fields, T.StructField("__earlier", FOUND)])
-    blocks = item_blocks(benchmark, item_col, item_text_col, item_words)
-    block = next(blocks)
-    while True:
-        later = next(blocks, None)
-        shared = spark.sparkContext.broadcast(Windows(block, window))
-        if later is None:
-            return searched(out, schema, shared, text_at, len(docs.columns), finish)
-        out = staged(searched(out, between, shared, text_at, len(docs.columns), lambda columns, rows: pa.RecordBatch.from_arrays([*columns, pa.array(rows, KIND)], between.names)))
-        block = later
+    """One pass over docs for each block of windows; the last one hands columns and merged findings to `finish`, in the same Python worker.
+
+    Passes before the last write what they find in rows with hits: number of the row, spans and items. Texts are not written again;
+    they meet the findings, joined by row number, in the last pass.
+    """
+    spark, width = docs.sparkSession, len(docs.columns)
+    blocks = item_blocks(benchmark, item_col, item_text_col, window, item_words)
+    block, later = next(blocks), next(blocks, None)
+    if later is None:
+        return searched(docs, schema, spark.sparkContext.broadcast(block), text_at, width, finish)
+    rows, name = keyed(docs)
+    if not one_to_one(rows, name):
+        rows = numbered(docs, name)
+    slim, found = rows.select(name, F.col(docs.columns[text_at]).alias("text")), None
+
+    def hits_alone(columns: list[pa.Array], rows: list[dict]) -> pa.RecordBatch:
+        hit = pa.array([bool(r["spans"]) for r in rows], pa.bool_())
+        return pa.RecordBatch.from_arrays([columns[0], pa.array(rows, KIND)], ["n", "earlier"]).filter(hit)
+
+    kind = T.StructType([T.StructField("n", T.LongType()), T.StructField("earlier", FOUND)])
+    while later is not None:
+        shared = spark.sparkContext.broadcast(block)
+        part = staged(searched(slim, kind, shared, 1, 2, hits_alone))
+        shared.unpersist()
+        found = part if found is None else found.unionByName(part)
+        block, later = later, next(blocks, None)
+    earlier = name + "_earlier"
+    spans, items = F.flatten(F.collect_list("earlier.spans")), F.array_distinct(F.flatten(F.collect_list("earlier.items")))
+    each = found.groupBy(F.col("n").alias(name)).agg(F.struct(F.max("earlier.n_words").alias("n_words"), spans.alias("spans"), items.alias("items")).alias(earlier))
+    joined = rows.join(staged(each), name, "left").select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns], earlier)
+    return searched(joined, schema, spark.sparkContext.broadcast(block), text_at, width, finish)
 
 
 KIND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
@@ -173,7 +223,7 @@ def searched(docs: DataFrame, schema: T.StructType, shared, text_at: int, width:
             counts, spans, names = windows.hits(texts)
             rows = [{"n_words": n, "spans": s.tolist(), "items": i} for n, s, i in zip(counts.tolist(), spans, names, strict=True)]
             if earlier:
-                rows = [{"n_words": r["n_words"], "spans": merged(e["spans"], r["spans"]), "items": sorted({*e["items"], *r["items"]})} for e, r in zip(earlier, rows, strict=True)]
+                rows = [r if e is None else {"n_words": r["n_words"], "spans": merged(e["spans"], r["spans"]), "items": sorted({*e["items"], *r["items"]})} for e, r in zip(earlier, rows, strict=True)]
             yield finish(list(batch.columns[:width]), rows)
 
     return docs.mapInArrow(run, schema)

@@ -5,8 +5,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import decontaminate, embedding_dedup, graph, minhash
+from barloom.llm.common import staged
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -186,3 +188,26 @@ def test_decontamination_matches_brute_force(spark, item_words):
     assert sorted(tuple(r) for r in clean.collect()) == [(1, "Keep  end.", 10), (2, "zz yy", 5)]
     assert decontaminate.find_hits(docs.limit(0), bench).count() == 0
     assert decontaminate.hit_counts(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_decontamination_in_passes_with_clashing_columns_and_long_items(spark):
+    rnd = random.Random(4)
+    long_item = " ".join(f"v{rnd.randrange(10**6)}" for _ in range(70_000))
+    items = [(None, "a b c d e f g h i j k"), (3, long_item), (3, "c d e f g h i j k l"), (None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    piece = " ".join(long_item.split()[65_530:65_550])
+    texts = [f"x {piece} y", "a b c d e f g h i j k l", "clean text", None, piece, long_item]
+    rows = [(i, t, "own", i) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __earlier string, __row int")
+    doubled = staged(docs).select("*", F.explode(F.array(F.lit("p"), F.lit("q"))).alias("copy"))
+    want = {0: (22, [[1, 21]], ["3"]), 1: (12, [[0, 12]], ["", "3"]), 2: (2, [], []), 3: (0, [], []), 4: (20, [[0, 20]], ["3"]), 5: (70_000, [[0, 70_000]], ["3"])}
+    for source, times in ((docs, 1), (doubled, 2)):
+        out = decontaminate.find_hits(source, bench, item_words=30_000)
+        assert out.columns == [*source.columns, "found"]
+        got = out.collect()
+        assert len(got) == times * len(rows) and all(r["__earlier"] == "own" and r["__row"] == r.doc_id for r in got)
+        assert all((r.found.n_words, r.found.spans, r.found["items"]) == want[r.doc_id] for r in got)
+    blocks = list(decontaminate.item_blocks(bench, "item_id", "text", 10, 30_000))
+    assert len(blocks) == 3 and all(len(b.items) <= 30_000 for b in blocks) and sum(len(b.items) for b in blocks) == 70_000 - 9 + 2 + 1
+    clean = decontaminate.cleaned(doubled, bench, item_words=30_000).collect()
+    assert sorted((r.doc_id, r.text) for r in clean if r["copy"] == "q") == [(0, "x  y"), (2, "clean text"), (3, None)]
