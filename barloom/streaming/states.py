@@ -60,7 +60,7 @@ def stream_limits(pnl: DataFrame, day_limit: float, drawdown_limit: float = 0.20
 def stream_trailing(prices: DataFrame, atr: float, initial: float = 3.0, step: float = 0.02, cap: float = 0.2, start_at: float = 0.02,
                     late: str = "0 seconds") -> DataFrame:
     """prices(symbol, ts, event_id, price): a long trade opens with the first price and after each
-    stop; emits the stop in force and whether it was hit. A null price changes nothing."""
+    stop; emits the stop in force and whether it was hit. A null price changes nothing; any rise from an entry at 0 is enough."""
 
     def follow(state, us, values):
         entry, stop, af = state or (None, None, step)
@@ -73,7 +73,7 @@ def stream_trailing(prices: DataFrame, atr: float, initial: float = 3.0, step: f
                 entry, stop, af = p, p - atr * initial, step
             elif p <= stop:
                 hit = True
-            elif (p - entry) / entry >= start_at:
+            elif ((p - entry) / entry >= start_at) if entry else p > entry:
                 stop = max(stop, min(stop + (p - stop) * af, p * 0.99))
                 af = min(af + step, cap)
             out.append((stop, hit))

@@ -116,3 +116,12 @@ def test_hysteresis_and_trailing_stops_do_not_depend_on_triggers(spark, tmp_path
         last = now
         confirmed = now if confirmed is None or run >= 2 else confirmed
         assert hysteresis[s, i] == (now, confirmed)
+
+
+def test_trailing_stop_from_an_entry_at_zero(spark, tmp_path):
+    rows = [("a", m, m, x) for m, x in enumerate((0, None, 0, 10, 20, -400, 0))]
+    make = lambda d: stream_trailing(d.withColumnRenamed("x", "price"), atr=5.0)
+    got = streamed(spark, f"{tmp_path}/zero", make, rows, "symbol string, event_id long, stop double, hit boolean", 1)
+    first, second = -15 + 25 * 0.02, -15 + 25 * 0.02
+    second += (20 - first) * 0.04
+    assert [got["a", m] for m in range(7)] == [(-15.0, False), (-15.0, False), (-15.0, False), (first, False), (second, False), (second, True), (-15.0, False)]
