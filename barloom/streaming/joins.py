@@ -11,9 +11,19 @@ def confirmed_signals(rule: DataFrame, model: DataFrame, within: str = "10 minut
 
     Both sides have a watermark and the join a time range, so Spark drops a signal from the state once no partner can come any
     more: rule signals after `within`, model signals as soon as the rule side's watermark has passed them. A signal later than `late` is lost.
+
+    A signal meets all rows that the state holds under its key, so slots of time as long as `within` belong to the key. A rule signal stays in its own
+    slot and comes once; a model signal also goes to the slot before its own, where the rule signals are that it may still confirm.
     """
+    span = F.expr(f"unix_micros(timestamp_seconds(0) + INTERVAL {within})")
+
+    def slot(at):
+        return F.unix_micros(at) - F.pmod(F.unix_micros(at), span)
+
     a = rule.select("symbol", F.col("ts").alias("rule_ts"), F.col("signal_id").alias("rule_id")).withWatermark("rule_ts", late)
     b = model.select(F.col("symbol").alias("other"), F.col("ts").alias("model_ts"), F.col("signal_id").alias("model_id")).withWatermark("model_ts", late)
-    near = F.expr(f"symbol = other AND model_ts >= rule_ts AND model_ts <= rule_ts + INTERVAL {within}")
+    a = a.withColumn("slot", slot("rule_ts"))
+    b = b.withColumn("other_slot", F.explode(F.array(slot("model_ts") - span, slot("model_ts"))))
+    near = F.expr(f"symbol = other AND slot = other_slot AND model_ts >= rule_ts AND model_ts <= rule_ts + INTERVAL {within}")
     lag = (F.unix_micros("model_ts") - F.unix_micros("rule_ts")) / 1e6
     return a.join(b, near, "left_outer").select("symbol", "rule_id", "model_id", lag.alias("lag_s"))

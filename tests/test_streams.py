@@ -125,3 +125,27 @@ def test_trailing_stop_from_an_entry_at_zero(spark, tmp_path):
     first, second = -15 + 25 * 0.02, -15 + 25 * 0.02
     second += (20 - first) * 0.04
     assert [got["a", m] for m in range(7)] == [(-15.0, False), (-15.0, False), (-15.0, False), (first, False), (second, False), (second, True), (-15.0, False)]
+
+
+def test_confirmed_signals_meet_only_neighbours_in_time(spark, tmp_path):
+    """Pairs against a loop, over slot borders and several triggers; the join's key must hold a slot of time, or each signal goes through all of its symbol."""
+    from barloom.streaming.joins import confirmed_signals
+
+    rng, start_s = random.Random(5), 1_700_000_400
+    rows = sorted((start_s + rng.randrange(0, 20_000), rng.choice("ab"), rng.random() < 0.5, i) for i in range(400))
+    rows += [(start_s + 30_000, "a", True, 400), (start_s + 30_600, "a", False, 401), (start_s + 90_000, "b", True, 402), (start_s + 90_000, "b", False, 403)]
+    schema = "symbol string, s long, rule boolean, signal_id long"
+    for k in range(0, len(rows), 101):
+        (spark.createDataFrame([(y, s, r, i) for s, y, r, i in rows[k:k + 101]], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in")))
+    ticks = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")).withColumn("ts", F.timestamp_seconds("s"))
+    joined = confirmed_signals(ticks.where("rule"), ticks.where("NOT rule"))
+    start(joined, str(tmp_path / "run")).awaitTermination()
+    got = sorted((r.symbol, r.rule_id, -1 if r.model_id is None else r.model_id, r.lag_s) for r in spark.read.parquet(str(tmp_path / "run/out")).collect() if r.rule_id < 400 or r.model_id)
+    want = []
+    for s, y, r, i in rows:
+        near = [(y, i, j, float(t - s)) for t, z, q, j in rows if not q and z == y and s <= t <= s + 600] if r else []
+        want += near if near or not r else [(y, i, -1, None)]
+    assert got == sorted(want) and (("a", 400, 401, 600.0) in got) and (("b", 402, 403, 0.0) in got)
+    batch = spark.createDataFrame([("a", 0, 1)], "symbol string, s long, signal_id long").withColumn("ts", F.timestamp_seconds("s"))
+    plan = confirmed_signals(batch, batch)._jdf.queryExecution().optimizedPlan().toString()
+    assert "slot" in next(line for line in plan.splitlines() if "Join" in line)
