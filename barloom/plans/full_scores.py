@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from barloom.functions import scores as sc
 from barloom.functions.columns import clip, flag, rolling_std, rounded, sma
+from barloom.operators.leading import leading
 from barloom.operators.lineage import cut
 from barloom.plans import moments as mm
 from barloom.plans import scoring as so
@@ -24,7 +25,8 @@ LEVELS = 10
 def bar_books(spark, base):
     """symbol, tf, ts_s, bids, asks: the ticks of a bar as offers around its middle price, those below it bids, the others asks, the ten best of each side.
 
-    The rank limit acts before the shuffle, so a bar with any number of ticks is ten rows a side."""
+    Each task first drops the ticks that are not among the ten best of its own, in blocks of bounded size, so a bar with any number of ticks is ten rows a
+    side and task before anything is sorted or shuffled."""
     hour = (event_ticks(spark, base), "1h", 3600)
     day = (line_ticks(spark, base), "1d", 86400)
     ticks = None
@@ -33,9 +35,11 @@ def bar_books(spark, base):
         ticks = part if ticks is None else ticks.unionByName(part)
     mids = ticks.groupBy(*SERIES, "ts_s").agg(((F.max("price") + F.min("price")) / 2).alias("mid"))
     sided = ticks.join(mids, [*SERIES, "ts_s"]).withColumn("bid", c("price") < c("mid"))
-    best = F.when(c("bid"), -c("price")).otherwise(c("price"))
-    place = Window.partitionBy(*SERIES, "ts_s", "bid").orderBy(best, -c("size"))
-    top = sided.withColumn("lvl", F.row_number().over(place)).where(c("lvl") <= LEVELS)
+    sided = sided.withColumns({"best": F.when(c("bid"), -c("price")).otherwise(c("price")), "less": -c("size")})
+    few = leading(sided, [*SERIES, "ts_s", "bid"], ["best", "less"], LEVELS)
+    place = Window.partitionBy(*SERIES, "ts_s", "bid").orderBy("best", "less")
+    top = few.withColumn("lvl", F.row_number().over(place)).where(c("lvl") <= LEVELS)
+    top = top.withColumns({"price": F.when(c("bid"), -c("best")).otherwise(c("best")), "size": -c("less")})
     level = F.struct("lvl", "price", "size")
     return top.groupBy(*SERIES, "ts_s").agg(
         F.sort_array(F.collect_list(F.when(c("bid"), level))).alias("bids"), F.sort_array(F.collect_list(F.when(~c("bid"), level))).alias("asks"))

@@ -36,3 +36,30 @@ def test_parts_and_signals_vary(spark):
     assert min(got) > 50
     model = load_catalogue()["model_scores_full"].run(spark, BASE).agg(*[F.countDistinct(x) for x in ("gate", "r_ood", "p_ml", "signal_scaled")]).first()
     assert min(model) > 1
+
+
+def test_leading_rows_in_blocks_of_bounded_size(spark):
+    """Each task keeps no more than the first rows of its groups, in blocks smaller than a group, with nulls first and NaN last."""
+    from barloom.operators.leading import leading
+
+    rows = [("ab"[i % 2], None if i % 5 == 0 else i % 3 == 0, None if i % 7 == 0 else float("nan") if i % 11 == 0 else float(i * 37 % 101), float(i * 13 % 17)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, side boolean, x double, y double").repartition(3)
+    got = defaultdict(list)
+    few = leading(df, ["k", "side"], ["x", "y"], 4, held=50).collect()
+    for r in few:
+        got[r.k, r.side].append((r.x, r.y))
+    want = defaultdict(list)
+    for k, side, x, y in rows:
+        want[k, side].append((x, y))
+    def place(o):
+        return (o[0] is not None, o[0] != o[0], 0 if o[0] is None or o[0] != o[0] else o[0], o[1])
+    assert set(got) == set(want) and len(few) <= 3 * 6 * 4
+    for key, offers in want.items():
+        assert [place(o) for o in sorted(got[key], key=place)[:4]] == [place(o) for o in sorted(offers, key=place)[:4]]
+
+
+def test_ticks_of_books_are_not_sorted_before_they_are_few(spark):
+    plan = fs.bar_books(spark, BASE)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    window = next(i for i, line in enumerate(plan) if "Window [" in line)
+    reduced = next(i for i, line in enumerate(plan) if "MapInArrow" in line)
+    assert window < reduced and not any("WindowGroupLimit" in line for line in plan[reduced:])
