@@ -13,7 +13,7 @@ from barloom.plans import sql as q
 from barloom.plans.base import indexed_bars, shown
 from barloom.plans.indicators import RSI_STAGES
 from barloom.plans.outcomes import BOX_SQL
-from barloom.plans.patterns import SNAP, documents, snapshots
+from barloom.plans.patterns import SNAP, documents, snapshot_windows
 from barloom.plans.registry import query
 from barloom.sources import files
 from barloom.sources.tables import event_ticks, read_table
@@ -67,7 +67,8 @@ dc AS (SELECT symbol, tf, count(*) AS documents, sum(coalesce(i_rsi, 1) * coales
 def _(spark, base):
     """Pattern documents and snapshots written as a knowledge folder, its documents scanned as JSON."""
     folder = new_folder(spark)
-    files.write_patterns(documents(spark, base), snapshots(spark, base), folder)
+    events, windows = snapshot_windows(spark, base)
+    files.write_patterns(documents(spark, base), windows, folder, events)
     known = files.read_knowledge(spark, f"{folder}/documents")
     return known.groupBy("meta.symbol", "meta.tf", "meta.direction", "version").agg(
         F.count("id").alias("documents"), rounded(F.sum("w_box.w_box"), 4).alias("w_box"))
@@ -75,11 +76,14 @@ def _(spark, base):
 
 @query("stored_snapshots", "S14 J8", SNAP + f""" SELECT symbol, count(DISTINCT event_id) AS events, count(*) AS bars, {q.r('sum(close)', 4)} AS close_sum FROM sn GROUP BY symbol""")
 def _(spark, base):
-    """Snapshot table of a knowledge folder, read by symbol."""
+    """Snapshot table of a knowledge folder, read by symbol: windows of bars, each stored once, and the events that lie in their middle."""
     folder = new_folder(spark)
-    files.write_patterns(documents(spark, base).limit(0), snapshots(spark, base), folder)
-    rows = spark.read.parquet(f"{folder}/snapshots")
-    return rows.groupBy("symbol").agg(F.countDistinct("event_id").alias("events"), F.count(F.lit(1)).alias("bars"), rounded(F.sum("close"), 4).alias("close_sum"))
+    events, windows = snapshot_windows(spark, base)
+    files.write_patterns(documents(spark, base).limit(0), windows, folder, events)
+    # events that share a window count it each, so it is summed up once and then goes to them
+    per = files.read_windows(spark, folder).groupBy("symbol", "series", "center").agg(F.count(F.lit(1)).alias("n"), F.sum("close").alias("s"))
+    rows = files.read_window_events(spark, folder).join(per, ["series", "center"])
+    return rows.groupBy("symbol").agg(F.countDistinct("event_id").alias("events"), F.sum("n").alias("bars"), rounded(F.sum("s"), 4).alias("close_sum"))
 
 
 @query("asset_snapshot_files", "S16 S13", """SELECT c_mktsegment AS symbol, count(*) AS n, min(c_custkey)::INT AS best_rank, round(max(c_acctbal), 2) AS top_price, round(sum(c_acctbal * 1000), 0) AS market_cap,

@@ -81,7 +81,29 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", by: Sequence[st
     writer.format(kind).save(path)
 
 
-def write_patterns(documents: DataFrame, snapshots: DataFrame, path: str) -> None:
-    """One JSON document per line and a partitioned snapshot table next to it."""
+def write_patterns(documents: DataFrame, snapshots: DataFrame, path: str, events: DataFrame | None = None) -> None:
+    """One JSON document per line and a partitioned snapshot table next to it.
+
+    With ``events(symbol, event_id, center)``, ``snapshots`` are windows of bars around a center, stored once each, and the events are stored as a table of
+    their own: an event's snapshot is the window around its center, see ``read_snapshots``."""
     documents.select("document").write.mode("overwrite").text(f"{path}/documents")
+    if events is not None:
+        # the folder's symbol may be read as another type; series is the symbol as it was
+        snapshots = snapshots.withColumn("series", F.col("symbol"))
+        events.withColumnRenamed("symbol", "series").write.mode("overwrite").parquet(f"{path}/events")
     snapshots.write.mode("overwrite").partitionBy("symbol").parquet(f"{path}/snapshots")
+
+
+def read_windows(spark: SparkSession, path: str) -> DataFrame:
+    """Windows of a knowledge folder, a row for each center and bar."""
+    return spark.read.parquet(f"{path}/snapshots")
+
+
+def read_window_events(spark: SparkSession, path: str) -> DataFrame:
+    """Events of a knowledge folder: series, event_id and the center of their window."""
+    return spark.read.parquet(f"{path}/events")
+
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """Snapshots of a knowledge folder written with its events, a row for each event and bar."""
+    return read_window_events(spark, path).join(read_windows(spark, path), ["series", "center"]).drop("series")
